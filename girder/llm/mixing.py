@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.llm.text import n_words
+from girder.llm.text import n_words, numbered, unpacked
 from girder.shared import staged
 
 
@@ -166,10 +166,10 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     one row with those words and the white space after them. Rows are matched
     to their place by a number given once and stored, so repeated ids do no harm.
     """
-    stored = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mixing")
-    sizes = stored.select(F.struct(F.col("doc_id"), F.col("_row")).alias("at"), source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size"))
+    stored = staged(numbered(docs), "mixing")
+    sizes = stored.select(F.struct(F.col("_doc.doc_id"), F.col("_row")).alias("at"), source_key(F.col("_doc.source")).alias("skey"), n_words(F.col("_doc.text")).alias("size"))
     rule = taken(staged(sizes, "sizes"), mix).where("taken > 0").select(F.col("at._row").alias("_row"), "start", "rounds", "extra", "phase", "blocks")
-    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    pieces = F.regexp_extract_all(F.coalesce("_doc.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     size = F.lit(mix.block_words).cast("long")
 
     def once_more(_, i):
@@ -177,6 +177,6 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         return passed(block + 1) > passed(block)
 
     part = F.when(F.col("extra") > 0, F.array_join(F.filter(pieces, once_more), "")).otherwise(F.lit(""))
-    text = F.concat(F.array_repeat(F.col("text"), F.col("rounds").cast("int")), F.filter(F.array(part), lambda x: x != ""))
-    both = stored.join(rule, "_row").withColumn("text", F.explode(text))
-    return both.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    text = F.concat(F.array_repeat(F.col("_doc.text"), F.col("rounds").cast("int")), F.filter(F.array(part), lambda x: x != ""))
+    both = stored.join(rule, "_row").withColumn("_text", F.explode(text))
+    return unpacked(both, docs.columns, text=F.col("_text"), n_chars=F.length("_text").cast("long"))

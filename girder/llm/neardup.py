@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from girder.llm.text import numbered, unpacked
 from girder.operators.components import connected_components
 from girder.shared import staged
 
@@ -215,10 +216,11 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """One row of every component: that of the smallest id, of rows with that id the first stored one."""
-    stored = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup")
-    found = components(stored, how, ["doc_id", "_row"])
+    stored = staged(numbered(docs), "dedup")
+    flat = stored.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
+    found = components(flat, how, ["doc_id", "_row"])
     named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # A wordless text is linked with nothing, so each of its rows stays.
     alone = named.where("n_shingles = 0").select("_row")
     first = named.where("n_shingles > 0").groupBy("component_id").agg(F.min("_row").alias("_row")).select("_row")
-    return stored.join(alone.unionByName(first), "_row", "left_semi").select(*docs.columns)
+    return unpacked(stored.join(alone.unionByName(first), "_row", "left_semi"), docs.columns)

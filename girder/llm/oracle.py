@@ -1,3 +1,87 @@
 """DuckDB statements for the queries that SQL can express over whole tables."""
 
-STATEMENTS: dict[str, str] = {}
+from __future__ import annotations
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+QUALITY = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+g AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+cover AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+m AS (
+  SELECT t.r, doc_id, text, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t LEFT JOIN cover ON t.r = cover.r),
+f AS (
+  SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed
+    OR 100 * n_symbols > 10 * n_words
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 100 * length(regexp_replace(text, '[^!?]', '', 'g')) > 50 * n_words
+    OR 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 50 * word_chars
+    OR 100 * (word_chars - length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g'))) > 40 * word_chars
+    OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(lines))) AS kept
+FROM f
+"""
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, {WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS root, doc_id AS d FROM documents UNION SELECT root, b FROM reach JOIN links ON d = a),
+least AS (SELECT root, min(d) AS component_id FROM reach GROUP BY root)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, t.doc_id = component_id AS kept
+FROM t LEFT JOIN n ON t.doc_id = n.doc_id JOIN least ON root = t.doc_id
+"""
+
+FIXITY = r"""
+WITH r AS (
+  SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS k,
+    encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:girder:page:' || page_id
+      || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS content
+  FROM pages),
+leaf AS (
+  SELECT page_id, k // 4096 AS shard, k % 4096 AS record, CAST(octet_length(content) AS BIGINT) AS length, sha256(content) AS sha256 FROM r),
+one AS (SELECT shard, record // 16 AS i, sha256(string_agg((record) || ':' || sha256, ',' ORDER BY record)) AS h FROM leaf GROUP BY ALL),
+two AS (SELECT shard, i // 16 AS j, sha256(string_agg(i || ':' || h, ',' ORDER BY i)) AS h FROM one GROUP BY ALL),
+root AS (SELECT shard, sha256(string_agg(j || ':' || h, ',' ORDER BY j)) AS shard_root FROM two GROUP BY ALL)
+SELECT page_id, CAST(leaf.shard AS BIGINT) AS shard, CAST(record AS BIGINT) AS record,
+  CAST(sum(length) OVER (PARTITION BY leaf.shard ORDER BY record) - length AS BIGINT) AS "at",
+  length, sha256, 'intact' AS status, shard_root
+FROM leaf JOIN root ON leaf.shard = root.shard
+"""
+
+PASSAGES = rf"""
+WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i - 1 AS s, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+hit AS (
+  SELECT doc_id, s FROM win JOIN (SELECT h FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h)),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked)
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 AS BIGINT) AS end_word FROM runs GROUP BY doc_id, run
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op4_quality_rules": QUALITY,
+    "op6_near_duplicates": NEAR_DUPLICATES,
+    "op8_warc_fixity": FIXITY,
+    "op10_repeated_passages": PASSAGES,
+}

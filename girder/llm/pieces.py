@@ -74,7 +74,8 @@ class Encoder:
 
 
 def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add a column of token ids (array of int, end id last) to any table with a text column."""
+    """Add a column of token ids (array of int, end id last) to any table with a text column; one of that name is replaced."""
+    docs = docs.drop(ids)
     schema = docs.withColumn(ids, F.array().cast("array<int>")).schema
     at = docs.columns.index(text)
 
@@ -94,7 +95,8 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -
 
 
 def decoded(docs: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """Add the library's decoding of a column of ids; null ids decode to null."""
+    """Add the library's decoding of a column of ids, in place of any column of that name; null ids decode to null."""
+    docs = docs.drop(text)
     schema = docs.withColumn(text, F.lit("")).schema
     at = docs.columns.index(ids)
 

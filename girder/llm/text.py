@@ -28,3 +28,13 @@ def n_words(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, _doc): whole rows packed under a number, so that no column of theirs can clash with one added."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def unpacked(packed: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows of a numbered table again, with some columns new."""
+    return packed.select(*[(new[c] if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in columns])
