@@ -1,13 +1,334 @@
-"""The registered queries of the annotation engine and their DuckDB statements."""
+"""The registered queries of the annotation engine."""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from girder.functions import geometry as g
+from girder.functions import rules
+from girder.functions.hashing import sha256
+from girder.functions.ratios import ratio
+from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, selection, similarity, splits, windows
+from girder.plans import views as v
+from girder.plans.statements import STATEMENTS
+from girder.shared import staged
+from girder.sources import labels
+from girder.streaming import journal
+
+FLAGSHIP = "match_confusion"
+GRID = [50 * k for k in range(1, 20)]
+SHOWN = 300
+
+
+def matched(spark: SparkSession, d: str, shown: int = 0) -> tuple[DataFrame, DataFrame]:
+    p, r = v.predictions(spark, d), v.references(spark, d)
+    return staged(matching.match_boxes(p.where(F.col("score") >= shown), r), "matches"), r
+
+
+def match_confusion(spark: SparkSession, d: str) -> DataFrame:
+    m, r = matched(spark, d, SHOWN)
+    return confusion.totals(confusion.image_counts(m, r), v.n_images(spark, d), "class").drop(*confusion.REASONS)
+
+
+def match_table(spark: SparkSession, d: str) -> DataFrame:
+    return matched(spark, d)[0]
+
+
+def match_error_reasons(spark: SparkSession, d: str) -> DataFrame:
+    m, _ = matched(spark, d, SHOWN)
+    return m.where("reason <> 'matched'").groupBy("class", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def confusion_by_stratum(spark: SparkSession, d: str) -> DataFrame:
+    m, r = matched(spark, d, SHOWN)
+    at = v.boxes(spark, d).groupBy("image").agg(F.min("stratum").alias("stratum"))
+    t = confusion.image_counts(m, r).join(at, "image")
+    sums = t.groupingSets([[F.col("class"), F.col("stratum")], [F.col("class")]], "class", "stratum").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return confusion.with_ratios(sums.withColumn("stratum", F.coalesce("stratum", F.lit("overall"))))
+
+
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return confusion.sweep(*matched(spark, d), GRID)
+
+
+def best_f1_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return confusion.best_thresholds(threshold_sweep(spark, d)).select("class", "threshold", "f1")
+
+
+def threshold_changes(spark: SparkSession, d: str) -> DataFrame:
+    return confusion.threshold_changes(matched(spark, d)[0], SHOWN, 500)
+
+
+def missed_references(spark: SparkSession, d: str) -> DataFrame:
+    m, r = matched(spark, d, SHOWN)
+    return confusion.missed_references(r, m)
+
+
+def eval_compare(spark: SparkSession, d: str) -> DataFrame:
+    m, r = matched(spark, d)
+    one, two = (confusion.image_counts(m.where(F.col("score") >= t), r) for t in (SHOWN, 500))
+    return confusion.compare_counts(one, two)
+
+
+def box_geometry(spark: SparkSession, d: str) -> DataFrame:
+    p, r = v.predictions(spark, d), v.references(spark, d)
+    t = p.alias("p").join(r.alias("r"), ["image", "class"]).select("image", F.col("p.pos").alias("pred_pos"), F.col("r.pos").alias("ref_pos"), F.col("p.box").alias("a"), F.col("r.box").alias("b"))
+    a, b, side = F.col("a"), F.col("b"), F.lit(24)
+    u = g.union_box(a, b)
+    return t.select(
+        "image", "pred_pos", "ref_pos", g.iou(a, b).alias("iou"), g.smaller_overlap(a, b).alias("smaller_overlap"), g.meets(a, b).alias("meets"),
+        g.area(u).alias("union_box_area"), g.clip_status(a, side, side).alias("clip_status"), g.mask_pixels(a, side, side).alias("mask_pixels"), g.to_xywh(g.normalised(a, side, side))[2].alias("normal_width"),
+    )
+
+
+def negative_crop_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    crops = v.predictions(spark, d).where("pos = 2").select(F.col("image").alias("crop_id"), "image", "box")
+    return integrity.crop_conflicts(crops, v.references(spark, d))
+
+
+def window_grid(spark: SparkSession, d: str) -> DataFrame:
+    images = v.read(spark, d, "part").select(F.col("p_partkey").alias("image"), (F.col("p_size") * 40).alias("width"), (F.floor("p_retailprice") % 1500 + 1).cast("int").alias("height"))
+    return windows.window_grid(images).select("image", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "width", "height")])
+
+
+def merge_proposals(spark: SparkSession, d: str) -> DataFrame:
+    m = matching.merge_proposals(v.predictions(spark, d))
+    return m.select("image", "class", "score", "box.*", "merged_from")
+
+
+def zone_coverage(spark: SparkSession, d: str) -> DataFrame:
+    c = coverage.zone_coverage(v.references(spark, d), v.predictions(spark, d).where(F.col("score") >= SHOWN))
+    return coverage.coverage_totals(c, v.n_images(spark, d))
+
+
+def hash_bits(spark: SparkSession, d: str) -> DataFrame:
+    return v.fingerprints(spark, d).select("id", "hash")
+
+
+def close_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.close_pairs(staged(v.fingerprints(spark, d), "prints"), 8).select("left", "right", F.col("distance").cast("long").alias("distance"))
+
+
+def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = similarity.similar_pairs(staged(v.fingerprints(spark, d), "prints"), 6, 1.0)
+    return t.select("left", "right", "kind", F.col("view").cast("long").alias("view"), F.col("distance").cast("long").alias("distance"), "error")
+
+
+def grouped(spark: SparkSession, d: str) -> DataFrame:
+    prints = staged(v.fingerprints(spark, d), "prints")
+    return staged(groups.content_groups(prints, similarity.similarity_links(prints, 8)), "groups")
+
+
+def content_groups(spark: SparkSession, d: str) -> DataFrame:
+    return grouped(spark, d)
+
+
+def candidate_groups(spark: SparkSession, d: str) -> DataFrame:
+    t = groups.groups_of_several(grouped(spark, d))
+    return t.select("content_group", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "n")
+
+
+def scene_groups(spark: SparkSession, d: str) -> DataFrame:
+    return grouped(spark, d).groupBy("content_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quarantine_propagation(spark: SparkSession, d: str) -> DataFrame:
+    excluded = v.photos(spark, d).where("quality = 0").select("id", F.lit("low quality").alias("reason"))
+    return groups.with_quarantine(grouped(spark, d), excluded)
+
+
+def external_roles(spark: SparkSession, d: str) -> DataFrame:
+    prints = staged(v.fingerprints(spark, d), "prints")
+    pairs = similarity.close_pairs(prints, 8).select(F.col("left").alias("a"), F.col("right").alias("b"), (F.col("distance") > 6).alias("review_required"))
+    return groups.external_roles(grouped(spark, d), pairs)
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return staged(v.photos(spark, d).join(grouped(spark, d), "id"), "records")
+
+
+def grouped_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.grouped_split(records(spark, d))
+
+
+def split_summary(spark: SparkSession, d: str) -> DataFrame:
+    r = records(spark, d)
+    return splits.split_summary(r.join(splits.grouped_split(r).select("id", "split"), "id"), [0, 1])
+
+
+def crossing_groups(spark: SparkSession, d: str) -> DataFrame:
+    t = groups.crossing_groups(grouped(spark, d).withColumn("split", v.author_split()))
+    return t.select("content_group", F.array_join("splits", ",").alias("splits"))
+
+
+def shared_digests(spark: SparkSession, d: str) -> DataFrame:
+    t = splits.shared_digests(v.photos(spark, d).withColumn("split", v.author_split()))
+    return t.select("digest", F.array_join("splits", ",").alias("splits"), "n")
+
+
+def budget_selection(spark: SparkSession, d: str) -> DataFrame:
+    return splits.budget_selection(records(spark, d), 60, 42).withColumn("content_group", F.col("content_group").cast("long"))
+
+
+def bottom_k_panels(spark: SparkSession, d: str) -> DataFrame:
+    t = selection.bottom_k(v.measures(spark, d), "readable", ["difficulty"], 3)
+    return t.select("id", "difficulty", "readable", F.col("place").cast("long").alias("place"))
+
+
+def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return selection.first_seen(v.photos(spark, d), "digest", "id").select("id", "digest", "copies")
+
+
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    t = v.measures(spark, d)
+    return t.withColumns({"verdict": rules.photo_verdict(F.col("readable"), F.col("sharpness")), "reasons": rules.photo_reasons(F.col("readable"), F.col("sharpness")), "lost": rules.lost_reason(F.col("dark"), F.col("bright"), F.col("pixels"), {"block_lost_fraction": 0.3})})
+
+
+def flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    return selection.flag_counts(flagged(spark, d), "reasons")
+
+
+def photo_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return flagged(spark, d).select("id", "verdict", F.array_join("reasons", ",").alias("reasons"), "lost")
+
+
+def yolo_parse(spark: SparkSession, d: str) -> DataFrame:
+    t = labels.boxes(v.label_files(spark, d), len(v.LABEL_NAMES))
+    return t.withColumns({"line": F.col("line").cast("long"), "class_id": F.col("class_id").cast("long")})
+
+
+def yolo_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return labels.rejects(v.label_files(spark, d), len(v.LABEL_NAMES)).withColumn("line", F.col("line").cast("long"))
+
+
+def yolo_mapped(spark: SparkSession, d: str) -> DataFrame:
+    t = labels.mapped_boxes(v.label_files(spark, d), v.LABEL_NAMES, v.LABEL_MAP).where("verdict = 'box'")
+    return t.select("id", F.col("line").cast("long").alias("line"), "class", "x1", "y1", "x2", "y2")
+
+
+def coco_export(spark: SparkSession, d: str) -> DataFrame:
+    t = v.references(spark, d).select("image", "class", "pos", "box")
+    t = selection.dense_ids(t, ["image", "pos"], name="annotation_id")
+    images = selection.dense_ids(t.select("image").distinct(), ["image"], name="image_id")
+    category = F.when(F.col("class") == "A", 1).when(F.col("class") == "N", 2).otherwise(3).cast("long")
+    return t.join(images, "image").select("annotation_id", "image_id", category.alias("category_id"), F.array_join(F.transform(g.to_xywh(F.col("box")), lambda x: x.cast("long").cast("string")), ",").alias("bbox"), g.area(F.col("box")).alias("area"))
+
+
+def integrity_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    docs = v.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("size"), sha256(F.col("text")).alias("sha256"), "doc_id")
+    pins = docs.where("doc_id % 19 <> 0").select("path", F.when(F.col("doc_id") % 23 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(F.col("doc_id") % 29 == 0, sha256(F.col("path"))).otherwise(F.col("sha256")).alias("sha256"))
+    return integrity.integrity_mismatches(docs.where("doc_id % 17 <> 0"), pins)
+
+
+def companion_orphans(spark: SparkSession, d: str) -> DataFrame:
+    docs = v.read(spark, d, "documents").select(F.col("doc_id").alias("stem"), F.lit("text").alias("role"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("name"))
+    marks = v.read(spark, d, "labels").select(F.col("doc_id").alias("stem"), F.lit("label").alias("role"), F.concat(F.lit("l"), F.col("doc_id").cast("string")).alias("name"))
+    return integrity.companions(docs.unionByName(marks), ["text", "label"])[1]
+
+
+def label_join_default(spark: SparkSession, d: str) -> DataFrame:
+    marks = v.read(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_list(F.col("quality").cast("string"))).alias("labels"))
+    t = integrity.with_labels(v.read(spark, d, "documents").select(F.col("doc_id").alias("id")), marks)
+    return t.select("id", F.size("labels").cast("long").alias("n_labels"), F.array_join("labels", ",").alias("labels"))
+
+
+def review_audit(spark: SparkSession, d: str) -> DataFrame:
+    docs = v.read(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    box = lambda k: F.struct(F.lit(0).alias("x1"), k.cast("int").alias("x2"))
+    sources = docs.withColumn("source_index", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select("id", "source_index", F.lit("crack").alias("class"), box(F.col("source_index") + 1).alias("box"))
+    reviewed = docs.withColumn("review_index", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "id", "review_index", F.lit("crack").alias("class"), box(F.when(F.col("id") % 3 == 0, F.col("review_index") + 1).otherwise(9)).alias("box"),
+        F.when(F.col("id") % 5 == 0, F.array(F.lit(0), F.col("review_index"))).otherwise(F.array(F.col("review_index"))).alias("source_indices"),
+    ).withColumn("source_indices", F.array_distinct("source_indices"))
+    removed = docs.where("id % 7 <> 0").select("id", F.lit(2).alias("source_index"), F.lit("Ambiguous").alias("reason"))
+    t = integrity.review_audit(sources, reviewed, removed)
+    return t.select("id", F.col("source_index").cast("long").alias("source_index"), "outcome", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
+
+
+def review_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.two_way_coverage(v.read(spark, d, "labels").select((F.col("doc_id") + 1).alias("id")), v.read(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+def alert_rates(spark: SparkSession, d: str) -> DataFrame:
+    t = v.read(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("patch"), F.col("conv_id").alias("grp"), F.when(F.col("role") == "user", "clear").otherwise("cracked").alias("arm"), (F.length("text") % 4).alias("alerts"))
+    return integrity.alert_rates(t.drop("alerts").distinct(), t.groupBy("patch").agg(F.max("alerts").alias("alerts")))[0]
+
+
+def last_metric_values(spark: SparkSession, d: str) -> DataFrame:
+    e = v.read(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("loss"), F.when(F.col("event_id") % 5 == 0, F.col("value")).alias("score"))
+    return selection.last_values(e, ["ts", "event_id"], ["loss", "score"], ["user_id"])
+
+
+def journal_validation(spark: SparkSession, d: str) -> DataFrame:
+    return journal.violations(v.journal(spark, d))
+
+
+def journal_replay(spark: SparkSession, d: str) -> DataFrame:
+    return journal.replay(v.findings(spark, d), v.journal(spark, d))
+
+
+def journal_append(spark: SparkSession, d: str) -> DataFrame:
+    j = v.journal(spark, d).where("revision <= 20").withColumn("digest", sha256(F.concat_ws("|", "kind", "decision", "class", "status")))
+    last = j.groupBy("analysis").agg(F.max("revision").alias("n"))
+    r = j.where("revision = 2").join(last, "analysis").select("analysis", F.when(F.col("analysis") % 4 < 2, F.col("request_id")).otherwise("new").alias("request_id"), F.when(F.col("analysis") % 4 == 1, sha256(F.lit("x"))).otherwise(F.col("digest")).alias("digest"), F.when(F.col("analysis") % 4 == 3, F.col("n")).otherwise(F.lit(1)).alias("expected_revision"))
+    return journal.appended(j, r)
+
+
+def detections(spark: SparkSession, d: str) -> DataFrame:
+    b = v.boxes(spark, d)
+    coarse = F.struct(*[(F.floor(F.col(f"box.{n}") / 8) * 8 + (8 if n[1] == "2" else 0)).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")])
+    lost = F.when(F.col("image") % 5 == 0, F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(16.0).alias("width"), F.lit(24.0).alias("height"))))
+    empty = F.array().cast("array<struct<x:double,y:double,width:double,height:double>>")
+    return b.select(F.col("image").alias("analysis"), F.col("pos").alias("idx"), "class", (F.col("score") / 1000.0).alias("score"), coarse.alias("box"), F.coalesce(lost, empty).alias("lost_regions"))
+
+
+def finding_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return findings.findings_and_withheld(detections(spark, d), ["A", "N"], 0.3)[0].select("analysis", "slot", "idx", "class", "score")
+
+
+def finding_withheld(spark: SparkSession, d: str) -> DataFrame:
+    return findings.findings_and_withheld(detections(spark, d), ["A", "N"], 0.3)[1]
+
+
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    t = precision.average_precision(staged(v.predictions(spark, d), "predictions"), staged(v.references(spark, d), "references"), [0.5, 0.75])
+    return t.withColumn("ap", F.round("ap", 6))
+
+
+def import_report(spark: SparkSession, d: str) -> DataFrame:
+    has = F.size("classes")
+    return v.photos(spark, d).groupBy("difficulty").agg(F.count(F.lit(1)).alias("n"), F.count_if(has == 0).alias("without_class"), F.count_if(F.array_contains("classes", 0)).alias("class_0"), F.count_distinct("digest").alias("digests"))
+
+
+def journal_activity(spark: SparkSession, d: str) -> DataFrame:
+    return journal.activity(v.journal(spark, d).select("recorded_at", "kind"), "1 day")
+
+
+def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    j = v.journal(spark, d).where("kind = 'correction'")
+    return j.groupBy("analysis").agg(F.count_distinct("status").alias("states"), F.count_if(F.col("status") == "resolved").alias("resolved"))
+
+
+def error_rates(spark: SparkSession, d: str) -> DataFrame:
+    c = confusion.image_counts(*matched(spark, d, SHOWN))
+    t = c.groupBy("image").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    return t.select("image", "tp", "fp", ratio(F.col("fp"), F.col("tp") + F.col("fp")).alias("false_share"))
+
+
+NAMES = (
+    match_confusion, match_table, match_error_reasons, confusion_by_stratum, threshold_sweep, best_f1_thresholds, threshold_changes, missed_references, eval_compare, error_rates,
+    box_geometry, negative_crop_conflicts, window_grid, merge_proposals, zone_coverage, hash_bits, close_pairs, similar_pairs, content_groups, candidate_groups,
+    scene_groups, quarantine_propagation, external_roles, grouped_split, split_summary, crossing_groups, shared_digests, budget_selection, bottom_k_panels, first_seen_dedupe,
+    flag_counts, photo_verdicts, yolo_parse, yolo_rejects, yolo_mapped, coco_export, integrity_mismatch, companion_orphans, label_join_default, review_audit,
+    review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
+    journal_activity, evidence_counts,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(STATEMENTS)
