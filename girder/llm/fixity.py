@@ -36,25 +36,28 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, records_a_shard: int = RECORDS_A_SHARD) -> DataFrame:
-    """Store pages (page_id, url, html) as WARC records: (shard, n, at, page_id, length, content).
+    """Store pages (page_id, url, html) as WARC records: (shard, n, page_id, length, content).
 
     Records are ordered by id (ties by url and body hash) and numbered from the counts of range
-    partitions, so no task sees more than its part; n is the record's number in its shard, at its
-    byte offset there.
+    partitions, of which there is one row each, so no task sees more than its part; n is the record's number in its shard.
     """
     tie = [F.coalesce(F.col("url"), F.lit("")), F.xxhash64("html")]
     slim = pages.select(F.col("page_id").cast("long"), "url", "html")
     ranged = slim.repartitionByRange("page_id", *tie).sortWithinPartitions("page_id", *tie)
-    ranged = staged(ranged.withColumns({"_part": F.spark_partition_id(), "_seen": F.monotonically_increasing_id()}), "pages")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # _seen counts up by one in a partition from a multiple of 2 ** 33.
-    number = F.col("_before") + F.col("_seen").bitwiseAND((1 << 33) - 1)
-    t = ranged.join(F.broadcast(parts.select("_part", "_before")), "_part").withColumn("number", number)
     content = record(F.col("page_id"), F.col("url"), F.col("html"))
-    t = t.select(F.expr(f"number div {records_a_shard}").alias("shard"), (F.col("number") % records_a_shard).cast("int").alias("n"), "page_id", content.alias("content"))
-    t = t.withColumn("length", F.length("content").cast("long"))
-    return staged(t, "warc")
+    # The id counts up by one in a partition from a multiple of 2 ** 33.
+    stored = ranged.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("seq"), "page_id", content.alias("content"))
+    stored = staged(stored, "warc")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    number = F.col("before") + F.col("seq")
+    t = stored.join(F.broadcast(staged(parts.select("part", "before"), "parts")), "part").withColumn("number", number)
+    return t.select(F.expr(f"number div {records_a_shard}").alias("shard"), (F.col("number") % records_a_shard).cast("int").alias("n"), "page_id", F.length("content").cast("long").alias("length"), "content")
+
+
+def replicated(records: DataFrame) -> DataFrame:
+    """A second stored copy of the records."""
+    return staged(records, "replica")
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -121,8 +124,8 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def audited_pages(pages: DataFrame) -> DataFrame:
-    """page_id, shard, record, at, length, sha256, status, shard_root: pages written as two replicas and audited."""
-    first, second = write_warc(pages), write_warc(pages.select("page_id", "url", "html"))
-    found = audit(first, second)
-    roots = tree(leaves(first).select("shard", "n", "sha256"))[-1].select("shard", F.col("sha256").alias("shard_root"))
+    """page_id, shard, record, at, length, sha256, status, shard_root: pages written as WARC, copied, and the copy audited."""
+    first = write_warc(pages)
+    found = staged(audit(first, replicated(first)), "audit")
+    roots = tree(found.where("status <> 'added'").select("shard", "n", "sha256"))[-1].select("shard", F.col("sha256").alias("shard_root"))
     return found.join(roots, "shard", "left").select("page_id", "shard", F.col("n").cast("long").alias("record"), "at", "length", "sha256", "status", "shard_root")
