@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from girder.llm.text import kept_in_worker
+
 MARKER = "▁"
 CHUNK = re.compile(f"[ {MARKER}]+[^ {MARKER}]*")
 #: Ids in an output batch, at least, before it is handed over.
@@ -80,7 +82,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = kept_in_worker(("pieces", model), lambda: Encoder(model))
         for batch in batches:
             first, out, n = 0, [], 0
             for i, t in enumerate(batch.column(at)):
@@ -115,7 +117,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, ids never leaving the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = kept_in_worker(("pieces", model), lambda: Encoder(model))
         for batch in batches:
             n, coded, plain = [], [], []
             for t in batch.column(1):

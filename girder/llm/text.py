@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +40,15 @@ def numbered(docs: DataFrame) -> DataFrame:
 def unpacked(packed: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """The rows of a numbered table again, with some columns new."""
     return packed.select(*[(new[c] if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in columns])
+
+
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, kept for the later tasks of a Python worker; one object at a time, so memory stays that of one.
+
+    Functions reach workers by value, with fresh globals for each task; the interpreter's own module outlives them.
+    """
+    held = sys.__dict__.setdefault("_girder_kept", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
