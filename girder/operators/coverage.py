@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girder.functions.ratios import ratio
 
 
-def cells_of(boxes: DataFrame) -> DataFrame:
-    """image, class, x, y: the distinct unit cells that whole-number boxes cover, their union."""
-    span = lambda a, b: F.sequence(F.col(f"box.{a}").cast("int"), F.col(f"box.{b}").cast("int") - 1)
-    rows = boxes.select("image", "class", F.explode(span("x1", "x2")).alias("x"), "box").select("image", "class", "x", F.explode(span("y1", "y2")).alias("y"))
-    return rows.distinct()
+#: Cells of one column of the canvas.
+SIDE = 1 << 15
+
+
+def cells(box: Column) -> Column:
+    """Numbers of the unit cells of a whole-number box; none of a flat one."""
+    span = lambda a, b: F.when(box[b] > box[a], F.sequence(box[a].cast("int"), box[b].cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(span("x1", "x2"), lambda x: F.transform(span("y1", "y2"), lambda y: x * SIDE + y)))
+
+
+def zones(boxes: DataFrame, name: str) -> DataFrame:
+    """image, class and the distinct cells of all their boxes, the union; boxes are shuffled, not cells."""
+    each = boxes.groupBy("image", "class").agg(F.collect_list("box").alias("b"))
+    return each.select("image", "class", F.array_distinct(F.flatten(F.transform("b", cells))).alias(name))
 
 
 def zone_coverage(references: DataFrame, proposals: DataFrame) -> DataFrame:
     """image, class, expected, signalled and the pixels of the reference's and proposal's union and of both."""
-    a = cells_of(references).withColumn("ref", F.lit(1))
-    b = cells_of(proposals).withColumn("pro", F.lit(1))
-    both = a.join(b, ["image", "class", "x", "y"], "full_outer")
-    sums = both.groupBy("image", "class").agg(F.count("ref").alias("reference_pixels"), F.count("pro").alias("proposal_pixels"), F.count_if(F.col("ref").isNotNull() & F.col("pro").isNotNull()).alias("shared_pixels"))
+    empty = F.array().cast("array<int>")
+    both = zones(references, "r").join(zones(proposals, "p"), ["image", "class"], "full_outer").withColumns({"r": F.coalesce("r", empty), "p": F.coalesce("p", empty)})
+    sums = both.select("image", "class", F.size("r").cast("long").alias("reference_pixels"), F.size("p").cast("long").alias("proposal_pixels"), F.size(F.array_intersect("r", "p")).cast("long").alias("shared_pixels"))
     return sums.withColumns({"expected": F.col("reference_pixels") > 0, "signalled": F.col("proposal_pixels") > 0})
 
 
