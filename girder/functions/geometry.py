@@ -76,6 +76,25 @@ def union_box(a: Column, b: Column) -> Column:
     return box(F.least(a["x1"], b["x1"]), F.least(a["y1"], b["y1"]), F.greatest(a["x2"], b["x2"]), F.greatest(a["y2"], b["y2"]))
 
 
+def union_area(boxes: Column) -> Column:
+    """The area that an array of boxes covers together, slab by slab between neighbouring x; 0 for none and for flat ones."""
+
+    def of(b: Column, xs: Column) -> Column:
+        def covered(i: Column) -> Column:
+            left, right = F.get(xs, i), F.get(xs, i + 1)
+            start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("end"))
+            more = lambda s, y: F.struct((s["sum"] + F.greatest(F.lit(0.0), y["y2"] - F.greatest(s["end"], y["y1"]))).alias("sum"), F.greatest(s["end"], y["y2"]).alias("end"))
+            run = F.aggregate(b, start, lambda s, y: F.when((y["x1"] <= left) & (y["x2"] >= right), more(s, y)).otherwise(s))
+            return (right - left) * run["sum"]
+
+        return F.when(F.size(xs) > 1, F.aggregate(F.sequence(F.lit(0), F.size(xs) - 2), F.lit(0.0), lambda s, i: s + covered(i))).otherwise(F.lit(0.0))
+
+    by_y = F.array_sort(F.transform(boxes, lambda b: F.struct(b["y1"].alias("y1"), b["y2"].alias("y2"), b["x1"].alias("x1"), b["x2"].alias("x2"))))
+    xs = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x1"]), F.transform(boxes, lambda b: b["x2"]))))
+    once = F.transform(F.array(F.struct(by_y.alias("b"), xs.alias("xs"))), lambda v: of(v["b"], v["xs"]))
+    return F.element_at(once, 1)
+
+
 def meets(a: Column, b: Column) -> Column:
     """Whether the interiors share a point; a common edge is none."""
     return (F.greatest(a["x1"], b["x1"]) < F.least(a["x2"], b["x2"])) & (F.greatest(a["y1"], b["y1"]) < F.least(a["y2"], b["y2"]))

@@ -1,35 +1,27 @@
-"""Whether zones of the image are covered, by cells of a canvas (AG-06, 07, 20)."""
+"""Whether zones of the image are covered, by the areas of unions of boxes (AG-06, 07, 20)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from girder.functions.geometry import union_area
 from girder.functions.ratios import ratio
 
 
-#: Cells of one column of the canvas.
-SIDE = 1 << 15
-
-
-def cells(box: Column) -> Column:
-    """Numbers of the unit cells of a whole-number box; none of a flat one."""
-    span = lambda a, b: F.when(box[b] > box[a], F.sequence(box[a].cast("int"), box[b].cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(span("x1", "x2"), lambda x: F.transform(span("y1", "y2"), lambda y: x * SIDE + y)))
-
-
-def zones(boxes: DataFrame, name: str) -> DataFrame:
-    """image, class and the distinct cells of all their boxes, the union; boxes are shuffled, not cells."""
-    each = boxes.groupBy("image", "class").agg(F.collect_list("box").alias("b"))
-    return each.select("image", "class", F.array_distinct(F.flatten(F.transform("b", cells))).alias(name))
-
-
 def zone_coverage(references: DataFrame, proposals: DataFrame) -> DataFrame:
-    """image, class, expected, signalled and the pixels of the reference's and proposal's union and of both."""
-    empty = F.array().cast("array<int>")
-    both = zones(references, "r").join(zones(proposals, "p"), ["image", "class"], "full_outer").withColumns({"r": F.coalesce("r", empty), "p": F.coalesce("p", empty)})
-    sums = both.select("image", "class", F.size("r").cast("long").alias("reference_pixels"), F.size("p").cast("long").alias("proposal_pixels"), F.size(F.array_intersect("r", "p")).cast("long").alias("shared_pixels"))
-    return sums.withColumns({"expected": F.col("reference_pixels") > 0, "signalled": F.col("proposal_pixels") > 0})
+    """image, class, expected, signalled and the area of the reference's and proposal's union and of both.
+
+    Boxes are shuffled once, no cells are made: what two unions share is the sum of their areas less that of all boxes together.
+    """
+    each = lambda t, name: t.groupBy("image", "class").agg(F.collect_list("box").alias(name))
+    r, p = each(references, "r"), each(proposals, "p")
+    none = F.array().cast(r.schema["r"].dataType)
+    both = r.join(p, ["image", "class"], "full_outer").withColumns({"r": F.coalesce("r", none), "p": F.coalesce("p", none)})
+    sums = both.select("image", "class", union_area(F.col("r")).alias("reference_pixels"), union_area(F.col("p")).alias("proposal_pixels"), union_area(F.concat("r", "p")).alias("all"))
+    sums = sums.withColumn("shared_pixels", F.col("reference_pixels") + F.col("proposal_pixels") - F.col("all")).drop("all")
+    whole = sums.withColumns({c: F.rint(c).cast("long") for c in ("reference_pixels", "proposal_pixels", "shared_pixels")})
+    return whole.withColumns({"expected": F.col("reference_pixels") > 0, "signalled": F.col("proposal_pixels") > 0})
 
 
 def coverage_totals(coverage: DataFrame, n_images: int) -> DataFrame:
