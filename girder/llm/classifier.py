@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> Mod
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     known = staged(known.orderBy(order, "quality").limit(how.labelled), "labelled")
     rows = docs.count()
-    every = max(1, rows // how.unlabelled)
+    every = max(1, -(-rows // how.unlabelled))
     text = docs.select("doc_id", "text").where("doc_id is not null")
     named = text.join(known, "doc_id").select("quality", measures(F.col("text")).alias("m")).toArrow()
     web = text.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(how.seed + 1)), F.lit(every)) == 0).select(measures(F.col("text")).alias("m")).limit(how.unlabelled).toArrow()

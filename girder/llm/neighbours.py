@@ -2,9 +2,13 @@
 
 Each tree halves a bounded sample at the median of its projections on the line through two random
 members, level by level. Every row of the table goes down every tree to a leaf. A
-query opens leaves of all trees in order of one priority queue, keyed by the smallest margin on the way, until
-``probes`` leaves are open; their members are compared exactly and the nearest kept. Of equal vectors only the
+query opens leaves of all trees in order of one priority queue, keyed by the largest margin on the way, until
+so many are open as a calibration on the sample asks for; their members are compared exactly and the nearest kept. Of equal vectors only the
 k + 1 smallest ids can ever be among a query's k nearest, so copies beyond those are left out first, exactly.
+Rows and queries of one leaf meet in blocks of bounded size, whatever the leaf holds.
+
+How many leaves that takes is a matter of the data: vectors in clusters need few; directions spread evenly over
+a sphere of 64 dimensions have no near regions, and reaching the recall means opening half of all leaves.
 
 Nulls: vectors that are null, zero, of another length than most or hold null or non-finite components take no part, nor do null
 ids. Rows that repeat an id count as one candidate at their smallest distance. An empty table, or
@@ -27,13 +31,21 @@ from girder.shared import staged
 
 @dataclass(frozen=True)
 class Forest:
-    """sample: vectors that the trees are fitted on, at most. leaf: rows a leaf is planned to hold."""
+    """sample: vectors that the trees are fitted on, at most. leaf: rows a leaf is planned to hold.
+
+    The number of leaves opened is the smallest that finds the share ``recall`` of the true neighbours of ``trials`` sampled
+    vectors within the sample, where neighbours are farther and so harder to find than in the whole table.
+    rows_block, queries_block: rows and queries of a leaf that a task compares at once, about.
+    """
 
-    trees: int = 6
-    leaf: int = 128
-    probes: int = 48
+    trees: int = 2
+    leaf: int = 512
+    recall: float = 0.96
+    trials: int = 200
     sample: int = 16_384
     least_sample: int = 8
+    rows_block: int = 8192
+    queries_block: int = 2048
     seed: int = 11
 
 
@@ -108,11 +120,59 @@ def opened(margins: np.ndarray, probes: int) -> list[tuple[int, int]]:
 
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return flat.reshape(len(column), -1).astype(float) if len(column) else np.zeros((0, 0))
+
+
+def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs by one product; good to rounding, not to the last digit."""
+    return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
+
+
+def calibrated(sample: np.ndarray, direction: np.ndarray, threshold: np.ndarray, k: int, how: Forest) -> int:
+    """Leaves to open, from the places in the queue at which the sample's own neighbours are found."""
+    trees, leaves = threshold.shape[0], threshold.shape[1] + 1
+    if leaves == 1 or len(sample) <= k:
+        return trees * leaves
+    leaf = leaves_of(sample, direction, threshold)
+    trials = np.random.default_rng(how.seed + 1).choice(len(sample), min(how.trials, len(sample)), replace=False)
+    far = squared(sample[trials], sample)
+    far[np.arange(len(trials)), trials] = np.inf
+    places = []
+    for i, near in zip(trials, np.argpartition(far, k, axis=1)[:, :k], strict=True):
+        place = np.zeros((trees, leaves), np.int64)
+        for n, door in enumerate(opened(np.einsum("j,tnj->tn", sample[i], direction) - threshold, trees * leaves)):
+            place[door] = n
+        places.append(place[np.arange(trees)[:, None], leaf[near].T].min(0))
+    return int(np.quantile(np.concatenate(places), how.recall, method="higher")) + 1
+
+
+def salt(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """A block for each id, below the number of blocks of its leaf."""
+    return (((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % blocks.astype(np.uint64)).astype(np.int32)
+
 
+def compared(k: int):
+    """A function of a block's rows and queries: each query's nearest rows in the block, ties at the edge included."""
 
-def squared(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        x, q = matrix(rows.column("v").combine_chunks()), matrix(queries.column("q").combine_chunks())
+        ids, names = rows.column("id").to_numpy(), queries.column("query_id").to_numpy()
+        found = {"query_id": [], "id": [], "score": []}
+        if len(x) and len(q):
+            far = squared(q, x)
+            for i, name in enumerate(names):
+                d = np.where(ids == name, np.inf, far[i])
+                edge = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                near = np.flatnonzero(d <= edge + 1e-9 * (1 + abs(edge))) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
+                exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                first = np.lexsort((ids[near], exact))[:k]
+                found["query_id"].append(np.full(len(first), name))
+                found["id"].append(ids[near][first])
+                found["score"].append(exact[first])
+        flat = {c: np.concatenate(v) if v else np.zeros(0) for c, v in found.items()}
+        return pa.table({"query_id": pa.array(flat["query_id"].astype(np.int64)), "id": pa.array(flat["id"].astype(np.int64)), "score": pa.array(flat["score"].astype(float))})
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, how: Forest = Forest(), id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -124,33 +184,78 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, how: Forest = Fore
     every = usable(vectors, id_col, vector)
     index = staged(without_spare_copies(every, k), "index")
     rows = index.count()
-    every_nth = max(1, rows // how.sample)
+    every_nth = max(1, -(-rows // how.sample))
     picked = index.where(F.pmod(F.xxhash64("id", F.lit(how.seed)), F.lit(every_nth)) == 0).select("v").limit(how.sample).toArrow()
     sample = matrix(picked.column("v").combine_chunks()) if rows and picked.num_rows else np.zeros((0, 0))
-    forest = spark.sparkContext.broadcast(fit(sample, rows, how))
+    direction, threshold = fit(sample, rows, how)
+    trees, leaves = threshold.shape[0], threshold.shape[1] + 1
+    probes = calibrated(sample, direction, threshold, k, how)
+    forest = spark.sparkContext.broadcast((direction, threshold))
+
+    def doors_of(x: np.ndarray) -> list[list[tuple[int, int]]]:
+        direction, threshold = forest.value
+        margins = np.einsum("ij,tnj->itn", x, direction, optimize=True) - threshold
+        return [opened(m, probes) for m in margins]
+
+    def counted(of: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((trees, leaves), np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    x = matrix(batch.column(0).slice(at, 256))
+                    if of == "rows":
+                        np.add.at(n, (np.arange(trees)[None, :], leaves_of(x, *forest.value)), 1)
+                    else:
+                        for door in (d for one in doors_of(x) for d in one):
+                            n[door] += 1
+            t, leaf = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(leaf.astype(np.int32)), pa.array(n[t, leaf])], ["tree", "leaf", "n"])
+
+        return run
+
+    asked = every.where(queries)
+
+    def blocks(table: DataFrame, of: str, size: int) -> np.ndarray:
+        # One row for every tree and leaf, of which a bounded sample makes a bounded number.
+        n = np.ones((trees, leaves), np.int64)
+        counts = table.select("v").mapInArrow(counted(of), "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n"))
+        for r in counts.collect():
+            n[r["tree"], r["leaf"]] = -(-r["n"] // size)
+        return n
+
+    row_blocks, query_blocks = blocks(index, "rows", how.rows_block), blocks(asked, "queries", how.queries_block)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 leaf = leaves_of(matrix(batch.column(1)), *forest.value)
-                for tree in range(leaf.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), tree, np.int32)), pa.array(leaf[:, tree].astype(np.int32)), *batch.columns], ["tree", "leaf", "id", "v"])
+                for tree in range(trees):
+                    own = leaf[:, tree]
+                    copies = query_blocks[tree, own]
+                    row = np.repeat(np.arange(len(own)), copies)
+                    turn = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    block = salt(batch.column(0).to_numpy(), row_blocks[tree, own])[row]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree, np.int32)), pa.array(own[row].astype(np.int32)), pa.array(block), pa.array(turn.astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["tree", "leaf", "rb", "qb", "id", "v"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        direction, threshold = forest.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                margins = np.einsum("ij,tnj->itn", matrix(part.column(1)), direction, optimize=True) - threshold
-                doors = [opened(m, how.probes) for m in margins]
-                row = pa.array(np.repeat(np.arange(len(doors)), list(map(len, doors))))
-                flat = np.array([d for one in doors for d in one], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), part.column(0).take(row), part.column(1).take(row)], ["tree", "leaf", "query_id", "q"])
-
-    members = index.mapInArrow(placed, "tree int, leaf int, id long, v array<double>")
-    members = members.withColumn("v", F.col("v").cast(vectors.schema[vector].dataType))
-    doors = every.where(queries).mapInArrow(probed, "tree int, leaf int, query_id long, q array<double>")
-    pairs = doors.join(members, ["tree", "leaf"]).where("id != query_id").select("query_id", "id", F.sqrt(squared("q", "v")).alias("score"))
+                doors = doors_of(matrix(part.column(1)))
+                row = np.repeat(np.arange(len(doors)), list(map(len, doors)))
+                flat = np.array([d for one in doors for d in one], np.int64).reshape(-1, 2)
+                copies = row_blocks[flat[:, 0], flat[:, 1]]
+                turn = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                flat, row = np.repeat(flat, copies, axis=0), np.repeat(row, copies)
+                block = salt(part.column(0).to_numpy()[row], query_blocks[flat[:, 0], flat[:, 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0].astype(np.int32)), pa.array(flat[:, 1].astype(np.int32)), pa.array(turn.astype(np.int32)), pa.array(block), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], ["tree", "leaf", "rb", "qb", "query_id", "q"])
+
+    kind = "tree int, leaf int, rb int, qb int"
+    small = vectors.schema[vector].dataType
+    members = index.mapInArrow(placed, f"{kind}, id long, v array<double>").withColumn("v", F.col("v").cast(small))
+    doors = asked.mapInArrow(probed, f"{kind}, query_id long, q array<double>").withColumn("q", F.col("q").cast(small))
+    key = ["tree", "leaf", "rb", "qb"]
+    pairs = members.groupBy(*key).cogroup(doors.groupBy(*key)).applyInArrow(compared(k), "query_id long, id long, score double")
     return best(pairs, k)
 
 
