@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.text import let, numbered, unpacked
+from girder.llm.text import let, packed, text_key, unpacked
 from girder.shared import staged
 
 
@@ -130,10 +130,11 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """The documents with the secrets of their texts replaced; rows without any stay as they are."""
-    stored = staged(numbered(docs), "redaction")
-    flat = stored.select(F.col("_row").alias("_key"), F.col("_doc.text").alias("text"), F.col("_doc.source").alias("source"))
-    found = scan(flat, ["_key"]).where(F.size("spans") > 0).select(F.col("_key").alias("_row"), "spans")
-    both = stored.join(found, "_row", "left")
+    key = text_key(F.col("text"))
+    flat = docs.select(key.alias("_key"), F.col("text"), F.col("source"))
+    found = scan(flat, ["_key"]).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
+    rows = docs.select(key.alias("_key"), packed(docs).alias("_doc"))
+    both = rows.join(found, "_key", "left")
     text = F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(redacted(F.col("_doc.text"), F.col("spans")))
     both = both.withColumn("_text", text)
     return unpacked(both, docs.columns, text=F.col("_text"), n_chars=F.length("_text").cast("long"))

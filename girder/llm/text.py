@@ -32,13 +32,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(docs: DataFrame) -> Column:
+    """A row as one struct, so that no column of it can clash with one added."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """(_row, _doc): whole rows packed under a number, so that no column of theirs can clash with one added."""
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    """(_row, _doc): packed rows under a number."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs).alias("_doc"))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text; a null text has those of an empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def unpacked(packed: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The rows of a numbered table again, with some columns new."""
+    """The rows of a packed table again, with some columns new."""
     return packed.select(*[(new[c] if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in columns])
 
 
