@@ -9,8 +9,9 @@ the defaults (8 chunks of 5, one error) a pair at similarity 0.85 meets in a giv
 probability 0.835, and in none with probability 6e-7; links are then confirmed on full sets.
 
 Equal sets are one class, linked by nature, and only classes are joined. Under a key, every class is
-first paired with the smallest one; confirmed links make components; then only pairs
-across components are compared, which is no pair at all in a group of true copies. Nothing is capped.
+first paired with the smallest one; confirmed links make components; those outside the key's largest meet further members of it; then only pairs
+across components are compared. Where many classes under a key fall into several components, most are near
+misses; there a pair must also share one of its sets' rarest shingles, which every true link does. Nothing is capped.
 
 Nulls: a null, empty or wordless text has no set, is linked with nothing and is its own component.
 A null id is a document like others and never names a component that has another id. Repeated rows are exact
@@ -25,10 +26,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.llm.text import numbered, unpacked
+from girder.llm.text import packed, text_key, unpacked
 from girder.operators.components import connected_components
 from girder.shared import staged
 
@@ -39,6 +40,8 @@ class NearDup:
 
     far: signature distance beyond which a candidate is dropped unconfirmed; at similarity 0.85 it is
     exceeded with probability under 1e-11 (binomial, 40 positions, 0.15 each).
+    stars: further rounds in which a key's classes meet one class of its largest component.
+    few: classes under a key, beyond which its components are compared through rare shingles.
     """
 
     width: int = 3
@@ -47,6 +50,8 @@ class NearDup:
     per_chunk: int = 5
     errors: int = 1
     far: int = 25
+    few: int = 16
+    stars: int = 2
     seed: int = 7
 
     @property
@@ -156,8 +161,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     return pairs.where(100 * both >= how.percent * union).select("a", "b")
 
 
+def rare_prefixes(sets: DataFrame, how: NearDup) -> DataFrame:
+    """(token, node): of each set the rarest shingles, so many that two sets similar enough share one of them.
+
+    Two such sets share at least percent of the larger one; in any common order of all shingles the first
+    n - ceil(percent * n) + 1 of each then meet. The order is by frequency in these sets, so a set with enough shingles
+    of its own has nothing left to share.
+    """
+    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = tokens.join(often, "token")
+    at = Window.partitionBy("node")
+    place = F.row_number().over(at.orderBy("df", "token")) + F.col("n") - F.count(F.lit(1)).over(at)
+    first = shared.withColumn("place", place)
+    return first.where(F.col("place") <= F.col("n") - F.floor((how.percent * F.col("n") + 99) / 100) + 1).select("token", "node")
+
+
+def across(rows: DataFrame, key: str, how: NearDup) -> DataFrame:
+    """(a, b), once: pairs of rows (key, node, component, n, s) under one key whose components differ and that may be linked.
+
+    Under a key every row outside its largest component is held against all, so members of the largest are never paired.
+    """
+    counts = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("c"))
+    major = counts.groupBy(key).agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    t = rows.join(major.select(key, F.col("m.component").alias("major")), key)
+    side = lambda x: [F.col(key).alias(key), *[F.col(c).alias(f"{x}{d}") for c, d in (("node", ""), ("component", "_c"), ("n", "_n"), ("s", "_s"))]]
+    one, two = t.where("component <> major").select(*side("a")), t.select(*side("b"), (F.col("component") == F.col("major")).alias("in_major"))
+    apart = (F.col("a_c") != F.col("b_c")) & (F.col("in_major") | (F.col("a") < F.col("b")))
+    return one.join(two, key).where(apart & near("a", "b", how)).select("a", "b").distinct()
+
+
 def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataFrame, DataFrame | None]:
-    """Links between classes that connect what any confirmed pair connects, and their components."""
+    """Links between classes that connect what any confirmed pair connects, and their components if they are known."""
     keyed = classes.select(F.explode(chunk_keys(F.col("signature"), how)).alias("key"), "node")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("key", "hub")
     shared = staged(keyed.join(hubs, "key"), "keys")
@@ -168,34 +203,50 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
             pairs = pairs.join(sides.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("s").alias(f"{end}_s")), end)
         return pairs.where(near("a", "b", how)).select("a", "b")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        # The sets of the classes named in pairs, made from the text of the rows of the class's smallest id.
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "set_key", "min_id"), "node")
-        named = staged(named, "named")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        # The sets of these classes, made from the text of the rows of the class's smallest id.
+        named = staged(nodes.join(classes.select("node", "set_key", "min_id"), "node"), "named")
         ids = named.select(F.col("min_id").alias("_id")).distinct()
         rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
         made = measured(rows, how, [], with_sets=True).dropDuplicates(["set_key"])
         return staged(made.join(named.select("set_key", "node"), "set_key").select("node", "shingles"), "sets")
 
-    first = staged(possible(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "star")
-    links = staged(confirmed(first, sets_of(first), how), "links")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def star(pairs: DataFrame) -> DataFrame:
+        near = staged(possible(pairs.distinct()), "star")
+        return confirmed(near, sets_of(ends(near)), how)
+
+    parted = lambda t: t.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = staged(star(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "links")
     parts = staged(connected_components(links), "parts")
-    # Under keys with several components, pairs across them that no star has compared yet.
-    at = shared.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    at = staged(at, "members")
-    mixed_keys = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = staged(at.join(mixed_keys, "key").where("node != hub").join(sides, "node"), "across")
-    one, two = left.select("key", *[F.col(c).alias(f"a{d}") for c, d in (("node", ""), ("component", "_c"), ("n", "_n"), ("s", "_s"))]), left.select("key", *[F.col(c).alias(f"b{d}") for c, d in (("node", ""), ("component", "_c"), ("n", "_n"), ("s", "_s"))])
-    across = one.join(two, "key").where((F.col("a_c") < F.col("b_c")) & near("a", "b", how)).select("a", "b").distinct()
-    across = staged(across, "rest")
-    if across.isEmpty():
-        return links, parts
-    links = staged(links.unionByName(confirmed(across, sets_of(across), how)), "links")
-    return links, None
+    for turn in range(how.stars):
+        # Under each key those outside the largest component meet one of its members, another under every key.
+        at = staged(parted(shared.select("key", "node")), "members")
+        major = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("hub"))
+        major = major.groupBy("key").agg(F.max(F.struct("c", "component", "hub")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        outside = at.join(major.select("key", "m.component", F.col("m.hub").alias("hub")).withColumnRenamed("component", "major"), "key").where("component <> major")
+        links = staged(links.unionByName(star(outside.select(F.col("hub").alias("a"), F.col("node").alias("b")))), "links")
+        parts = staged(connected_components(links), "parts")
+    # Keys that hold several components still: few members are compared one by one, many through their rare shingles.
+    at = staged(parted(shared.select("key", "node")), "members")
+    several = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many")).where("x < y")
+    several = staged(several.select("key", (F.col("many") > how.few).alias("large")), "several")
+    left = at.join(several, "key")
+    pairs = staged(across(left.where("not large").drop("large").join(sides, "node"), "key", how), "rest")
+    more = [] if pairs.isEmpty() else [confirmed(pairs, sets_of(ends(pairs)), how)]
+    if not several.where("large").isEmpty():
+        sets = sets_of(left.where("large").select("node").distinct())
+        rows = parted(rare_prefixes(sets, how)).join(sides, "node")
+        more.append(confirmed(staged(across(rows, "token", how), "rest"), sets, how))
+    for t in more:
+        links = links.unionByName(t)
+    return (staged(links, "links"), None) if more else (links, parts)
 
 
 def components(docs: DataFrame, how: NearDup = NearDup(), keys: list[str] | None = None) -> DataFrame:
-    """keys, n_shingles, component_id (smallest doc_id reachable) of every row of documents (doc_id, text)."""
+    """keys, n_shingles, component_id (smallest doc_id reachable) and component (its number, null without a set) of every row of documents (doc_id, text)."""
     keys = ["doc_id"] if keys is None else keys
     rows = staged(measured(docs, how, keys), "signatures")
     classes = rows.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
@@ -204,23 +255,30 @@ def components(docs: DataFrame, how: NearDup = NearDup(), keys: list[str] | None
     parts = staged(connected_components(links), "parts") if parts is None else parts
     of = classes.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    named = of.select("set_key", "component").join(least, "component").select("set_key", "component_id")
+    named = of.select("set_key", "component").join(least, "component").select("set_key", "component_id", "component")
     out = rows.drop("signature").join(named, "set_key", "left")
-    return out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).select(*keys, "n_shingles", "component_id")
+    return out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).select(*keys, "n_shingles", "component_id", "component")
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return components(docs, how).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return components(docs, how).drop("component").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """One row of every component: that of the smallest id, of rows with that id the first stored one."""
-    stored = staged(numbered(docs), "dedup")
-    flat = stored.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
-    found = components(flat, how, ["doc_id", "_row"])
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # A wordless text is linked with nothing, so each of its rows stays.
-    alone = named.where("n_shingles = 0").select("_row")
-    first = named.where("n_shingles > 0").groupBy("component_id").agg(F.min("_row").alias("_row")).select("_row")
-    return unpacked(stored.join(alone.unionByName(first), "_row", "left_semi"), docs.columns)
+    """One row of every component: one with its smallest id. A wordless text is linked with nothing, so each of its rows stays.
+
+    Rows are named by id and digest of the text; of rows that are equal in both one stays.
+    """
+    rows = docs.select(packed(docs).alias("_doc"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_digest"))
+    flat = docs.select("doc_id", "text").withColumn("_digest", text_key(F.col("text")))
+    found = components(flat, how, ["doc_id", "_digest"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = found.groupBy("component", F.col("doc_id").alias("_i"), F.col("_digest").alias("_t")).agg(F.count(F.lit(1)).alias("copies"))
+    # Texts of one component under its smallest id differ in case or white space at most a little; the first by digest stays.
+    first = texts.where("component is not null").groupBy("component").agg(F.min(F.struct("_t", "_i", "copies")).alias("m")).select("m.*")
+    kept = staged(first.unionByName(texts.where("component is null").select("_t", "_i", F.lit(1).cast("long").alias("copies"))), "kept")
+    alone, several = kept.where("copies = 1"), kept.where("copies > 1")
+    match = lambda t: rows["_id"].eqNullSafe(t["_i"]) & (rows["_digest"] == t["_t"])
+    one = rows.join(alone, match(alone), "left_semi")
+    many = rows.join(several, match(several), "left_semi").dropDuplicates(["_id", "_digest"])
+    return unpacked(one.unionByName(many), docs.columns)
