@@ -3,8 +3,8 @@
 Each tree halves a bounded sample at the median of its projections on the line through two random
 members, level by level. Every row of the table goes down every tree to a leaf. A
 query opens leaves of all trees in order of one priority queue, keyed by the largest margin on the way, until
-so many are open as a calibration on the sample asks for; their members are compared exactly and the nearest kept. Of equal vectors only the
-k + 1 smallest ids can ever be among a query's k nearest, so copies beyond those are left out first, exactly.
+so many are open as a calibration on the sample asks for; their members are compared exactly and the nearest kept. Rows that
+repeat an id and its vector are dropped first. Of equal vectors only the k + 1 smallest ids can ever be among a query's k nearest, so copies beyond those are left out first, exactly.
 Rows and queries of one leaf meet in blocks of bounded size, whatever the leaf holds.
 
 How many leaves that takes is a matter of the data: vectors in clusters need few; directions spread evenly over
@@ -60,9 +60,14 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def without_spare_copies(t: DataFrame, k: int) -> DataFrame:
-    """Of each set of equal vectors the k + 1 rows of smallest id; the limit works before the shuffle, so no group gathers."""
+    """Of each set of equal vectors the k + 1 smallest ids, each once; the limit works before the shuffle, so no group gathers."""
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    return t.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
+    return t.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
+
+
+def rows_an_id(t: DataFrame) -> int:
+    """The most rows that one id has."""
+    return t.groupBy("id").count().agg(F.max("count")).first()[0] or 1
 
 
 def fit(sample: np.ndarray, rows: int, how: Forest) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +157,10 @@ def salt(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 
 
 def compared(k: int):
-    """A function of a block's rows and queries: each query's nearest rows in the block, ties at the edge included."""
+    """A function of a block's rows and queries: each query's k nearest ids in the block, each at its smallest distance.
+
+    An id has as many rows as it has vectors, so the rows looked at are k times the most rows of an id, ties at the edge included.
+    """
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         x, q = matrix(rows.column("v").combine_chunks()), matrix(queries.column("q").combine_chunks())
@@ -160,12 +168,14 @@ def compared(k: int):
         found = {"query_id": [], "id": [], "score": []}
         if len(x) and len(q):
             far = squared(q, x)
+            wanted = min(k * int(np.unique(ids, return_counts=True)[1].max()), len(ids))
             for i, name in enumerate(names):
                 d = np.where(ids == name, np.inf, far[i])
-                edge = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                edge = np.partition(d, wanted - 1)[wanted - 1]
                 near = np.flatnonzero(d <= edge + 1e-9 * (1 + abs(edge))) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
                 exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                first = np.lexsort((ids[near], exact))[:k]
+                order = np.lexsort((ids[near], exact))
+                first = order[np.sort(np.unique(ids[near][order], return_index=True)[1])[:k]]
                 found["query_id"].append(np.full(len(first), name))
                 found["id"].append(ids[near][first])
                 found["score"].append(exact[first])
@@ -213,7 +223,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, how: Forest = Fore
 
         return run
 
-    asked = every.where(queries)
+    asked = every.where(queries).distinct()
 
     def blocks(table: DataFrame, of: str, size: int) -> np.ndarray:
         # One row for every tree and leaf, of which a bounded sample makes a bounded number.
@@ -256,13 +266,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, how: Forest = Fore
     doors = asked.mapInArrow(probed, f"{kind}, query_id long, q array<double>").withColumn("q", F.col("q").cast(small))
     key = ["tree", "leaf", "rb", "qb"]
     pairs = members.groupBy(*key).cogroup(doors.groupBy(*key)).applyInArrow(compared(k), "query_id long, id long, score double")
-    return best(pairs, k)
+    return best(pairs, k, trees * rows_an_id(index) * rows_an_id(asked))
 
 
-def best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k first of each query's (query_id, id, score) pairs, repeats of an id counting once."""
+def best(pairs: DataFrame, k: int, scores: int) -> DataFrame:
+    """The k first of each query's (query_id, id, score) pairs, repeats of an id counting once; scores: different ones that a pair of ids has, at most."""
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    top = pairs.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= 2 * k)
+    top = pairs.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= scores * k)
     once = top.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

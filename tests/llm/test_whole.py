@@ -1,0 +1,31 @@
+"""Operators on documents and vectors where a bound once cut the job."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from girder.llm import neighbours
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def test_nearest_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(3)
+    x = [(i, [float(v) for v in np.float32(rng.standard_normal(4))]) for i in range(300)]
+    schema = "vec_id long, embedding array<float>"
+    got = lambda rows: [tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, schema).repartition(3), F.col("id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    once = got(x)
+    assert len(once) == 30
+    assert got(x + x) == once
+    near = once[0][2]
+    assert got(x + [x[near]] * 40) == once
+    # Twelve ids share a vector, and the smallest of them stands thirty times.
+    same = [(1000 + i, x[0][1]) for i in range(12)]
+    assert [r[2] for r in got(x + same + same[:1] * 30) if r[0] == 0] == list(range(1000, 1010))
+
+
+def test_nearest_takes_an_id_with_many_vectors_once(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(1, 60)] + [(i, [1.0, float(i)]) for i in range(2, 20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in neighbours.nearest(table, F.col("id") == 0, how=neighbours.Forest(rows_block=8)).orderBy("rank").collect()]
+    assert [i for i, _ in got] == list(range(1, 11)) and got[0][1] == pytest.approx(0.001)
