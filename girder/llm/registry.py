@@ -20,7 +20,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.read_shards(wavelet.write_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+    return wavelet.read_shards(wavelet.write_shards(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,18 +174,23 @@ def pre_token_pattern() -> str:
 
 
 class ByteEncoder:
-    """Ids of texts by the tokenizers library, each distinct pre-token encoded once while the table has room."""
+    """Ids of texts by the tokenizers library, each distinct pre-token encoded once while the table has room.
 
-    def __init__(self, path: str, table_rows: int = 200_000):
+    added_tokens: match the file's added tokens inside texts, as the library does by itself; else their characters are
+    plain text. A text that holds one is encoded whole, as the pattern would split it.
+    """
+
+    def __init__(self, path: str, table_rows: int = 200_000, added_tokens: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.split = re.compile(pre_token_pattern()).findall
-        self.odd = re.compile(f"[{PLAIN_BELOW}-\U0010ffff]").search
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.odd = re.compile("|".join([f"[{PLAIN_BELOW}-\U0010ffff]", *added])).search
         self.table: dict[str, bytes] = {}
         self.table_rows = table_rows
         self.levels = levels_for(self.tokenizer.get_vocab_size())
@@ -215,11 +220,11 @@ def encoded(encoder: ByteEncoder, batches: Iterator[pa.RecordBatch], rows: int =
             yield from zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 20, partitions: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 20, partitions: int | None = None, added_tokens: bool = False) -> DataFrame:
     """Encode (doc_id, text) and store the shards' files: (part, seq, first, n_docs, n_tokens, content).
 
     part, seq: the shard's place in the order; first: ids before it in its part. A shard is closed with the document that
-    brings it to ``shard_tokens``, so a task holds one shard at a time.
+    brings it to ``shard_tokens``, so a task holds one shard at a time. added_tokens: as of ``ByteEncoder``.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
@@ -228,7 +233,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = kept_in_worker(("bytes", tokenizer), lambda: ByteEncoder(tokenizer)), TaskContext.get().partitionId()
+        encoder, part = kept_in_worker(("bytes", tokenizer, added_tokens), lambda: ByteEncoder(tokenizer, added_tokens=added_tokens)), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.kind)
         seq, first, ids, names, lengths, held = 0, 0, [], [], [], 0
 

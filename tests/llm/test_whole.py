@@ -1,10 +1,12 @@
 """Operators on documents and vectors where a bound once cut the job."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from girder.llm import neighbours
+from girder.llm import neighbours, registry
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -29,3 +31,20 @@ def test_nearest_takes_an_id_with_many_vectors_once(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["vec_id"], r["score"]) for r in neighbours.nearest(table, F.col("id") == 0, how=neighbours.Forest(rows_block=8)).orderBy("rank").collect()]
     assert [i for i, _ in got] == list(range(1, 11)) and got[0][1] == pytest.approx(0.001)
+
+
+def test_token_ids_are_those_of_the_untouched_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    marker = "<|endoftext|>"
+    texts = [f"end {marker} next", marker, f"{marker}{marker} x{marker}", f"ж {marker} 😀", "<|endoftext |> <|END|>", "plain  text's end", None]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected, at = [], 0
+    for i, t, _ in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        expected.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert expected[0][2] == 5
+    assert sorted(tuple(r) for r in registry.op3_token_ids(spark, str(tmp_path)).collect()) == expected
