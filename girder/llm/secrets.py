@@ -94,15 +94,15 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", owner: str | None
     who = F.coalesce(F.concat(F.lit("="), F.col("_who").cast("string")), F.lit("")) if owner else F.col("_row").cast("string")
     where = F.coalesce(F.concat(F.lit("="), F.col("_where").cast("string")), F.lit("")) if repository else who
     seen = staged(seen.withColumn("_who_key", who).withColumn("_where_key", where), "secrets")
-    # A candidate inside a base span adds nothing and takes no part.
+    # A candidate inside a base span adds no span of its own but counts for its owner.
     extra = seen.where(F.size("_owned") > 0).select("_row", "_who_key", "_where_key", F.concat("_b0", "_b1", "_b2").alias("_base"), F.explode("_owned").alias("s"))
     inside = F.exists("_base", lambda b: (b["start"] <= F.col("s.start")) & (F.col("s.end") <= b["end"]))
-    extra = extra.where(~inside).withColumn("h", F.sha2(F.col("s.secret"), 256)).drop("_base")
+    extra = extra.withColumn("inside", inside).withColumn("h", F.sha2(F.col("s.secret"), 256)).drop("_base")
     extra = staged(extra, "candidates")
     places = extra.groupBy("h", "_who_key", "_where_key").agg(F.count(F.lit(1)).alias("n"))
     owners = places.groupBy("h", "_who_key").agg(F.count(F.lit(1)).alias("repositories"))
     verdict = owners.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    live = extra.join(verdict.where(F.col("owners") < COPIED_BY), "h").groupBy("_row").agg(F.collect_list("s").alias("_live"))
+    live = extra.where(~F.col("inside")).join(verdict.where(F.col("owners") < COPIED_BY), "h").groupBy("_row").agg(F.collect_list("s").alias("_live"))
     both = seen.join(live, "_row", "left")
     n = {f"n_{k.name}": F.size(f"_b{i}").cast("long") for i, k in enumerate(BASE)}
     every = F.concat("_b0", "_b1", "_b2", F.coalesce("_live", F.array().cast(SPAN)))

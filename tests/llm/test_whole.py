@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from girder.llm import neighbours, registry
+from girder.llm import neighbours, registry, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -48,3 +48,13 @@ def test_token_ids_are_those_of_the_untouched_tokenizer(spark, tmp_path):
         at += len(ids)
     assert expected[0][2] == 5
     assert sorted(tuple(r) for r in registry.op3_token_ids(spark, str(tmp_path)).collect()) == expected
+
+
+def test_owners_count_where_a_candidate_stands_in_a_base_span(spark):
+    copied, live = "ghp_Zz9Yy8Xx7Ww6Vv5Uu4Tt3Ss2", "ghp_Aa1Bb2Cc3Dd4Ee5Ff6Gg7Hh8"
+    rows = [(i, f"token = {copied}", f"s{i}") for i in range(3)] + [(3, f"see {copied}", "s3"), (4, f"see {live}", "s4"), (5, f"token = {live}", "s4")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_documents(table).collect()}
+    assert got == {0: "assign:0:36", 1: "assign:0:36", 2: "assign:0:36", 3: "", 4: "prefixed:4:32,mixed:4:32", 5: "assign:0:36"}
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted_documents(table).collect()}
+    assert texts[0] == "[SECRET]" and texts[3] == f"see {copied}" and texts[4] == "see [SECRET]"
