@@ -35,8 +35,9 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its token ids."""
-    return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Each row with its token ids and the text that they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.decoded(pieces.encoded(docs, model), model, text="decoded")
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,15 @@ def test_owners_count_where_a_candidate_stands_in_a_base_span(spark):
     assert got == {0: "assign:0:36", 1: "assign:0:36", 2: "assign:0:36", 3: "", 4: "prefixed:4:32,mixed:4:32", 5: "assign:0:36"}
     texts = {r["doc_id"]: r["text"] for r in secrets.redacted_documents(table).collect()}
     assert texts[0] == "[SECRET]" and texts[3] == f"see {copied}" and texts[4] == "see [SECRET]"
+
+
+def test_the_last_stage_decodes_what_it_encodes(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(1, "Größe  ▁ 😀 one\ttwo", "s"), (2, "", "s"), (3, None, "s")]
+    got = corpus_pipeline.encoding(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert len(got) == 3
+    for r in got:
+        ids = library.encode(r["text"] or "", add_eos=True)
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids)
