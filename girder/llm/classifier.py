@@ -3,7 +3,7 @@
 A linear score over measures of the text is fitted so that the non-negative unbiased risk is least: trusted
 positives count with the class prior, unlabelled web text stands for all classes, and the
 part of the risk that the estimate gives to negatives is kept from going below zero. The prior is estimated
-from the labelled training rows. The fitted score is then scaled to a probability on the same rows.
+from all labelled training rows, without a bound. The fitted score is then scaled to a probability on the same rows.
 
 Fitted on bounded samples (``labelled``, ``unlabelled`` rows, drawn by hash of the id); every row of the table is scored, by
 column expressions. Nulls: a null or empty text has the measures of an empty one and a score; a
@@ -137,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> Mod
     """Fit on documents (doc_id, text) and labels (doc_id, quality), without held-out labels."""
     order = F.xxhash64(F.col("doc_id"), F.lit(how.seed))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    every_known = known
     known = staged(known.orderBy(order, "quality").limit(how.labelled), "labelled")
     rows = docs.count()
     every = max(1, -(-rows // how.unlabelled))
@@ -148,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> Mod
     y, x, u = np.asarray(named.column("quality")), spread(rows_of(named)), spread(rows_of(web))
     if not len(u) or not (y == 1).any():
         return Model(float(np.log(how.default_prior / (1 - how.default_prior))), [0.0] * (2 * k))
-    prior = float(np.clip((y == 1).mean(), 0.02, 0.98))
+    share = text.select("doc_id").join(every_known, "doc_id").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    prior = float(np.clip(share, 0.02, 0.98))
     w, b, mean, scale = fit_pu(x[y == 1], u, prior, how)
     slope, shift = scaled((x - mean) / scale @ w + b, y)
     w = slope * w / scale

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from girder.llm import neighbours, registry, secrets
+from girder.llm import classifier, neighbours, registry, secrets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -71,3 +71,13 @@ def test_the_last_stage_decodes_what_it_encodes(spark):
     for r in got:
         ids = library.encode(r["text"] or "", add_eos=True)
         assert r["ids"] == ids and r["decoded"] == library.decode(ids)
+
+
+def test_the_prior_is_that_of_all_permitted_labels(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"))
+    permitted = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    priors, fit = [], classifier.fit_pu
+    monkeypatch.setattr(classifier, "fit_pu", lambda p, u, prior, how: priors.append(prior) or fit(p, u, prior, how))
+    classifier.train(docs, labels, classifier.Learning(labelled=20, steps=5))
+    assert priors == [pytest.approx(sum(i % 3 == 0 for i in permitted) / len(permitted))]
