@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,29 @@ def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
         held.clear()
         held[key] = make()
     return held[key]
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices whose texts have about ``most`` bytes together; one text longer than that is a slice of its own.
+
+    What a worker makes of a slice is a multiple of its bytes, so this bounds a worker's memory by the longest text.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def buffer_of(texts: pa.Array, padding: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column, end to end with zeros after them, and where each text begins and the last ends; nulls are empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+    out = np.zeros(int(offsets[-1] - offsets[0]) + padding, np.uint8)
+    if data is not None:
+        out[:-padding] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return out, offsets - offsets[0]

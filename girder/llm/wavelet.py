@@ -14,9 +14,7 @@ gives no files.
 
 from __future__ import annotations
 
-import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.text import kept_in_worker
+from girder.llm.bytepairs import ByteEncoder
+from girder.llm.text import kept_in_worker, text_batches
 from girder.shared import staged
 
 MAGIC = b"GWM1"
 BLOCK = 512
-#: Letters, digits and signs up to here are classed alike by all versions of the character tables.
-PLAIN_BELOW = "ɐ"
 
 
 def levels_for(vocabulary: int) -> int:
@@ -161,70 +158,11 @@ class WaveletMatrix:
         return found
 
 
-def pre_token_pattern() -> str:
-    """The byte-level pre-tokenizer's pattern over plain characters: a text is the row of its matches.
-
-    Contractions, letters, digits and other signs, each with a space before it, and white space but for its last
-    character where a word follows.
-    """
-    plain = list(map(chr, range(ord(PLAIN_BELOW))))
-    letters, digits = ("".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k) for k in "LN")
-    space = r"\t-\r \x85\xa0"
-    return rf" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+"
-
-
-class ByteEncoder:
-    """Ids of texts by the tokenizers library, each distinct pre-token encoded once while the table has room.
-
-    added_tokens: match the file's added tokens inside texts, as the library does by itself; else their characters are
-    plain text. A text that holds one is encoded whole, as the pattern would split it.
-    """
-
-    def __init__(self, path: str, table_rows: int = 200_000, added_tokens: bool = False):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added_tokens
-        self.split = re.compile(pre_token_pattern()).findall
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
-        self.odd = re.compile("|".join([f"[{PLAIN_BELOW}-\U0010ffff]", *added])).search
-        self.table: dict[str, bytes] = {}
-        self.table_rows = table_rows
-        self.levels = levels_for(self.tokenizer.get_vocab_size())
-        self.kind = np.dtype("<u4" if self.levels > 16 else "<u2")
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; pre-tokens that the table lacks are encoded together."""
-        parts = [None if self.odd(t) else self.split(t) for t in texts]
-        need = set().union(*(p for p in parts if p))
-        if len(self.table) + len(need) > self.table_rows:
-            self.table = {k: self.table[k] for k in need if k in self.table}
-        new = [p for p in need if p not in self.table]
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.table[part] = self.packed(e.ids)
-        known = self.table.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind) if p is None else np.frombuffer(b"".join(map(known, p)), self.kind) for t, p in zip(texts, parts, strict=True)]
-
-
-def encoded(encoder: ByteEncoder, batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[int | None, np.ndarray]]:
-    """Ids of the documents of batches (doc_id, text), some at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield from zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True)
-
-
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 20, partitions: int | None = None, added_tokens: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 20, partitions: int | None = None) -> DataFrame:
     """Encode (doc_id, text) and store the shards' files: (part, seq, first, n_docs, n_tokens, content).
 
     part, seq: the shard's place in the order; first: ids before it in its part. A shard is closed with the document that
-    brings it to ``shard_tokens``, so a task holds one shard at a time. added_tokens: as of ``ByteEncoder``.
+    brings it to ``shard_tokens``, so a task holds one shard at a time.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
@@ -233,7 +171,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = kept_in_worker(("bytes", tokenizer, added_tokens), lambda: ByteEncoder(tokenizer, added_tokens=added_tokens)), TaskContext.get().partitionId()
+        encoder, part = kept_in_worker(("bytes", tokenizer), lambda: ByteEncoder(tokenizer)), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.kind)
         seq, first, ids, names, lengths, held = 0, 0, [], [], [], 0
 
@@ -241,14 +179,15 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_tokens:
             content = pack(np.concatenate(ids), encoder.levels, names, lengths)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first": pa.array([first], pa.int64()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "content": pa.array([content], pa.binary())})
 
-        for doc_id, found in encoded(encoder, batches):
-            ids += [found, end]
-            names.append(doc_id)
-            lengths.append(len(found) + 1)
-            held += lengths[-1]
-            if held >= shard_tokens:
-                yield closed()
-                seq, first, ids, names, lengths, held = seq + 1, first + held, [], [], [], 0
+        for batch in text_batches(batches, 1):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                ids += [found, end]
+                names.append(doc_id)
+                lengths.append(len(found) + 1)
+                held += lengths[-1]
+                if held >= shard_tokens:
+                    yield closed()
+                    seq, first, ids, names, lengths, held = seq + 1, first + held, [], [], [], 0
         if names:
             yield closed()
 

@@ -166,7 +166,6 @@ def test_wavelet_files_hold_the_ids(docs, none):
 
     path = public_tokenizers.path(BYTES)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     shards = wavelet.write_shards(docs, path, shard_tokens=2000)
     assert shards.count() > 5
     got = rows_of(wavelet.read_shards(shards))
