@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.shared import staged
+
 
 def first_seen(table: DataFrame, digest: str, *order: str) -> DataFrame:
     """The first row of every digest by the order given, with how many it stands for."""
@@ -24,19 +26,26 @@ def flag_counts(table: DataFrame, flags: str) -> DataFrame:
     return table.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_ids(table: DataFrame, order: list[str], by: list[str] | None = None, name: str = "number") -> DataFrame:
-    """Rows numbered from 1 without gaps, in a group or over all.
+def running_sums(table: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add to each row the sums of columns over all rows before it in a global order.
 
-    Over all, rows are sorted by range and each partition's count goes before the next one's, so no task sees the whole table.
+    Rows are sorted by range into partitions, stored, and the totals of the partitions before go to each row, so no task sees the
+    whole table. What is broadcast is one row a partition. Rows equal in ``order`` have no defined order among each other.
     """
+    placed = staged(table.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), **{f"_v_{k}": c for k, c in sums.items()}}), "ranges")
+    totals = placed.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(earlier), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(totals), "_part").withColumns({k: F.col(f"_b_{k}") + F.coalesce(F.sum(f"_v_{k}").over(own), F.lit(0)) for k in sums})
+    return out.drop("_part", *[f"_{x}_{k}" for k in sums for x in "vb"])
+
+
+def dense_ids(table: DataFrame, order: list[str], by: list[str] | None = None, name: str = "number") -> DataFrame:
+    """Rows numbered from 1 without gaps, in a group or over all."""
     if by:
         return table.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    placed = table.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    placed = placed.withColumn("_own", F.row_number().over(own))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    return running_sums(table, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) + 1)
 
 
 def last_values(table: DataFrame, order: list[str], columns: list[str], by: list[str]) -> DataFrame:

@@ -29,12 +29,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of ids and numbers that one task writes with ease.
+ROWS_A_TASK = 250_000
+
+
+def staged(df: DataFrame, name: str, most: int | None = None, heavy: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs a reread of the table and not
-    a recomputation, and values such as generated ids stay what they were.
+    a recomputation, and values such as generated ids stay what they were. most: a bound on the rows of a narrow table, where
+    the caller has counted one; a table proven small is then written by few tasks, whatever the number of shuffle partitions. Those
+    tasks make the rows too, unless making them is heavy: then the rows are dealt to them when made.
     """
     path = shared_path(df.sparkSession, name)
+    if most is not None and (tasks := -(-max(most, 1) // ROWS_A_TASK)) < 200:
+        df = df.repartition(tasks) if heavy else df.coalesce(tasks)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
