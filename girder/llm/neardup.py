@@ -9,9 +9,10 @@ the defaults (8 chunks of 5, one error) a pair at similarity 0.85 meets in a giv
 probability 0.835, and in none with probability 6e-7; links are then confirmed on full sets.
 
 Equal sets are one class, linked by nature, and only classes are joined. Under a key, every class is
-first paired with the smallest one; confirmed links make components; those outside the key's largest meet further members of it; then only pairs
-across components are compared. Where many classes under a key fall into several components, most are near
-misses; there a pair must also share one of its sets' rarest shingles, which every true link does. Nothing is capped.
+first paired with the most central one, which meets most classes under all its keys; confirmed links make components, and only
+pairs across components are compared further. Few classes under a key are compared one by one. Many are mostly near misses of
+one text, alike in all but their differences from the central class, so there the differences are joined: two sets
+differ from each other exactly where one of them differs from the centre and the other does not. Nothing is capped.
 
 Nulls: a null, empty or wordless text has no set, is linked with nothing and is its own component.
 A null id is a document like others and never names a component that has another id. Repeated rows are exact
@@ -26,10 +27,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from girder.llm.text import packed, text_key, unpacked
+from girder.llm.text import packed, text_batches, text_key, unpacked
 from girder.operators.components import connected_components
 from girder.shared import staged
 
@@ -40,8 +41,7 @@ class NearDup:
 
     far: signature distance beyond which a candidate is dropped unconfirmed; at similarity 0.85 it is
     exceeded with probability under 1e-11 (binomial, 40 positions, 0.15 each).
-    stars: further rounds in which a key's classes meet one class of its largest component.
-    few: classes under a key, beyond which its components are compared through rare shingles.
+    few: classes under a key, beyond which they are compared through their differences from its central one.
     """
 
     width: int = 3
@@ -51,7 +51,6 @@ class NearDup:
     errors: int = 1
     far: int = 25
     few: int = 16
-    stars: int = 2
     seed: int = 7
 
     @property
@@ -112,21 +111,19 @@ def measured(docs: DataFrame, how: NearDup, keys: list[str], with_sets: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = shingle_sets([x.as_py() or b"" for x in part.column(part.num_columns - 1)], how.width)
-                full = [i for i, s in enumerate(sets) if len(s)]
-                names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                if with_sets:
-                    tail = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                else:
-                    marks: list = [None] * len(sets)
-                    if full:
-                        for i, row in zip(full, signatures([sets[i] for i in full], how), strict=True):
-                            marks[i] = row.tobytes()
-                    tail = pa.array(marks, pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), tail], [*keys, "n_shingles", "set_key", last.split()[0]])
+        for part in text_batches(batches, len(keys)):
+            sets = shingle_sets([x.as_py() or b"" for x in part.column(part.num_columns - 1)], how.width)
+            full = [i for i, s in enumerate(sets) if len(s)]
+            names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            if with_sets:
+                tail = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            else:
+                marks: list = [None] * len(sets)
+                if full:
+                    for i, row in zip(full, signatures([sets[i] for i in full], how), strict=True):
+                        marks[i] = row.tobytes()
+                tail = pa.array(marks, pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary()), tail], [*keys, "n_shingles", "set_key", last.split()[0]])
 
     return docs.select(*keys, F.col("text").cast("binary").alias("_text")).mapInArrow(run, f"{kinds}n_shingles long, set_key binary, {last}")
 
@@ -161,20 +158,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     return pairs.where(100 * both >= how.percent * union).select("a", "b")
 
 
-def rare_prefixes(sets: DataFrame, how: NearDup) -> DataFrame:
-    """(token, node): of each set the rarest shingles, so many that two sets similar enough share one of them.
+#: Differences to shingles of a set, up to which a member is held to be near its centre.
+NEAR = 0.6
+#: The centre of those that are near none: the empty set.
+NO_CENTRE = -1
 
-    Two such sets share at least percent of the larger one; in any common order of all shingles the first
-    n - ceil(percent * n) + 1 of each then meet. The order is by frequency in these sets, so a set with enough shingles
-    of its own has nothing left to share.
+
+def differences(members: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """(hub, node, n, m, dn, d, far) of members (hub, node): sizes of both sets, and the shingles in which they differ.
+
+    Two linked sets differ in at most r = (100 - percent) / percent of either's size. So where one has at most ``NEAR`` times its size of
+    differences, both have at most NEAR * (1 + r) + r times it, and keep them in ``d``. ``far`` are all beyond NEAR.
+    """
+    r = (100 - how.percent) / how.percent
+    x, h = sets.select("node", "shingles"), sets.select(F.col("node").alias("hub"), F.col("shingles").alias("centre"))
+    both = members.join(x, "node").join(h, "hub").withColumn("d", F.concat(F.array_except("shingles", "centre"), F.array_except("centre", "shingles")))
+    t = both.select("hub", "node", F.size("shingles").alias("n"), F.size("centre").alias("m"), F.size("d").alias("dn"), "d")
+    return t.withColumns({"d": F.when(F.col("dn") <= (NEAR * (1 + r) + r + 1e-9) * F.col("n"), F.col("d")), "far": F.col("dn") > NEAR * F.col("n")})
+
+
+def rarest(rows: DataFrame, how: NearDup) -> DataFrame:
+    """(hub, node, n, dn, tokens, token) of rows (hub, node, n, d): the number of differences, those that another member has too, and a row for each of the rarest.
+
+    Of a member's ``dn`` differences from the centre all but (100 - percent) / percent of its size are differences of a linked set too.
+    In any common order, here by frequency, the first tokens of both then meet, and they are so many fewer as more must be shared.
+    """
+    each = rows.select("hub", "node", "n", F.size("d").alias("dn"), F.explode("d").alias("token"))
+    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = each.join(often, ["hub", "token"]).groupBy("hub", "node", "n", "dn").agg(F.array_sort(F.collect_list(F.struct("df", "token")))["token"].alias("tokens"))
+    least = F.greatest(F.lit(1), F.col("dn") - F.floor((100 - how.percent) * F.col("n") / how.percent))
+    # Tokens of one member alone are the rarest of all and meet none.
+    first = F.greatest(F.lit(0), F.size("tokens") - least + 1).cast("int")
+    return common.withColumn("token", F.explode(F.slice("tokens", 1, first)))
+
+
+def alike(sizes: Column, apart: Column, how: NearDup) -> Column:
+    """Whether sets of these sizes together, with so many shingles that one of them lacks, are linked."""
+    return (100 + how.percent) * (sizes - apart) >= 2 * how.percent * sizes
+
+
+def linked_by_differences(rows: DataFrame, how: NearDup) -> DataFrame:
+    """(a, b), once: linked pairs of rows of ``rarest`` with their ``component`` and the centre's, ``centre``, of different components.
+
+    Members outside the centre's component are held against all that share a rare token. The test is exact: the sets differ in
+    what is a difference of one of them alone.
     """
-    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(often, "token")
-    at = Window.partitionBy("node")
-    place = F.row_number().over(at.orderBy("df", "token")) + F.col("n") - F.count(F.lit(1)).over(at)
-    first = shared.withColumn("place", place)
-    return first.where(F.col("place") <= F.col("n") - F.floor((how.percent * F.col("n") + 99) / 100) + 1).select("token", "node")
+    side = lambda x: ["hub", "token", *[F.col(c).alias(f"{x}{d}") for c, d in (("node", ""), ("component", "_c"), ("n", "_n"), ("dn", "_dn"), ("tokens", "_t"))]]
+    one, two = rows.where("component <> centre").select(*side("a")), rows.select(*side("b"), (F.col("component") == F.col("centre")).alias("in_centre"))
+    other = (F.col("a_c") != F.col("b_c")) & (F.col("in_centre") | (F.col("a") < F.col("b")))
+    close = lambda shared: alike(F.col("a_n") + F.col("b_n"), F.col("a_dn") + F.col("b_dn") - 2 * shared, how)
+    hit = other & close(F.least(F.size("a_t"), F.size("b_t"))) & close(F.size(F.array_intersect("a_t", "b_t")))
+    return one.join(two, ["hub", "token"]).where(hit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def across(rows: DataFrame, key: str, how: NearDup) -> DataFrame:
@@ -194,8 +228,8 @@ def across(rows: DataFrame, key: str, how: NearDup) -> DataFrame:
 def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataFrame, DataFrame | None]:
     """Links between classes that connect what any confirmed pair connects, and their components if they are known."""
     keyed = classes.select(F.explode(chunk_keys(F.col("signature"), how)).alias("key"), "node")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("key", "hub")
-    shared = staged(keyed.join(hubs, "key"), "keys")
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = staged(keyed.join(several, "key"), "keys")
     sides = classes.select("node", F.col("n_shingles").alias("n"), F.col("signature").alias("s"))
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -203,61 +237,71 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
             pairs = pairs.join(sides.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("s").alias(f"{end}_s")), end)
         return pairs.where(near("a", "b", how)).select("a", "b")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def sets_of(nodes: DataFrame, most: int | None = None) -> DataFrame:
         # The sets of these classes, made from the text of the rows of the class's smallest id.
-        named = staged(nodes.join(classes.select("node", "set_key", "min_id"), "node"), "named")
-        ids = named.select(F.col("min_id").alias("_id")).distinct()
-        rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+        named = staged(nodes.join(classes.select("node", "set_key", "min_id", "mark"), "node"), "named", most, heavy=True)
+        ids = named.select(F.col("min_id").alias("_id"), F.col("mark").alias("_its")).distinct()
+        rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (docs["_mark"] == ids["_its"]), "left_semi")
         made = measured(rows, how, [], with_sets=True).dropDuplicates(["set_key"])
         return staged(made.join(named.select("set_key", "node"), "set_key").select("node", "shingles"), "sets")
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-
-    def star(pairs: DataFrame) -> DataFrame:
-        near = staged(possible(pairs.distinct()), "star")
-        return confirmed(near, sets_of(ends(near)), how)
-
-    parted = lambda t: t.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    links = staged(star(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "links")
-    parts = staged(connected_components(links), "parts")
-    for turn in range(how.stars):
-        # Under each key those outside the largest component meet one of its members, another under every key.
-        at = staged(parted(shared.select("key", "node")), "members")
-        major = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("hub"))
-        major = major.groupBy("key").agg(F.max(F.struct("c", "component", "hub")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        outside = at.join(major.select("key", "m.component", F.col("m.hub").alias("hub")).withColumnRenamed("component", "major"), "key").where("component <> major")
-        links = staged(links.unionByName(star(outside.select(F.col("hub").alias("a"), F.col("node").alias("b")))), "links")
-        parts = staged(connected_components(links), "parts")
-    # Keys that hold several components still: few members are compared one by one, many through their rare shingles.
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar enough, stored."""
+        many = pairs.count()
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return staged(confirmed(pairs, sets_of(ends, 2 * many), how), "links", many, heavy=True)
+
+    central = shared.groupBy("node").agg(F.sum("many").alias("met"))
+    hubs = staged(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub")), "hubs")
+    first = shared.join(hubs, "key").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = checked(staged(possible(first), "star"))
+    parts = connected_components(links)
+    parted = lambda t, node="node", name="component": t.join(parts.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     at = staged(parted(shared.select("key", "node")), "members")
     several = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many")).where("x < y")
     several = staged(several.select("key", (F.col("many") > how.few).alias("large")), "several")
-    left = at.join(several, "key")
+    left, found = at.join(several, "key"), False
     pairs = staged(across(left.where("not large").drop("large").join(sides, "node"), "key", how), "rest")
-    more = [] if pairs.isEmpty() else [confirmed(pairs, sets_of(ends(pairs)), how)]
-    if not several.where("large").isEmpty():
-        sets = sets_of(left.where("large").select("node").distinct())
-        rows = parted(rare_prefixes(sets, how)).join(sides, "node")
-        more.append(confirmed(staged(across(rows, "token", how), "rest"), sets, how))
-    for t in more:
-        links = links.unionByName(t)
-    return (staged(links, "links"), None) if more else (links, parts)
+    if not pairs.isEmpty():
+        links, found = links.unionByName(checked(pairs)), True
+    # A key's centre is the most central class of the component of its hub; few centres make few tables of differences.
+    tops = staged(parted(central).groupBy("component").agg(F.max(F.struct("met", "node"))["node"].alias("top")).withColumnRenamed("component", "centre"), "tops")
+    members = left.where("large").join(hubs, "key").select("hub", "node", "component").distinct()
+    members = parted(members, "hub", "centre").join(tops, "centre").where("node != top").select(F.col("top").alias("hub"), "node", "component", "centre").distinct()
+    members = staged(members, "large")
+    if many := members.count():
+        nodes = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
+        sets = sets_of(nodes, 2 * many)
+        apart = staged(differences(members.select("hub", "node"), sets, how), "differences")
+        direct = apart.where(alike(F.col("n") + F.col("m"), F.col("dn"), how)).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        close = apart.where("d is not null").select("hub", "node", "n", "d").join(members, ["hub", "node"])
+        lost = apart.where("far").select("node").distinct().join(sets, "node")
+        lost = parted(lost).select(F.lit(NO_CENTRE).cast("long").alias("hub"), "node", F.size("shingles").alias("n"), F.col("shingles").alias("d"), "component", F.lit(NO_CENTRE).cast("long").alias("centre"))
+        kinds = close.unionByName(lost)
+        rows = rarest(kinds, how).join(kinds.select("hub", "node", "component", "centre"), ["hub", "node"])
+        links, found = links.unionByName(staged(linked_by_differences(rows, how).unionByName(direct), "links", 2 * many, heavy=True)), True
+    return links, None if found else parts
 
 
 def components(docs: DataFrame, how: NearDup = NearDup(), keys: list[str] | None = None) -> DataFrame:
     """keys, n_shingles, component_id (smallest doc_id reachable) and component (its number, null without a set) of every row of documents (doc_id, text)."""
     keys = ["doc_id"] if keys is None else keys
-    rows = staged(measured(docs, how, keys), "signatures")
-    classes = rows.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("min_id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
+    docs = docs.select(*keys, "text", F.xxhash64("text").alias("_mark"))
+    rows = staged(measured(docs, how, [*keys, "_mark"]), "signatures")
+    # A class is read again from the row of its smallest id, named by id and hash of the text, as an id alone may be null or repeated.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_mark")).alias("first")
+    classes = rows.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(first, F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
+    classes = classes.select("set_key", F.col("first.doc_id").alias("min_id"), F.col("first._mark").alias("mark"), "n_shingles", "signature")
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     links, parts = near_links(docs, classes, how)
-    parts = staged(connected_components(links), "parts") if parts is None else parts
+    parts = connected_components(links) if parts is None else parts
     of = classes.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("min_id").alias("component_id"))
     named = of.select("set_key", "component").join(least, "component").select("set_key", "component_id", "component")
-    out = rows.drop("signature").join(named, "set_key", "left")
-    return out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).select(*keys, "n_shingles", "component_id", "component")
+    out = [*keys, "n_shingles", "component_id", "component"]
+    linked = rows.drop("signature").join(named, "set_key").select(*out)
+    alone = rows.where(F.col("set_key").isNull()).withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")}).select(*out)
+    return linked.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
