@@ -128,9 +128,33 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs by one product; good to rounding, not to the last digit."""
-    return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
+def squared(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs by one product, up to a power of two, and for each of q how far off they may be.
+
+    A common centre is taken away first, which no distance notices, so that the error goes with the spread of the vectors and not with
+    their distance from zero; and very great vectors are halved until no square overflows.
+    """
+    peak = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0))
+    if peak > 1e100:
+        shrink = 2.0 ** -np.ceil(np.log2(peak))
+        q, x = q * shrink, x * shrink
+    centre = x.mean(0)
+    q, x = q - centre, x - centre
+    nq, nx = (q * q).sum(1), (x * x).sum(1)
+    off = 4 * (x.shape[1] + 16) * np.finfo(float).eps * (nq + nx.max(initial=0))
+    return nq[:, None] + nx[None, :] - 2 * q @ x.T, off
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of one vector to several, in double precision."""
+    apart = x - q
+    with np.errstate(over="ignore"):
+        plain = np.sqrt((apart * apart).sum(1))
+    over = ~np.isfinite(plain)
+    if over.any():
+        halved = (x[over] * 2.0**-600) - (q * 2.0**-600)
+        plain[over] = np.sqrt((halved * halved).sum(1)) * 2.0**600
+    return plain
 
 
 def calibrated(sample: np.ndarray, direction: np.ndarray, threshold: np.ndarray, k: int, how: Forest) -> int:
@@ -140,7 +164,7 @@ def calibrated(sample: np.ndarray, direction: np.ndarray, threshold: np.ndarray,
         return trees * leaves
     leaf = leaves_of(sample, direction, threshold)
     trials = np.random.default_rng(how.seed + 1).choice(len(sample), min(how.trials, len(sample)), replace=False)
-    far = squared(sample[trials], sample)
+    far, _ = squared(sample[trials], sample)
     far[np.arange(len(trials)), trials] = np.inf
     places = []
     for i, near in zip(trials, np.argpartition(far, k, axis=1)[:, :k], strict=True):
@@ -159,7 +183,8 @@ def salt(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
 def compared(k: int):
     """A function of a block's rows and queries: each query's k nearest ids in the block, each at its smallest distance.
 
-    An id has as many rows as it has vectors, so the rows looked at are k times the most rows of an id, ties at the edge included.
+    An id has as many rows as it has vectors, so the rows looked at are k times the most rows of an id, with all that the error
+    of the fast distances could have put beyond the edge; those are measured exactly.
     """
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
@@ -167,13 +192,13 @@ def compared(k: int):
         ids, names = rows.column("id").to_numpy(), queries.column("query_id").to_numpy()
         found = {"query_id": [], "id": [], "score": []}
         if len(x) and len(q):
-            far = squared(q, x)
+            far, off = squared(q, x)
             wanted = min(k * int(np.unique(ids, return_counts=True)[1].max()), len(ids))
             for i, name in enumerate(names):
                 d = np.where(ids == name, np.inf, far[i])
                 edge = np.partition(d, wanted - 1)[wanted - 1]
-                near = np.flatnonzero(d <= edge + 1e-9 * (1 + abs(edge))) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
-                exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                near = np.flatnonzero(d <= edge + 2 * off[i]) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
+                exact = distances(q[i], x[near])
                 order = np.lexsort((ids[near], exact))
                 first = order[np.sort(np.unique(ids[near][order], return_index=True)[1])[:k]]
                 found["query_id"].append(np.full(len(first), name))
