@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -77,54 +79,68 @@ def pair_measures(left: np.ndarray, right: np.ndarray, view: int, left_mask: np.
     return {"error": far, "iou": iou, "review_required": far > error or iou < overlap}
 
 
-def edges(size: int, parts: int = GRID) -> list[tuple[int, int]]:
-    """Bounds of the cells of one side, none of them empty; halves round to even."""
-    at = [round(size * k / parts) for k in range(parts + 1)]
-    return [(a, b) for a, b in zip(at, at[1:], strict=False) if b > a]
+@dataclass(frozen=True)
+class Tiles:
+    """An image's sides cut into up to ``GRID`` stretches each, at whole pixels nearest to even cuts (halves to even)."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, shape: tuple[int, int], parts: int = GRID) -> Tiles:
+        # Cuts of a short side that fall together, or on its end, are one, so no stretch is empty.
+        cuts = [np.unique(np.rint(np.arange(parts) * side / parts).astype(int)) for side in shape]
+        return cls(*[c[c < side] for c, side in zip(cuts, shape, strict=True)], shape)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.add.reduceat(values, self.rows, axis=0, dtype=np.int64), self.columns, axis=1)
+
+    def boxes(self, scale: int, bounds: tuple[int, int]) -> np.ndarray:
+        """(rows, columns, 4): x, y, width, height of every tile in an image ``scale`` times as large that ends at ``bounds``."""
+        at = [np.minimum(np.append(cuts, side) * scale, most) for cuts, side, most in zip((self.rows, self.columns), self.shape, bounds, strict=True)]
+        y, x = np.meshgrid(at[0][:-1], at[1][:-1], indexing="ij")
+        height, width = np.meshgrid(np.diff(at[0]), np.diff(at[1]), indexing="ij")
+        return np.stack([x, y, width, height], axis=-1)
 
 
 def averaged(luma: np.ndarray, most: int = COUNTED_PIXELS) -> tuple[np.ndarray, int]:
-    """A large image averaged over whole squares, and the side of a square."""
-    factor = int(np.ceil(np.sqrt(luma.size / most))) if luma.size > most else 1
-    if factor == 1:
+    """An image averaged over the smallest squares that leave at most ``most`` of them, about, and the side of a square."""
+    side = math.isqrt((luma.size - 1) // most) + 1
+    if side == 1:
         return luma, 1
-    rows, columns = np.arange(0, luma.shape[0], factor), np.arange(0, luma.shape[1], factor)
-    sums = np.add.reduceat(np.add.reduceat(luma.astype(float), rows, axis=0), columns, axis=1)
-    n = np.outer(np.diff(np.r_[rows, luma.shape[0]]), np.diff(np.r_[columns, luma.shape[1]]))
-    return np.floor(sums / n + 0.5).astype(np.uint8), factor
+    tall, wide = (-(-n // side) for n in luma.shape)
+    # Squares at the lower and right edge hold fewer pixels, so pixels are summed and counted in the same way.
+    spare = [(0, tall * side - luma.shape[0]), (0, wide * side - luma.shape[1])]
+    total, number = (np.pad(a.astype(np.int64), spare).reshape(tall, side, wide, side).sum(axis=(1, 3)) for a in (luma, np.ones_like(luma)))
+    return ((2 * total + number) // (2 * number)).astype(np.uint8), side
 
 
 def exposure(luma: np.ndarray, limits: dict = QUALITY_LIMITS) -> tuple[list[dict], dict[str, float]]:
-    """Cells lost to dark or bright, in pixels of the image, and the shares they come from."""
-    small, factor = averaged(luma)
-    dark, bright = small <= limits["dark_level"], small >= limits["bright_level"]
-    lost, gone = [], 0
-    for top, bottom in edges(small.shape[0]):
-        for left, right in edges(small.shape[1]):
-            cell = (slice(top, bottom), slice(left, right))
-            n = (bottom - top) * (right - left)
-            d, b = dark[cell].sum() / n, bright[cell].sum() / n
-            if d + b >= limits["block_lost_fraction"]:
-                gone += n
-                x, y = left * factor, top * factor
-                lost.append({"x": x, "y": y, "width": min(right * factor, luma.shape[1]) - x, "height": min(bottom * factor, luma.shape[0]) - y, "reason": "too_dark" if d >= b else "too_bright"})
-    n = small.size
-    return lost, {"mean_luminance": float(small.mean()), "dark_fraction": float(dark.sum() / n), "bright_fraction": float(bright.sum() / n), "readable_fraction": 1.0 - gone / n, "counting_scale": float(factor)}
+    """Tiles lost to dark or bright, in pixels of the image, and the shares they come from."""
+    small, scale = averaged(luma)
+    tiles = Tiles.of(small.shape)
+    masks = {"too_dark": small <= limits["dark_level"], "too_bright": small >= limits["bright_level"]}
+    area = tiles.sums(np.ones_like(small))
+    share = np.stack([tiles.sums(m) / area for m in masks.values()])
+    lost = share.sum(axis=0) >= limits["block_lost_fraction"]
+    reason = np.array(list(masks))[share.argmax(axis=0)[lost]]  # of equal shares the first, dark
+    found = [dict(zip(("x", "y", "width", "height"), box, strict=True)) | {"reason": str(r)} for box, r in zip(tiles.boxes(scale, luma.shape)[lost].tolist(), reason, strict=True)]
+    dark, bright = (float(np.count_nonzero(m)) / small.size for m in masks.values())
+    return found, {"mean_luminance": float(small.mean()), "dark_fraction": dark, "bright_fraction": bright, "readable_fraction": 1.0 - float(area[lost].sum()) / small.size, "counting_scale": float(scale)}
 
 
 def sharpness(luma: np.ndarray) -> float:
-    """The largest variance of the four-neighbour Laplacian over a grid of windows."""
+    """The largest variance of the four-neighbour Laplacian over a grid of windows, none if a side has fewer than three pixels."""
     side = min(SHARP_SIDE, *luma.shape)
-    starts = [sorted({round((s - side) * k / (SHARP_WINDOWS - 1)) for k in range(SHARP_WINDOWS)}) for s in luma.shape]
-    best = 0.0
     if side < 3:
-        return best
-    for top in starts[0]:
-        for left in starts[1]:
-            w = luma[top : top + side, left : left + side].astype(np.float32)
-            edge = 4 * w[1:-1, 1:-1] - w[:-2, 1:-1] - w[2:, 1:-1] - w[1:-1, :-2] - w[1:-1, 2:]
-            best = max(best, float(edge.var()))
-    return best
+        return 0.0
+    signal = luma.astype(np.float32)
+    # The sum of second differences along both sides is that Laplacian with its sign turned, taken once for all windows.
+    bent = np.diff(signal, 2, axis=0)[:, 1:-1] + np.diff(signal, 2, axis=1)[1:-1]
+    views = np.lib.stride_tricks.sliding_window_view(bent, (side - 2, side - 2))
+    rows, columns = (np.unique(np.rint(np.linspace(0, n - 1, SHARP_WINDOWS)).astype(int)) for n in views.shape[:2])
+    return float(views[np.ix_(rows, columns)].var(axis=(-2, -1)).max())
 
 
 def assess(images: DataFrame) -> DataFrame:
