@@ -9,7 +9,7 @@ both together reach ``least`` words, the span repeats. Longer passages are the u
 Equal texts are one text in the array, so a group of copies adds one set of suffixes, and all of it repeats.
 A neighbour shares the longest right side, not always the span that reaches furthest to the left; where neighbours leave
 a side open, all windows of ``least`` words around the bucket's suffixes are compared by hash, so no window
-that two texts share is lost. Buckets too large for a task are compared so by aggregation over the cluster.
+that two texts share is lost. Large buckets are compared so by aggregation over the cluster, so none is one task's work.
 
 Nulls: a null text is an empty one and repeats nothing; null ids are one id. A text repeats across
 documents only if another id has the passage: repeated rows of one id are one document. Texts under
@@ -23,10 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from girder.llm.neardup import mixed
+from girder.llm.text import buffer_of, text_batches
 from girder.shared import staged
 
 
@@ -34,12 +36,12 @@ from girder.shared import staged
 class Passages:
     """least: words of a repeated passage, at least. gram: words that a kept suffix begins with.
 
-    bucket: suffixes with one first gram that a task may hold; more of them are compared by aggregation.
+    bucket: suffixes with one first gram that a task may sort; more of them are compared by aggregation.
     """
 
     least: int = 50
     gram: int = 16
-    bucket: int = 20_000
+    bucket: int = 2_000
 
     @property
     def reach(self) -> int:
@@ -69,20 +71,17 @@ def minimisers(w: np.ndarray, how: Passages) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def kept_grams(texts: DataFrame, how: Passages) -> DataFrame:
-    """(gram, rid) of every kept suffix, once a text."""
+def with_grams(texts: DataFrame, how: Passages) -> DataFrame:
+    """Rows (doc_id, rid, text) as doc_id, rid, the number of words and the distinct grams of the text's kept suffixes."""
+    kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                grams, names = [], []
-                for rid, text in zip(*batch.slice(at, 512).columns, strict=True):
-                    g = np.unique(minimisers(word_hashes(text.as_py()), how)[1])
-                    grams.append(g)
-                    names += [rid.as_py()] * len(g)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(names, pa.binary())], ["gram", "rid"])
+        for part in text_batches(batches, 2):
+            words = [word_hashes(t.as_py()) for t in part.column(2)]
+            grams = [np.unique(minimisers(w, how)[1]).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, words)), pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "rid", "words", "grams"])
 
-    return texts.select("rid", F.col("text").cast("binary")).mapInArrow(run, "gram long, rid binary")
+    return texts.select("doc_id", "rid", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, rid binary, words int, grams array<long>")
 
 
 SUFFIX = "gram long, after binary, before binary, rid binary, at int"
@@ -92,20 +91,23 @@ def suffixes(texts: DataFrame, how: Passages) -> DataFrame:
     """Kept suffixes of texts (rid, text, grams) whose gram is listed: what follows the gram, what precedes it (nearest first), 4 bytes a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        last = None
+        for batch in text_batches(batches, 1):
             out: dict[str, list] = {k: [] for k in ("gram", "after", "before", "rid", "at")}
             for i, (rid, text, wanted) in enumerate(zip(*batch.columns, strict=True)):
-                w = word_hashes(text.as_py())
-                short = (w >> np.uint64(32)).astype(">u4")
-                at, g = minimisers(w, how)
-                keep = np.isin(g.view(np.int64), wanted.values.to_numpy())
-                back = short[::-1]
-                for p, h in zip(at[keep].tolist(), g[keep].view(np.int64).tolist(), strict=True):
-                    out["gram"].append(h)
-                    out["after"].append(short[p + how.gram : p + how.least].tobytes())
-                    out["before"].append(back[len(w) - p : len(w) - p + how.reach].tobytes())
-                    out["rid"].append(rid.as_py())
-                    out["at"].append(p)
+                rid = rid.as_py()
+                if rid != last:  # after a sorted join a repeated row follows its like; where it doesn't, it does no harm
+                    last, w = rid, word_hashes(text.as_py())
+                    short = (w >> np.uint64(32)).astype(">u4")
+                    at, g = minimisers(w, how)
+                    keep = np.isin(g.view(np.int64), wanted.values.to_numpy())
+                    back = short[::-1]
+                    for p, h in zip(at[keep].tolist(), g[keep].view(np.int64).tolist(), strict=True):
+                        out["gram"].append(h)
+                        out["after"].append(short[p + how.gram : p + how.least].tobytes())
+                        out["before"].append(back[len(w) - p : len(w) - p + how.reach].tobytes())
+                        out["rid"].append(rid)
+                        out["at"].append(p)
                 if len(out["gram"]) >= 8192 or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_pydict({"gram": pa.array(out["gram"], pa.int64()), "after": pa.array(out["after"], pa.binary()), "before": pa.array(out["before"], pa.binary()), "rid": pa.array(out["rid"], pa.binary()), "at": pa.array(out["at"], pa.int32())})
                     out = {k: [] for k in out}
@@ -113,11 +115,26 @@ def suffixes(texts: DataFrame, how: Passages) -> DataFrame:
     return texts.select("rid", F.col("text").cast("binary").alias("text"), "grams").mapInArrow(run, SUFFIX)
 
 
-def padded(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words as rows of a matrix, and how many each row has."""
-    n = np.array([len(v) // 4 for v in values], np.int64)
-    flat = b"".join(v.ljust(4 * width, b"\0") for v in values)
-    return np.frombuffer(flat, np.uint32).reshape(len(values), width), n
+class Suffixes:
+    """Suffixes of whole buckets as arrays: gram, code (a number for each text), at, and the words beside the gram."""
+
+    def __init__(self, table: pa.Table, how: Passages):
+        t = table.combine_chunks()
+        self.gram = t.column("gram").to_numpy()
+        self.at = t.column("at").to_numpy().astype(np.int64)
+        texts = pc.dictionary_encode(t.column("rid")).combine_chunks()
+        self.texts, self.code = texts.dictionary, texts.indices.to_numpy()
+        self.after, self.n_after = padded(t.column("after"), how.reach)
+        self.before, self.n_before = padded(t.column("before"), how.reach)
+
+
+def padded(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words, 4 bytes each, as rows of a matrix, and how many each row has."""
+    flat, starts = buffer_of(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, 4 * width)
+    n = np.diff(starts) // 4
+    words = flat[: len(flat) // 4 * 4].view(np.uint32)
+    at = np.minimum(starts[:-1, None] // 4 + np.arange(width), len(words) - 1)
+    return np.where(np.arange(width) < n[:, None], words[at], np.uint32(0)), n
 
 
 def agreeing(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -126,57 +143,48 @@ def agreeing(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return np.where(same.all(axis=1), m.shape[1], (~same).argmax(axis=1))
 
 
-def matches(rows: dict[str, list], how: Passages) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
-    """Spans (rid, start, end) where sorted suffixes match the nearest suffix of another text before or after them.
+def matches(rows: Suffixes, how: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Spans (code, start, end) where sorted suffixes match the nearest suffix of another text before or after them.
 
     Also which suffixes a match covers as far as a passage of ``least`` words around them can go.
     """
-    n = len(rows["gram"])
-    gram = np.array(rows["gram"], np.int64)
-    rid, at = rows["rid"], np.array(rows["at"], np.int64)
-    fresh = np.array([True, *(rid[k] != rid[k - 1] for k in range(1, n))])
+    n, gram, code = len(rows.gram), rows.gram, rows.code
+    fresh = np.r_[True, code[1:] != code[:-1]]
     starts = np.flatnonzero(fresh)
     run = np.cumsum(fresh) - 1
     previous = np.where(run > 0, starts[run] - 1, -1)
     following = np.where(run + 1 < len(starts), np.append(starts, n)[run + 1], -1)
-    after, n_after = padded(rows["after"], how.reach)
-    before, n_before = padded(rows["before"], how.reach)
     found, whole = [], np.zeros(n, bool)
     for other in (previous, following):
         i = np.flatnonzero((other >= 0) & (gram == gram[other]))
         j = other[i]
-        right, left = agreeing(after, n_after, i, j), agreeing(before, n_before, i, j)
+        right, left = agreeing(rows.after, rows.n_after, i, j), agreeing(rows.before, rows.n_before, i, j)
         hit = left + how.gram + right >= how.least
-        i, j, left, right = i[hit], j[hit], left[hit], right[hit]
-        whole[i] |= (left == n_before[i]) & (right == n_after[i])
-        for a, l, r in zip(i.tolist(), left.tolist(), (how.gram + right).tolist(), strict=True):
-            found.append((rid[a], int(at[a]) - l, int(at[a]) + r))
-    return found, whole
-
-
-def window_keys(rows: dict[str, list], how: Passages) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, reach + 1): a hash of the ``least`` words that begin k before the suffix, and whether the text has them."""
-    after, n_after = padded(rows["after"], how.reach)
-    before, n_before = padded(rows["before"], how.reach)
-    n, prime = len(n_after), np.uint64(0x9E3779B97F4A7C15)
+        i, left, right = i[hit], left[hit], right[hit]
+        whole[i] |= (left == rows.n_before[i]) & (right == rows.n_after[i])
+        found.append(np.stack([code[i], rows.at[i] - left, rows.at[i] + how.gram + right], axis=1))
+    return np.concatenate(found), whole
+
+
+def window_keys(rows: Suffixes, how: Passages, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(some rows, reach + 1): a hash of the ``least`` words that begin k before the suffix, and whether the text has them."""
+    prime = np.uint64(0x9E3779B97F4A7C15)
     sides = []
-    for m in (before, after):
-        h = np.zeros((n, how.reach + 1), np.uint64)
+    for m in (rows.before[some], rows.after[some]):
+        h = np.zeros((len(some), how.reach + 1), np.uint64)
         for k in range(how.reach):
             h[:, k + 1] = mixed(h[:, k] * prime + m[:, k] + np.uint64(1))
         sides.append(h)
     k = np.arange(how.reach + 1)
-    gram = np.array(rows["gram"], np.int64).view(np.uint64)[:, None]
+    gram = rows.gram[some].view(np.uint64)[:, None]
     keys = mixed(mixed(mixed(gram + k.astype(np.uint64)) * prime + sides[0]) * prime + sides[1][:, how.reach - k])
-    return keys, (k <= n_before[:, None]) & (how.reach - k <= n_after[:, None])
+    return keys, (k <= rows.n_before[some][:, None]) & (how.reach - k <= rows.n_after[some][:, None])
 
 
-def finished(rows: dict[str, list], how: Passages) -> list[tuple[bytes, int, int]]:
-    """All spans (rid, start, end) of ``least`` words that whole buckets of suffixes share between texts, by their hashes."""
-    keys, has = window_keys(rows, how)
-    names = {r: i for i, r in enumerate(dict.fromkeys(rows["rid"]))}
-    code = np.array([names[r] for r in rows["rid"]])
-    hit = np.zeros_like(has)
+def finished(rows: Suffixes, how: Passages, some: np.ndarray) -> np.ndarray:
+    """All spans (code, start, end) of ``least`` words that whole buckets of suffixes share between texts, by their hashes."""
+    keys, has = window_keys(rows, how, some)
+    code, hit = rows.code[some], np.zeros_like(has)
     for k in range(how.reach + 1):
         i = np.flatnonzero(has[:, k])
         if len(i) > 1:
@@ -186,8 +194,8 @@ def finished(rows: dict[str, list], how: Passages) -> list[tuple[bytes, int, int
             hit[i, k] = np.repeat(several, np.diff(np.r_[starts, len(i)]))
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (i, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    at = np.array(rows["at"], np.int64)[i]
-    return [(rows["rid"][x], y, z) for x, y, z in zip(i.tolist(), (at - last + 1).tolist(), (at - first + how.least).tolist(), strict=True)]
+    at = rows.at[some][i]
+    return np.stack([code[i], at - last + 1, at - first + how.least], axis=1)
 
 
 def compared(ordered: DataFrame, how: Passages) -> DataFrame:
@@ -198,83 +206,78 @@ def compared(ordered: DataFrame, how: Passages) -> DataFrame:
     """
     names = [x.split()[0] for x in SUFFIX.split(", ")]
 
-    def spans(rows: dict[str, list]) -> pa.RecordBatch:
+    def spans(table: pa.Table) -> pa.RecordBatch:
+        rows = Suffixes(table, how)
         found, whole = matches(rows, how)
-        gram = np.array(rows["gram"], np.int64)
-        again = np.isin(gram, gram[~whole])
-        if again.any():
-            some = np.flatnonzero(again).tolist()
-            found += finished({k: [v[i] for i in some] for k, v in rows.items()}, how)
-        found = list(dict.fromkeys(found))
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], ["rid", "start", "stop"])
+        again = np.flatnonzero(np.isin(rows.gram, rows.gram[~whole]))
+        if len(again):
+            found = np.concatenate([found, finished(rows, how, again)])
+        found = np.unique(found, axis=0)
+        return pa.RecordBatch.from_arrays([rows.texts.take(pa.array(found[:, 0])), pa.array(found[:, 1], pa.int32()), pa.array(found[:, 2], pa.int32())], ["rid", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {k: [] for k in names}
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held = {k: held[k] + batch.column(i).to_pylist() for i, k in enumerate(names)}
-            gram = held["gram"]
-            if not gram or gram[0] == gram[-1]:
-                continue
-            k = len(gram)
-            while gram[k - 1] == gram[-1]:
-                k -= 1
-            yield spans({x: v[:k] for x, v in held.items()})
-            held = {x: v[k:] for x, v in held.items()}
-        if held["gram"]:
-            yield spans(held)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                gram = part.column(0).to_numpy()
+                if held and held[0].column(0)[0].as_py() == gram[-1]:
+                    held.append(part)
+                    continue
+                cut = int(np.searchsorted(gram, gram[-1])) if held or gram[0] != gram[-1] else 0
+                if held or cut:
+                    yield spans(pa.Table.from_batches([*held, part.slice(0, cut)]))
+                held = [part.slice(cut)]
+        if held:
+            yield spans(pa.Table.from_batches(held))
 
     return ordered.select(*names).mapInArrow(run, "rid binary, start int, stop int")
 
 
 def compared_apart(kept: DataFrame, how: Passages) -> DataFrame:
-    """The same of buckets too large for a task: every window is a row, and equal ones are found by aggregation."""
+    """The same of a stored table of large buckets: every window is a row, and equal ones are found by aggregation.
+
+    The windows that several texts share are stored, so that the join back to the rows can be split where one window is very common.
+    """
     k = F.explode(F.sequence(F.lit(0), F.lit(how.reach)))
     rows = kept.withColumn("k", k).where((F.length("before") >= 4 * F.col("k")) & (F.length("after") >= 4 * (how.reach - F.col("k"))))
     window = F.xxhash64("k", F.expr("substring(before, 1, 4 * k)"), F.expr(f"substring(after, 1, 4 * ({how.reach} - k))"))
     rows = rows.select("gram", window.alias("window"), "rid", (F.col("at") - F.col("k")).cast("int").alias("start"))
     shared = rows.groupBy("gram", "window").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("gram", "window")
-    return rows.join(shared, ["gram", "window"]).select("rid", "start", (F.col("start") + how.least).cast("int").alias("stop"))
+    return rows.join(staged(shared, "windows"), ["gram", "window"]).select("rid", "start", (F.col("start") + how.least).cast("int").alias("stop"))
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
     """(rid, start, stop): overlapping or touching spans of a text made one."""
-    each = spans.groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("s"))
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
-        return F.when((F.size(done) > 0) & (x["start"] <= F.get(done, F.size(done) - 1)["stop"]), longer).otherwise(F.concat(done, F.array(x)))
-
-    merged = F.aggregate("s", F.array().cast("array<struct<start:int,stop:int>>"), step)
-    return each.select("rid", F.explode(merged).alias("m")).select("rid", "m.start", "m.stop")
+    before = Window.partitionBy("rid").orderBy("start", "stop")
+    t = spans.withColumn("reached", F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    t = t.withColumn("part", F.count_if(F.col("reached").isNull() | (F.col("start") > F.col("reached"))).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return t.groupBy("rid", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("rid", "start", "stop")
 
 
 def repeated_passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     """doc_id, start_word, end_word (exclusive) of every span of documents (doc_id, text) that another document has too."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("rid"), text.alias("text"))
-    ids = staged(rows.select("doc_id", "rid", F.length("text").alias("chars")), "ids")
-    known = ids.where(F.col("chars") >= 2 * how.least - 1)
-    some, none = F.count("doc_id"), F.count_if(F.col("doc_id").isNull())
-    copies = known.groupBy("rid").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), some.alias("n"), none.alias("m"))
-    copies = copies.where((F.col("x") < F.col("y")) | ((F.col("n") > 0) & (F.col("m") > 0))).select("rid")
-    long_enough = rows.where(F.length("text") >= 2 * how.least - 1)
-    grams = staged(kept_grams(long_enough, how), "grams")
-    shared = grams.groupBy("gram").agg(F.min("rid").alias("x"), F.max("rid").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    long_enough = F.length("text") >= 2 * how.least - 1
+    ids = staged(with_grams(rows.where(long_enough), how).where(F.col("words") >= how.least), "grams")
+    # One row of each text: that of its smallest id. A text of several ids repeats as a whole.
+    several = (F.min("doc_id") < F.max("doc_id")) | ((F.count("doc_id") > 0) & (F.count_if(F.col("doc_id").isNull()) > 0))
+    texts = ids.groupBy("rid").agg(F.min("doc_id").alias("_id"), F.coalesce(several, F.lit(False)).alias("copied"), F.first("words").alias("words"), F.first("grams").alias("grams"))
+    texts = staged(texts, "texts", ids.agg(F.sum(F.size("grams") + 8)).first()[0] // 8 if not ids.isEmpty() else 0)
+    grams = texts.select(F.explode("grams").alias("gram"), "rid", "_id")
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = staged(shared.select("gram", (F.col("n") > how.bucket).alias("large")), "shared")
-    # One row of each text: that of its smallest id.
-    one = ids.groupBy("rid").agg(F.min("doc_id").alias("_id"))
 
     def kept(large: bool) -> DataFrame:
-        wanted = grams.join(shared.where(F.col("large") == large), "gram").groupBy("rid").agg(F.collect_set("gram").alias("grams"))
-        texts = rows.join(wanted.join(one, "rid"), "rid").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-        return suffixes(texts, how)
+        wanted = grams.join(shared.where(F.col("large") == large), "gram").groupBy("rid", "_id").agg(F.collect_list("gram").alias("grams"))
+        wanted = wanted.withColumnRenamed("rid", "_rid")
+        return suffixes(rows.join(wanted, (rows["rid"] == wanted["_rid"]) & rows["doc_id"].eqNullSafe(wanted["_id"])), how)
 
     spans = compared(kept(False).repartition("gram").sortWithinPartitions("gram", "after", "before", "rid", "at"), how)
     if not shared.where("large").isEmpty():
-        spans = spans.unionByName(compared_apart(kept(True), how))
-    whole = rows.join(copies, "rid", "left_semi").select("rid", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("stop")).where(F.col("stop") >= how.least)
-    whole = whole.groupBy("rid").agg(F.max("stop").cast("int").alias("stop")).select("rid", F.lit(0).alias("start"), "stop")
+        spans = spans.unionByName(compared_apart(staged(kept(True), "large"), how))
+    whole = texts.where("copied").select("rid", F.lit(0).alias("start"), F.col("words").alias("stop"))
     merged = joined_spans(spans.unionByName(whole))
     out = ids.select("doc_id", "rid").distinct().join(merged, "rid")
     return out.select("doc_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word"))
