@@ -9,7 +9,7 @@ from girder.functions import geometry as g
 from girder.functions import rules
 from girder.functions.hashing import sha256
 from girder.functions.ratios import ratio
-from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, selection, similarity, splits, windows
+from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, requests, selection, similarity, splits, windows
 from girder.plans import views as v
 from girder.plans.statements import STATEMENTS
 from girder.shared import staged
@@ -261,7 +261,7 @@ def last_metric_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def journal_validation(spark: SparkSession, d: str) -> DataFrame:
-    return journal.violations(v.journal(spark, d))
+    return journal.violations(v.journal(spark, d), v.findings(spark, d), v.analyses(spark, d))
 
 
 def journal_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -275,6 +275,21 @@ def journal_append(spark: SparkSession, d: str) -> DataFrame:
     return journal.appended(j, r)
 
 
+def journal_requests(spark: SparkSession, d: str) -> DataFrame:
+    t = requests.checked_requests(v.requests(spark, d))
+    return t.select("analysis", "recorded_at", "request_id", "kind", "problem", "occurred_at", F.size(F.coalesce("evidence", F.array())).alias("n_evidence"))
+
+
+def manual_findings(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = requests.manual_findings(requests.checked_requests(v.requests(spark, d)), v.analyses(spark, d))
+    b = {f"{k}{n}": F.round(F.get(c, F.lit(i)), 9) for c, k in (("box", ""), ("box_normalized", "n")) for i, n in enumerate(("x1", "y1", "x2", "y2"))}
+    return found.select("analysis", "finding", "origin", "state", "class", "family", "label", *[c.alias(n) for n, c in b.items()], "photo_sha256", "actor", "recorded_at")
+
+
+def manual_refused(spark: SparkSession, d: str) -> DataFrame:
+    return requests.manual_findings(requests.checked_requests(v.requests(spark, d)), v.analyses(spark, d))[1]
+
+
 def detections(spark: SparkSession, d: str) -> DataFrame:
     b = v.boxes(spark, d)
     coarse = F.struct(*[(F.floor(F.col(f"box.{n}") / 8) * 8 + (8 if n[1] == "2" else 0)).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")])
@@ -322,7 +337,7 @@ NAMES = (
     scene_groups, quarantine_propagation, external_roles, grouped_split, split_summary, crossing_groups, shared_digests, budget_selection, bottom_k_panels, first_seen_dedupe,
     flag_counts, photo_verdicts, yolo_parse, yolo_rejects, yolo_mapped, coco_export, integrity_mismatch, companion_orphans, label_join_default, review_audit,
     review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
-    journal_activity, evidence_counts,
+    journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused,
 )
 
 

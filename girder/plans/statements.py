@@ -112,13 +112,47 @@ parsed AS (
   FROM num)"""
 
 JOURNAL = """journal AS (
-  SELECT user_id AS analysis, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision, 'r' || CASE WHEN event_id % 97 = 0 THEN event_id - 97 ELSE event_id END AS request_id,
-    event_id // 8 % 2 AS finding, kind, CASE WHEN kind = 'review' THEN decision END AS decision,
-    CASE WHEN kind = 'review' AND (decision = 'confirmed' OR event_id % 31 = 0) AND (event_id % 5 = 0 OR event_id % 17 = 0) THEN 'class_' || event_id % 3 END AS class,
-    CASE WHEN kind = 'correction' THEN CASE event_id % 3 WHEN 0 THEN 'to_do' WHEN 1 THEN 'in_progress' ELSE 'resolved' END END AS status,
+  SELECT user_id AS analysis, row_number() OVER w AS revision, 'r' || CASE WHEN event_id % 97 = 0 THEN event_id - 97 ELSE event_id END AS request_id,
+    CASE WHEN kind = 'manual' THEN 1 + count(*) FILTER (kind = 'manual') OVER (w ROWS UNBOUNDED PRECEDING) WHEN event_id % 5 = 4 THEN 2 ELSE event_id // 8 % 2 END AS finding,
+    kind, CASE WHEN kind = 'review' THEN decision END AS decision,
+    CASE WHEN kind = 'manual' OR (kind = 'review' AND (decision = 'confirmed' OR event_id % 31 = 0) AND (event_id % 5 = 0 OR event_id % 17 = 0)) THEN 'class_' || event_id % 3 END AS class,
+    CASE WHEN kind = 'correction' THEN CASE event_id % 3 WHEN 0 THEN 'planned' WHEN 1 THEN 'in_progress' ELSE 'resolved' END END AS status,
     ts AS recorded_at, CASE WHEN event_id % 29 = 0 THEN ts + INTERVAL 1 DAY END AS occurred_at
-  FROM (SELECT *, CASE WHEN event_id % 4 < 2 THEN 'review' WHEN event_id % 4 = 2 THEN 'correction' ELSE 'note' END AS kind,
-    CASE WHEN event_id // 4 % 3 < 2 THEN 'confirmed' WHEN event_id // 12 % 2 = 0 THEN 'rejected' ELSE 'uncertain' END AS decision FROM events))"""
+  FROM (SELECT *, CASE WHEN event_id % 16 = 15 THEN 'manual' WHEN event_id % 4 < 2 THEN 'review' WHEN event_id % 4 = 2 THEN 'correction' ELSE 'note' END AS kind,
+    CASE WHEN event_id // 4 % 3 < 2 THEN 'confirmed' WHEN event_id // 12 % 2 = 0 THEN 'rejected' ELSE 'indeterminate' END AS decision FROM events)
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+automatic AS (SELECT DISTINCT user_id AS analysis, g AS finding, 'class_' || user_id % 3 AS own, 0 AS since FROM events, (SELECT unnest([0, 1]) AS g)),
+known AS (SELECT * FROM automatic UNION ALL SELECT analysis, finding, class, revision FROM journal WHERE kind = 'manual')"""
+
+ANALYSES = """analyses AS (
+  SELECT user_id AS analysis, min(ts) + CASE WHEN user_id % 9 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS analysed_at, sha256(CAST(user_id AS VARCHAR)) AS photo_sha256, 40 + user_id % 3 * 10 AS width, 40 + user_id % 5 * 10 AS height
+  FROM events GROUP BY user_id)"""
+
+#: Requests as rows of events, and the first rule each breaks, as the rules stand in the survey (EV-01).
+REQUESTS = """asked AS (
+  SELECT user_id AS analysis, ts AS recorded_at, CASE WHEN event_id % 53 = 0 THEN '' ELSE 'r' || event_id END AS request_id, kind,
+    CASE WHEN kind = 'manual' AND event_id % 44 <> 0 THEN NULL WHEN event_id % 41 = 0 THEN 'x' ELSE md5(CAST(user_id AS VARCHAR)) END AS finding,
+    CASE WHEN event_id % 61 = 0 THEN ' padded ' ELSE 'user ' || user_id END AS actor,
+    CASE WHEN kind = 'review' THEN CASE WHEN event_id % 37 = 0 THEN 'maybe' WHEN event_id // 4 % 3 < 2 THEN 'confirmed' ELSE 'rejected' END END AS decision,
+    CASE WHEN kind = 'manual' OR (kind = 'review' AND event_id % 7 < 2) OR event_id % 89 = 0 THEN list_extract(['crack', 'surface_loss', 'peeling_paint', 'moisture_trace', 'mold_suspected', 'rust'], event_id % 6 + 1) END AS class,
+    CASE WHEN kind = 'review' AND event_id % 11 = 0 THEN 'task' END AS task, CASE WHEN kind = 'review' AND event_id % 23 = 0 THEN 'high' END AS severity,
+    CASE WHEN kind = 'correction' THEN CASE WHEN event_id % 43 = 0 THEN 'done' WHEN event_id % 3 = 0 THEN 'planned' WHEN event_id % 3 = 1 THEN 'resolved' ELSE 'not_required' END END AS status,
+    CASE WHEN kind = 'correction' AND event_id % 67 <> 0 THEN CASE WHEN event_id % 5 = 0 THEN 'none' WHEN event_id % 13 = 0 THEN 'twice' WHEN event_id % 19 = 0 THEN 'short' ELSE 'one' END END AS proofs,
+    event_id % 50 AS x1, event_id % 40 AS y1, event_id % 50 + 10 AS x2, event_id % 40 + 10 - event_id % 20 AS y2,
+    event_id % 71 <> 0 AS noted, event_id % 59 <> 0 AS zoned, CASE WHEN event_id % 59 <> 0 AND event_id % 3 = 0 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '.000000Z' END AS occurred_at
+  FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'remark' WHEN event_id % 4 = 0 THEN 'manual' WHEN event_id % 4 = 1 THEN 'review' WHEN event_id % 4 = 2 THEN 'correction' ELSE 'note' END AS kind FROM events)),
+checked AS (
+  SELECT *, CASE WHEN kind = 'remark' THEN 'unknown_kind' WHEN class IS NOT NULL AND kind NOT IN ('manual', 'review') THEN 'unknown_field'
+    WHEN kind = 'manual' AND finding IS NOT NULL THEN 'finding_given' WHEN kind <> 'manual' AND NOT regexp_full_match(finding, '[0-9a-f]{32}') THEN 'bad_finding'
+    WHEN class = 'rust' AND (kind = 'manual' OR decision <> 'maybe') THEN 'unknown_class' WHEN decision = 'maybe' THEN 'unknown_decision'
+    WHEN decision <> 'confirmed' AND (class IS NOT NULL OR task IS NOT NULL OR severity IS NOT NULL) THEN 'needs_confirmation'
+    WHEN status = 'done' THEN 'unknown_status' WHEN kind = 'correction' AND (proofs IS NULL OR proofs = 'short') THEN 'bad_evidence' WHEN proofs = 'twice' THEN 'repeated_evidence'
+    WHEN status = 'resolved' AND proofs = 'none' THEN 'needs_evidence' WHEN NOT noted THEN 'bad_note' WHEN request_id = '' THEN 'bad_request_id' WHEN actor = ' padded ' THEN 'bad_actor' WHEN NOT zoned THEN 'bad_time' END AS problem
+  FROM asked)"""
+
+ADDED = REQUESTS + ", " + ANALYSES + """, added AS (
+  SELECT checked.*, photo_sha256, width, height, CASE WHEN x1 >= x2 OR y1 >= y2 THEN 'empty_box' WHEN least(x1, y1, x2, y2) < 0 OR x2 > width OR y2 > height THEN 'outside_photo' END AS refused
+  FROM checked JOIN analyses USING (analysis) WHERE kind = 'manual' AND problem IS NULL)"""
 
 DETECTIONS = f"""{BOXES},
 det AS (
@@ -271,29 +305,40 @@ u AS (SELECT DISTINCT * FROM t)
 SELECT arm, count(*) AS patches, count(DISTINCT conv_id) AS groups, count(*) FILTER (alerts > 0) AS with_alert, CAST(count(*) FILTER (alerts > 0) AS DOUBLE) / count(*) AS rate FROM u GROUP BY arm""",
     "last_metric_values": "SELECT user_id, arg_max(value, (ts, event_id)) FILTER (event_id % 3 = 0) AS loss, arg_max(value, (ts, event_id)) FILTER (event_id % 5 = 0) AS score FROM events GROUP BY user_id",
     "journal_validation": with_(
-        JOURNAL + """, t AS (SELECT *, row_number() OVER w AS want, lag(recorded_at) OVER w AS before, count(*) OVER (PARTITION BY analysis, request_id) AS uses FROM journal WINDOW w AS (PARTITION BY analysis ORDER BY revision, recorded_at)),
-u AS (SELECT analysis, revision, CASE WHEN revision <> want THEN 'broken_sequence' WHEN recorded_at < before THEN 'time_goes_back' WHEN occurred_at > recorded_at THEN 'observed_after_recording' WHEN uses > 1 THEN 'repeated_request'
-  WHEN kind = 'review' AND class IS NOT NULL AND decision <> 'confirmed' THEN 'class_without_confirmation' END AS problem FROM t)""",
+        JOURNAL + ", " + ANALYSES + """, t AS (SELECT journal.*, analysed_at, since, row_number() OVER w AS want, lag(recorded_at) OVER w AS before, count(*) OVER (PARTITION BY analysis, request_id) AS uses
+  FROM journal JOIN analyses USING (analysis) LEFT JOIN known USING (analysis, finding) WINDOW w AS (PARTITION BY analysis ORDER BY revision, recorded_at)),
+u AS (SELECT analysis, revision, CASE WHEN revision <> want THEN 'broken_sequence' WHEN recorded_at < analysed_at THEN 'before_analysis' WHEN recorded_at < before THEN 'time_goes_back' WHEN occurred_at > recorded_at THEN 'observed_after_recording' WHEN uses > 1 THEN 'repeated_request'
+  WHEN kind = 'review' AND class IS NOT NULL AND decision <> 'confirmed' THEN 'class_without_confirmation' WHEN since IS NULL OR revision < since THEN 'unknown_finding' END AS problem FROM t)""",
         "SELECT * FROM u WHERE problem IS NOT NULL",
     ),
     "journal_replay": with_(
-        JOURNAL + """, f AS (SELECT DISTINCT user_id AS analysis, g AS finding, 'class_' || user_id % 3 AS own FROM events, (SELECT unnest([0, 1]) AS g)),
-e AS (SELECT f.analysis, f.finding, own, revision, kind, decision, status, coalesce(class, own) AS eff, row_number() OVER (PARTITION BY f.analysis, f.finding ORDER BY revision) AS k FROM journal JOIN f ON journal.analysis = f.analysis AND journal.finding = f.finding),
+        JOURNAL + """, e AS (SELECT known.analysis, known.finding, own, revision, kind, decision, status, coalesce(class, own) AS eff, row_number() OVER (PARTITION BY known.analysis, known.finding ORDER BY revision) AS k
+  FROM journal JOIN known ON journal.analysis = known.analysis AND journal.finding = known.finding AND revision >= since),
 st AS (
-  SELECT analysis, finding, CAST(0 AS BIGINT) AS k, 'proposed' AS state, CAST(NULL AS VARCHAR) AS effective_class, 'not_assessed' AS correction, CAST(0 AS BIGINT) AS n_notes, CAST(0 AS BIGINT) AS n_reviews, CAST(0 AS BIGINT) AS refused FROM f
+  SELECT analysis, finding, CAST(0 AS BIGINT) AS k, 'proposed' AS state, CAST(NULL AS VARCHAR) AS effective_class, 'not_assessed' AS correction, CAST(0 AS BIGINT) AS n_notes, CAST(0 AS BIGINT) AS n_reviews, CAST(0 AS BIGINT) AS refused FROM known
   UNION ALL
   SELECT e.analysis, e.finding, e.k, CASE WHEN e.kind = 'review' THEN e.decision ELSE st.state END, CASE WHEN e.kind = 'review' THEN e.eff ELSE st.effective_class END,
     CASE WHEN e.kind = 'review' AND (e.decision IS DISTINCT FROM st.state OR e.eff IS DISTINCT FROM st.effective_class) THEN 'not_assessed' WHEN e.kind = 'correction' AND st.state = 'confirmed' THEN e.status ELSE st.correction END,
-    st.n_notes + CASE WHEN e.kind = 'note' THEN 1 ELSE 0 END, st.n_reviews + CASE WHEN e.kind = 'review' THEN 1 ELSE 0 END, st.refused + CASE WHEN e.kind = 'correction' AND st.state <> 'confirmed' THEN 1 ELSE 0 END
+    st.n_notes + CASE WHEN e.kind IN ('note', 'manual') THEN 1 ELSE 0 END, st.n_reviews + CASE WHEN e.kind = 'review' THEN 1 ELSE 0 END, st.refused + CASE WHEN e.kind = 'correction' AND st.state <> 'confirmed' THEN 1 ELSE 0 END
   FROM st JOIN e ON st.analysis = e.analysis AND st.finding = e.finding AND e.k = st.k + 1)""",
         "SELECT analysis, finding, state, effective_class, correction, n_notes, n_reviews, refused FROM st QUALIFY k = max(k) OVER (PARTITION BY analysis, finding)",
     ),
     "journal_append": with_(
-        JOURNAL + """, j AS (SELECT analysis, revision, request_id, sha256(concat_ws('|', kind, decision, class, status)) AS digest FROM journal WHERE revision <= 20),
+        JOURNAL + """, j AS (SELECT analysis, revision, request_id, sha256(concat_ws('|', kind, decision, class, status)) AS digest FROM journal),
 l AS (SELECT analysis, max(revision) AS n FROM j GROUP BY ALL),
 r AS (SELECT j.analysis, CASE WHEN j.analysis % 4 < 2 THEN request_id ELSE 'new' END AS request_id, CASE WHEN j.analysis % 4 = 1 THEN sha256('x') ELSE digest END AS digest, CASE WHEN j.analysis % 4 = 3 THEN n ELSE 1 END AS expected, n FROM j JOIN l USING (analysis) WHERE revision = 2)""",
         "SELECT r.analysis, r.request_id, CASE WHEN k.digest = r.digest THEN 'no_op' WHEN k.digest IS NOT NULL THEN 'conflict' WHEN expected <> r.n THEN 'stale' ELSE 'append' END AS outcome FROM r LEFT JOIN j k ON k.analysis = r.analysis AND k.request_id = r.request_id",
     ),
+    "journal_requests": with_(REQUESTS, "SELECT analysis, recorded_at, request_id, kind, problem, occurred_at, CASE WHEN proofs = 'twice' THEN 2 WHEN proofs IN ('one', 'short') THEN 1 ELSE 0 END AS n_evidence FROM checked"),
+    "manual_findings": with_(
+        ADDED,
+        """SELECT analysis, substr(sha256('["' || analysis || '","' || request_id || '","manual"]'), 1, 32) AS finding, 'human' AS origin, 'proposed' AS state, class,
+  CASE WHEN class IN ('surface_loss', 'peeling_paint') THEN 'surface_damage' ELSE class END AS family,
+  CASE class WHEN 'crack' THEN 'Fissures' WHEN 'surface_loss' THEN 'Pertes de matière' WHEN 'mold_suspected' THEN 'Moisissures suspectées' WHEN 'moisture_trace' THEN 'Traces compatibles avec l''humidité' ELSE 'Revêtement écaillé ou décollé' END AS label,
+  CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2, round(x1 / CAST(width AS DOUBLE), 9) AS nx1, round(y1 / CAST(height AS DOUBLE), 9) AS ny1, round(x2 / CAST(width AS DOUBLE), 9) AS nx2, round(y2 / CAST(height AS DOUBLE), 9) AS ny2,
+  photo_sha256, actor, recorded_at FROM added WHERE refused IS NULL""",
+    ),
+    "manual_refused": with_(ADDED, "SELECT analysis, request_id, refused AS problem FROM added WHERE refused IS NOT NULL"),
     "finding_dedupe": with_(DETECTIONS, "SELECT analysis, slot, idx, class, score FROM rival WHERE reason IS NULL AND nth = 1"),
     "finding_withheld": with_(DETECTIONS, "SELECT analysis, idx, coalesce(reason, 'duplicate_geometry') AS reason FROM rival WHERE reason IS NOT NULL OR nth > 1"),
     "average_precision": f"SELECT * FROM (WITH RECURSIVE {ap_ctes(0.5)} {ap(0.5)}) UNION ALL SELECT * FROM (WITH RECURSIVE {ap_ctes(0.75)} {ap(0.75)})",

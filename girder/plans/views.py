@@ -72,19 +72,59 @@ def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """analysis, revision, request_id, finding, kind, decision, class, status, recorded_at, occurred_at from events."""
+    """analysis, revision, request_id, finding, kind, decision, class, status, recorded_at, occurred_at from events.
+
+    Of every sixteen events one adds a finding by hand, numbered from 2 in its analysis; some events name the first of those.
+    """
     e = read(spark, sf_dir, "events")
     m = lambda n: F.col("event_id") % n
-    kind = F.when(m(4) < 2, "review").when(m(4) == 2, "correction").otherwise("note")
-    decision = F.when(F.expr("event_id div 4") % 3 < 2, "confirmed").when(F.expr("event_id div 12") % 2 == 0, "rejected").otherwise("uncertain")
-    chosen = F.when((m(5) == 0) | (m(17) == 0), F.concat(F.lit("class_"), (m(3)).cast("string")))
-    status = F.when(m(3) == 0, "to_do").when(m(3) == 1, "in_progress").otherwise("resolved")
-    revision = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    manual = m(16) == 15
+    kind = F.when(manual, "manual").when(m(4) < 2, "review").when(m(4) == 2, "correction").otherwise("note")
+    decision = F.when(F.expr("event_id div 4") % 3 < 2, "confirmed").when(F.expr("event_id div 12") % 2 == 0, "rejected").otherwise("indeterminate")
+    chosen = F.when((m(5) == 0) | (m(17) == 0) | manual, F.concat(F.lit("class_"), (m(3)).cast("string")))
+    status = F.when(m(3) == 0, "planned").when(m(3) == 1, "in_progress").otherwise("resolved")
+    number = F.count_if(manual).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 1
+    finding = F.when(manual, number).when(m(5) == 4, F.lit(2)).otherwise(F.expr("event_id div 8") % 2)
     review = kind == "review"
     return e.select(
-        F.col("user_id").alias("analysis"), revision.cast("long").alias("revision"), F.concat(F.lit("r"), F.when(m(97) == 0, F.col("event_id") - 97).otherwise(F.col("event_id")).cast("string")).alias("request_id"),
-        (F.expr("event_id div 8") % 2).cast("long").alias("finding"), kind.alias("kind"), F.when(review, decision).alias("decision"),
-        F.when(review & ((decision == "confirmed") | (m(31) == 0)), chosen).alias("class"), F.when(kind == "correction", status).alias("status"), F.col("ts").alias("recorded_at"), F.when(m(29) == 0, F.expr("ts + interval 1 day")).alias("occurred_at"),
+        F.col("user_id").alias("analysis"), F.row_number().over(by).cast("long").alias("revision"), F.concat(F.lit("r"), F.when(m(97) == 0, F.col("event_id") - 97).otherwise(F.col("event_id")).cast("string")).alias("request_id"),
+        finding.cast("long").alias("finding"), kind.alias("kind"), F.when(review, decision).alias("decision"),
+        F.when(manual | (review & ((decision == "confirmed") | (m(31) == 0))), chosen).alias("class"), F.when(kind == "correction", status).alias("status"), F.col("ts").alias("recorded_at"), F.when(m(29) == 0, F.expr("ts + interval 1 day")).alias("occurred_at"),
+    )
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """analysis, analysed_at, photo_sha256, width, height; some analyses are later than their first event."""
+    u = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("analysis")).agg(F.min("ts").alias("first"))
+    late = F.when(F.col("analysis") % 9 == 0, F.expr("first + interval 1 hour")).otherwise(F.col("first"))
+    return u.select("analysis", late.alias("analysed_at"), sha256(F.col("analysis").cast("string")).alias("photo_sha256"), (40 + F.col("analysis") % 3 * 10).cast("int").alias("width"), (40 + F.col("analysis") % 5 * 10).cast("int").alias("height"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """analysis, recorded_at and the columns of a request as a user might send it, some against the rules, from events."""
+    e = read(spark, sf_dir, "events")
+    m = lambda n: F.col("event_id") % n
+    text = F.col("event_id").cast("string")
+    kind = F.when(m(97) == 0, "remark").when(m(4) == 0, "manual").when(m(4) == 1, "review").when(m(4) == 2, "correction").otherwise("note")
+    is_ = lambda k: kind == k
+    names = F.array(*map(F.lit, ["crack", "surface_loss", "peeling_paint", "moisture_trace", "mold_suspected", "rust"]))
+    decision = F.when(m(37) == 0, "maybe").when(F.expr("event_id div 4") % 3 < 2, "confirmed").otherwise("rejected")
+    status = F.when(m(43) == 0, "done").when(m(3) == 0, "planned").when(m(3) == 1, "resolved").otherwise("not_required")
+    proof = sha256(F.concat(F.lit("p"), text))
+    proofs = F.when(m(5) == 0, F.array().cast("array<string>")).when(m(13) == 0, F.array(proof, proof)).when(m(19) == 0, F.array(F.lit("short"))).otherwise(F.array(proof))
+    side = lambda n, more: (m(n) + more).cast("double")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    return e.select(
+        F.col("user_id").alias("analysis"), F.col("ts").alias("recorded_at"), F.when(m(53) == 0, "").otherwise(F.concat(F.lit("r"), text)).alias("request_id"), kind.alias("kind"),
+        F.when(is_("manual") & (m(44) != 0), F.lit(None)).when(m(41) == 0, "x").otherwise(F.md5(F.col("user_id").cast("string"))).alias("finding"),
+        F.when(m(61) == 0, " padded ").otherwise(F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("actor"),
+        F.when(is_("review"), decision).alias("decision"), F.when(is_("manual") | (is_("review") & (m(7) < 2)) | (m(89) == 0), F.get(names, (m(6)).cast("int"))).alias("class"),
+        F.when(is_("review") & (m(11) == 0), "task").alias("task"), F.when(is_("review") & (m(23) == 0), "high").alias("severity"),
+        F.when(is_("correction"), status).alias("status"), F.when(is_("correction") & (m(67) != 0), proofs).alias("evidence"),
+        F.when(is_("manual"), F.array(side(50, 0), side(40, 0), side(50, 10), side(40, 10) - m(20))).alias("box"),
+        F.when(m(71) == 0, "").otherwise(F.concat(F.lit("note "), text)).alias("note"),
+        F.when(m(59) == 0, stamp).when(m(3) == 0, F.concat(stamp, F.lit("+02:00"))).alias("occurred_at"),
     )
 
 

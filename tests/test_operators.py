@@ -191,10 +191,10 @@ def events(spark, data):
 @pytest.mark.parametrize(("history", "expected"), [
     ([], ("proposed", None, "not_assessed", 0)),
     ([("correction", None, None, "resolved")], ("proposed", None, "not_assessed", 1)),
-    ([("review", "confirmed", None, None), ("correction", None, None, "to_do")], ("confirmed", "crack", "to_do", 0)),
-    ([("review", "confirmed", None, None), ("correction", None, None, "to_do"), ("review", "confirmed", None, None)], ("confirmed", "crack", "to_do", 0)),
-    ([("review", "confirmed", "other", None), ("correction", None, None, "to_do"), ("review", "confirmed", None, None)], ("confirmed", "crack", "not_assessed", 0)),
-    ([("review", "confirmed", None, None), ("correction", None, None, "to_do"), ("review", "rejected", None, None), ("correction", None, None, "resolved")], ("rejected", "crack", "not_assessed", 1)),
+    ([("review", "confirmed", None, None), ("correction", None, None, "planned")], ("confirmed", "crack", "planned", 0)),
+    ([("review", "confirmed", None, None), ("correction", None, None, "planned"), ("review", "confirmed", None, None)], ("confirmed", "crack", "planned", 0)),
+    ([("review", "confirmed", "other", None), ("correction", None, None, "planned"), ("review", "confirmed", None, None)], ("confirmed", "crack", "not_assessed", 0)),
+    ([("review", "confirmed", None, None), ("correction", None, None, "planned"), ("review", "rejected", None, None), ("correction", None, None, "resolved")], ("rejected", "crack", "not_assessed", 1)),
 ])
 def test_replay_resets_corrections(spark, history, expected):
     known = spark.createDataFrame([(1, 0, "crack")], "analysis long, finding long, class string")
@@ -217,7 +217,7 @@ def test_journal_violations_and_append(spark):
 
 def test_stream_replays_like_the_batch(spark, tmp_path):
     known = spark.createDataFrame([(1, 0, "crack")], "analysis long, finding long, class string")
-    e = events(spark, [("review", "confirmed", None, None), ("correction", None, None, "to_do"), ("note", None, None, None), ("review", "confirmed", None, None)])
+    e = events(spark, [("review", "confirmed", None, None), ("correction", None, None, "planned"), ("note", None, None, None), ("review", "confirmed", None, None)])
     ready = e.join(known.withColumnRenamed("class", "own_class"), ["analysis", "finding"])
     ready.repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(ready.schema).parquet(str(tmp_path / "in"))
