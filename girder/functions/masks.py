@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
@@ -79,29 +80,52 @@ def to_text(runs: list[int]) -> str:
 
 
 def from_text(text: str, height: int, width: int, most: int = 1_000_000) -> list[int]:
-    """Runs of a compressed text; anything that does not cover the image exactly is refused."""
+    """Runs of a compressed text; anything that does not cover the image exactly is refused.
+
+    All characters are read at once: those without the sixth bit end a number, numbers are sums of their shifted five bits, and from the
+    fourth run on a number adds to the run two places before, so odd and even runs are running sums.
+    """
     if not isinstance(text, str) or not 1 <= len(text) <= most:
         raise ValueError("mask text is empty or too long")
-    runs: list[int] = []
-    value = shift = 0
-    for c in text:
-        code = ord(c) - 48
-        if not 0 <= code <= 63 or shift >= 30:
-            raise ValueError("mask text has an unknown character or an endless run")
-        value |= (code & 31) << shift
-        shift += 5
-        if code & 32:
-            continue
-        if code & 16:
-            value -= 1 << shift
-        run = value + runs[-2] if len(runs) > 2 else value
-        if run < 0 or (runs and run == 0):
-            raise ValueError("mask text has an impossible run")
-        runs.append(run)
-        value = shift = 0
-    if shift or sum(runs) != height * width:
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) - 48
+    last = np.flatnonzero(codes & 32 == 0)
+    first = np.concatenate([[0], last[:-1] + 1])
+    digits = np.diff(np.append(first, len(codes))) if len(last) else np.zeros(1, int)
+    if codes.min() < 0 or codes.max() > 63 or not len(last) or last[-1] + 1 < len(codes) or digits.max() > 6:
+        raise ValueError("mask text has an unknown character or an endless run")
+    place = 5 * (np.arange(len(codes)) - np.repeat(first, digits))
+    runs = np.add.reduceat((codes & 31) << place, first) - np.where(codes[last] & 16, 1 << 5 * digits, 0)
+    runs[1::2], runs[2::2] = np.cumsum(runs[1::2]), np.cumsum(runs[2::2])
+    if (runs < 0).any() or (runs[1:] == 0).any():
+        raise ValueError("mask text has an impossible run")
+    if runs.sum() != height * width:
         raise ValueError("mask text does not cover the image")
-    return runs
+    return runs.tolist()
+
+
+#: Fixed limits of a saved mask's photo.
+LEAST_SIDE, MOST_PIXELS = 32, 16_000_000
+
+
+def rle_problem(width: int, height: int):
+    """A column function of a mask's size (height, width) and text: what is wrong with them, null if nothing is (SRC-17)."""
+
+    @F.pandas_udf("string")
+    def found(size: pd.Series, text: pd.Series) -> pd.Series:
+        def one(s, t) -> str | None:
+            if min(width, height) < LEAST_SIDE or width * height > MOST_PIXELS:
+                return "bad_photo_size"
+            if s is None or list(s) != [height, width]:
+                return "mask_size_differs"
+            try:
+                from_text(t, height, width)
+            except ValueError as e:
+                return str(e)
+            return None
+
+        return pd.Series([one(s, t) for s, t in zip(size, text, strict=True)], dtype=object)
+
+    return found
 
 
 def rasterised(polygons: list[list[float]], height: int, width: int) -> np.ndarray:

@@ -48,6 +48,27 @@ def sweep(matches: DataFrame, references: DataFrame, thresholds: list[int]) -> D
     return with_ratios(both.select("class", "threshold", "tp", "fp", (F.col("refs") - F.col("tp")).alias("fn"), "images_with_false_proposals"))
 
 
+def target_study(matches: DataFrame, references: DataFrame, thresholds: list[int], target: str, baseline: int, n_images: int) -> DataFrame:
+    """What the target class's threshold does, the other classes left alone: a row for each threshold (AG-09).
+
+    threshold, tp, fp, fn, f1, a count for each error reason, images_with_false_proposals, images without a reference of the target and the false
+    proposals there, and changed_images, in which some proposal is shown by one of threshold and baseline alone.
+    """
+    grid = F.array(*[F.lit(t).cast("long") for t in sorted(thresholds)])
+    own = matches.where(F.col("class") == target)
+    has = references.where(F.col("class") == target).groupBy("image").agg(F.count(F.lit(1)).alias("refs"))
+    at = own.select("image", "reason", F.explode(F.filter(grid, lambda t: t <= F.col("score"))).alias("threshold"))
+    hit = F.col("reason") == "matched"
+    one = at.groupBy("threshold", "image").agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fp"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
+    one = one.join(has, "image", "left")
+    found = one.groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", *REASONS)], F.count_if(F.col("fp") > 0).alias("images_with_false_proposals"), F.sum(F.when(F.col("refs").isNull(), F.col("fp")).otherwise(0)).alias("false_without_target"))
+    moved = F.filter(grid, lambda t: (t <= F.col("score")) != (F.lit(baseline) <= F.col("score")))
+    changed = own.select("image", F.explode(moved).alias("threshold")).distinct().groupBy("threshold").agg(F.count(F.lit(1)).alias("changed_images"))
+    total = has.agg(F.coalesce(F.sum("refs"), F.lit(0)).alias("refs"), (F.lit(n_images) - F.count(F.lit(1))).alias("images_without_target")).withColumn("threshold", F.explode(grid))
+    both = total.join(found, "threshold", "left").join(changed, "threshold", "left").na.fill(0)
+    return with_ratios(both.withColumn("fn", F.col("refs") - F.col("tp"))).drop("refs", "precision", "recall")
+
+
 def best_thresholds(swept: DataFrame) -> DataFrame:
     """All thresholds of the largest F1 of each class; undefined ones take no part."""
     nth = F.rank().over(Window.partitionBy("class").orderBy(F.desc("f1")))

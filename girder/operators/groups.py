@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.functions.rules import refuse
@@ -30,17 +30,20 @@ def groups_of_several(groups: DataFrame) -> DataFrame:
 def with_quarantine(groups: DataFrame, excluded: DataFrame) -> DataFrame:
     """id, content_group, quarantined, reason: one excluded member withholds its whole group.
 
-    excluded: (id, reason); the members that did not give cause say so.
+    excluded: (id, reason); the members that did not give cause say so. A group's flag is aggregated and joined back, so
+    a giant group is no task's work.
     """
-    whole = Window.partitionBy("content_group")
-    t = groups.join(excluded, "id", "left").withColumn("quarantined", F.max(F.col("reason").isNotNull()).over(whole))
-    return t.withColumn("reason", F.when(F.col("quarantined"), F.coalesce("reason", F.lit("linked to a withheld item"))))
+    t = groups.join(excluded, "id", "left")
+    flags = t.where(F.col("reason").isNotNull()).select("content_group", F.lit(True).alias("quarantined")).distinct()
+    t = t.join(flags, "content_group", "left").withColumn("quarantined", F.coalesce("quarantined", F.lit(False)))
+    return t.withColumn("reason", F.when(F.col("quarantined"), F.coalesce("reason", F.lit("linked to a withheld item")))).select("id", "content_group", *[c for c in groups.columns if c not in ("id", "content_group")], "reason", "quarantined")
 
 
 def external_roles(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, content_group, role: quarantine where any pair of the group needs review, else candidate for the smallest id and variant."""
-    flagged = pairs.where("review_required").select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("flag", F.lit(True))
-    t = groups.join(flagged, "id", "left").withColumn("bad", F.max(F.coalesce("flag", F.lit(False))).over(Window.partitionBy("content_group")))
+    flagged = pairs.where("review_required").select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bad = groups.join(flagged, "id", "left_semi").select("content_group", F.lit(True).alias("bad")).distinct()
+    t = groups.join(bad, "content_group", "left")
     role = F.when(F.col("bad"), "quarantine").when(F.col("id") == F.col("content_group"), "candidate").otherwise("variant")
     return t.select("id", "content_group", role.alias("role"))
 

@@ -13,7 +13,7 @@ from girder.operators import confusion, coverage, findings, groups, integrity, m
 from girder.plans import views as v
 from girder.plans.statements import STATEMENTS
 from girder.shared import staged
-from girder.sources import labels
+from girder.sources import labels, manifests
 from girder.streaming import journal
 
 FLAGSHIP = "match_confusion"
@@ -60,6 +60,10 @@ def threshold_changes(spark: SparkSession, d: str) -> DataFrame:
     return confusion.threshold_changes(matched(spark, d)[0], SHOWN, 500)
 
 
+def target_study(spark: SparkSession, d: str) -> DataFrame:
+    return confusion.target_study(*matched(spark, d), GRID, "A", SHOWN, v.n_images(spark, d))
+
+
 def missed_references(spark: SparkSession, d: str) -> DataFrame:
     m, r = matched(spark, d, SHOWN)
     return confusion.missed_references(r, m)
@@ -83,8 +87,8 @@ def box_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def negative_crop_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    crops = v.predictions(spark, d).where("pos = 2").select(F.col("image").alias("crop_id"), "image", "box")
-    return integrity.crop_conflicts(crops, v.references(spark, d))
+    crops = v.predictions(spark, d).select(F.struct("image", "pos").alias("crop_id"), "image", "box")
+    return integrity.crop_conflicts(crops, v.references(spark, d)).select("crop_id.image", "crop_id.pos")
 
 
 def window_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -139,8 +143,9 @@ def quarantine_propagation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def external_roles(spark: SparkSession, d: str) -> DataFrame:
-    prints = staged(v.fingerprints(spark, d), "prints")
-    pairs = similarity.close_pairs(prints, 8).select(F.col("left").alias("a"), F.col("right").alias("b"), (F.col("distance") > 6).alias("review_required"))
+    # Rows of one hash are in one group, so a pair of its classes says as much as all pairs of their members.
+    firsts, _ = similarity.classes_of(staged(v.fingerprints(spark, d), "prints").select("id", "hash"), "hash")
+    pairs = similarity.close_classes(staged(firsts, "classes"), 8).withColumn("review_required", F.col("distance") > 6)
     return groups.external_roles(grouped(spark, d), pairs)
 
 
@@ -157,6 +162,29 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_summary(r.join(splits.grouped_split(r).select("id", "split"), "id"), [0, 1])
 
 
+def selection_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = staged(v.photos(spark, d), "photos")
+    t = splits.selection_summary(p.select("id", v.author_split().alias("split")), p.select(F.col("id").alias("image"), F.explode("classes").alias("category")), [0])
+    return t.withColumn("first_without_target", F.array_join(F.transform("first_without_target", lambda x: x.cast("string")), ","))
+
+
+def origin_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.origin_split(v.patches(spark, d), 0.5, 7)
+
+
+def balanced_negatives(spark: SparkSession, d: str) -> DataFrame:
+    p = v.patches(spark, d)
+    return splits.balanced_negatives(p, staged(splits.origin_split(p, 0.5, 7), "uses"), 400, 7)
+
+
+def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
+    return manifests.sample_violations(v.manifest(spark, d))
+
+
+def collection_violations(spark: SparkSession, d: str) -> DataFrame:
+    return manifests.collection_violations(*v.collection(spark, d))
+
+
 def crossing_groups(spark: SparkSession, d: str) -> DataFrame:
     t = groups.crossing_groups(grouped(spark, d).withColumn("split", v.author_split()))
     return t.select("content_group", F.array_join("splits", ",").alias("splits"))
@@ -307,8 +335,8 @@ def finding_withheld(spark: SparkSession, d: str) -> DataFrame:
 
 
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
-    t = precision.average_precision(staged(v.predictions(spark, d), "predictions"), staged(v.references(spark, d), "references"), [0.5, 0.75])
-    return t.withColumn("ap", F.round("ap", 6))
+    t = precision.average_precision(v.predictions(spark, d), v.references(spark, d))
+    return t.select("class", "threshold", F.round("ap", 6).alias("ap"), F.round("recall", 9).alias("recall"))
 
 
 def import_report(spark: SparkSession, d: str) -> DataFrame:
@@ -337,6 +365,7 @@ NAMES = (
     scene_groups, quarantine_propagation, external_roles, grouped_split, split_summary, crossing_groups, shared_digests, budget_selection, bottom_k_panels, first_seen_dedupe,
     flag_counts, photo_verdicts, yolo_parse, yolo_rejects, yolo_mapped, coco_export, integrity_mismatch, companion_orphans, label_join_default, review_audit,
     review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
+    target_study, selection_summary, origin_split, balanced_negatives, manifest_violations, collection_violations,
     journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused,
 )
 

@@ -165,9 +165,9 @@ rival AS (
 
 
 def ap(overlap: float) -> str:
-    """AP of each class at one overlap, from a matching of its own: 101 recalls, precision from the right."""
-    return f"""SELECT class, CAST({overlap} AS DOUBLE) AS threshold, round(coalesce(sum(best), 0) / 101, 6) AS ap FROM (
-  SELECT f.class, i, (SELECT max(q.precision) FROM curve q WHERE q.class = f.class AND q.tp / f.n >= i / CAST(100 AS DOUBLE)) AS best
+    """AP and recall of each class at one overlap, from a matching of its own: 101 recalls, precision from the right."""
+    return f"""SELECT class, CAST({overlap} AS DOUBLE) AS threshold, round(coalesce(sum(best), 0) / 101, 6) AS ap, round(coalesce(max(reached), 0), 9) AS recall FROM (
+  SELECT f.class, i, (SELECT max(q.tp) FROM curve q WHERE q.class = f.class) / f.n AS reached, (SELECT max(q.precision) FROM curve q WHERE q.class = f.class AND q.tp / f.n >= i / CAST(100 AS DOUBLE)) AS best
   FROM (SELECT class, CAST(count(*) AS DOUBLE) AS n FROM refs GROUP BY ALL) f, (SELECT unnest(range(101)) AS i)) GROUP BY class"""
 
 
@@ -217,6 +217,9 @@ def with_(ctes: str, select: str) -> str:
 
 IMAGES = "(SELECT count(DISTINCT l_orderkey) FROM lineitem)"
 
+ORIGINS = """ranked AS (SELECT photo, row_number() OVER (ORDER BY sha256('7:' || photo), photo) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS photo FROM orders)),
+uses AS (SELECT photo, CASE WHEN k <= greatest(1, least(n - 1, round_even(n * 0.5, 0))) THEN 'train' ELSE 'reserved' END AS use FROM ranked)"""
+
 STATEMENTS: dict[str, str] = {
     "match_confusion": with_(match(300), f"SELECT *, {RATIOS}, tp + fn AS reference_instances, CAST(fp AS DOUBLE) / {IMAGES} AS false_proposals_per_image FROM (SELECT class, {SUMS} FROM counts GROUP BY class)"),
     "match_table": with_(match(), "SELECT * FROM matches"),
@@ -225,6 +228,35 @@ STATEMENTS: dict[str, str] = {
     "threshold_sweep": with_(SWEEP, f"SELECT *, {RATIOS} FROM swept"),
     "best_f1_thresholds": with_(SWEEP, f"SELECT class, threshold, f1 FROM (SELECT class, threshold, {RATIOS} FROM swept) WHERE f1 IS NOT NULL QUALIFY rank() OVER (PARTITION BY class ORDER BY f1 DESC) = 1"),
     "threshold_changes": with_(match(), "SELECT image, class, pred_pos, reason, 'removed' AS change FROM matches WHERE score >= 300 AND score < 500"),
+    "target_study": with_(
+        match() + f""",
+g AS (SELECT unnest(range(50, 1000, 50)) AS threshold), own AS (SELECT * FROM matches WHERE class = 'A'), has AS (SELECT image, count(*) AS refs FROM refs WHERE class = 'A' GROUP BY image),
+one AS (SELECT threshold, image, count(*) FILTER (reason = 'matched') AS tp, count(*) FILTER (reason <> 'matched') AS fp, count(*) FILTER (reason = 'duplicate') AS duplicate, count(*) FILTER (reason = 'insufficient_overlap') AS insufficient_overlap, count(*) FILTER (reason = 'no_overlap') AS no_overlap
+  FROM own JOIN g ON score >= threshold GROUP BY ALL),
+s AS (SELECT threshold, CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(duplicate), 0) AS BIGINT) AS duplicate, CAST(coalesce(sum(insufficient_overlap), 0) AS BIGINT) AS insufficient_overlap, CAST(coalesce(sum(no_overlap), 0) AS BIGINT) AS no_overlap,
+    count(*) FILTER (fp > 0) AS images_with_false_proposals, CAST(coalesce(sum(fp) FILTER (refs IS NULL), 0) AS BIGINT) AS false_without_target FROM g LEFT JOIN one USING (threshold) LEFT JOIN has USING (image) GROUP BY threshold),
+moved AS (SELECT threshold, count(DISTINCT image) AS changed_images FROM own, g WHERE (score >= threshold) <> (score >= 300) GROUP BY threshold),
+t AS (SELECT s.*, CAST((SELECT sum(refs) FROM has) AS BIGINT) - tp AS fn, {IMAGES} - (SELECT count(*) FROM has) AS images_without_target, coalesce(changed_images, 0) AS changed_images FROM s LEFT JOIN moved USING (threshold))""",
+        f"SELECT threshold, tp, fp, fn, f1, duplicate, insufficient_overlap, no_overlap, images_with_false_proposals, images_without_target, false_without_target, changed_images FROM (SELECT *, {RATIOS} FROM t)",
+    ),
+    "selection_summary": with_(
+        PHOTOS + ", t AS (SELECT id, CASE WHEN id % 10 < 8 THEN 'train' WHEN id % 10 = 8 THEN 'valid' ELSE 'test' END AS split, len(list_filter(classes, lambda c: c = 0)) AS n, len(list_filter(classes, lambda c: c <> 0)) AS other FROM photo)",
+        """SELECT split, count(*) AS images, CAST(sum(n) AS BIGINT) AS annotations, CAST(sum(other) AS BIGINT) AS excluded_annotations, count(*) FILTER (n = 0) AS images_without_target,
+  array_to_string(list_sort(list(id) FILTER (n = 0))[1:3], ',') AS first_without_target FROM t GROUP BY split""",
+    ),
+    "origin_split": with_(ORIGINS, "SELECT photo, use FROM uses"),
+    "balanced_negatives": with_(
+        ORIGINS + """, own AS (SELECT o_orderkey AS patch, photo FROM orders JOIN uses ON photo = o_custkey WHERE use = 'train'),
+nth AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY sha256('7:' || patch), patch) AS k FROM own)""",
+        "SELECT patch, photo FROM nth WHERE k <= greatest(1, 400 // (SELECT count(DISTINCT photo) FROM own)) ORDER BY patch LIMIT 400",
+    ),
+    "manifest_violations": """WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 29 = 0 THEN 'easy_0003' WHEN p_partkey % 17 = 0 THEN 'x' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') ELSE list_extract(['easy', 'medium', 'hard'], p_partkey % 3 + 1) || '_' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') END AS id FROM part),
+u AS (SELECT *, count(*) OVER (PARTITION BY id) AS uses FROM r)
+SELECT * FROM (SELECT id, CASE WHEN id LIKE 'x%' THEN 'bad_id' WHEN uses > 1 THEN 'repeated_id' WHEN k % 19 = 0 OR (k % 29 = 0 AND (k % 3 <> 0 OR k % 10000 <> 3)) THEN 'identity_differs' WHEN k % 23 = 0 THEN 'already_grouped_or_split' END AS problem FROM u) WHERE problem IS NOT NULL""",
+    "collection_violations": """WITH r AS (SELECT c_custkey AS k, c_nationkey AS n, CASE WHEN c_custkey % 29 = 0 THEN 'Photo 1' WHEN c_custkey % 13 = 0 THEN 'twin_' || c_custkey // 26 ELSE 'photo_' || c_custkey END AS id FROM customer),
+u AS (SELECT *, count(*) OVER (PARTITION BY id) AS uses FROM r)
+SELECT * FROM (SELECT id, CASE WHEN id = 'Photo 1' THEN 'bad_id' WHEN uses > 1 THEN 'repeated_id' WHEN n >= 22 THEN 'unknown_source' WHEN k % 11 = 0 THEN 'reserved_split' WHEN k % 47 = 0 THEN 'bad_asset' WHEN k % 53 = 0 THEN 'unknown_policy'
+  WHEN k % 43 = 0 THEN 'no_attribution' WHEN k % 31 = 0 OR k % 37 = 0 OR k % 41 = 0 THEN 'bad_link' WHEN k % 59 = 0 THEN 'decided_too_early' WHEN k % 61 = 0 THEN 'no_note' END AS problem FROM u) WHERE problem IS NOT NULL""",
     "missed_references": with_(match(300), "SELECT image, class, pos FROM refs WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.image = refs.image AND m.class = refs.class AND m.ref_pos = refs.pos)"),
     "eval_compare": with_(
         match() + """,
@@ -239,7 +271,7 @@ b AS (SELECT image, class, coalesce(t, 0) AS tp_before, coalesce(f, 0) AS fp_bef
   (greatest(p.x2, r.x2) - least(p.x1, r.x1)) * (greatest(p.y2, r.y2) - least(p.y1, r.y1)) AS union_box_area,
   CASE WHEN p.x2 > 24 OR p.y2 > 24 THEN 'clipped' ELSE 'kept' END AS clip_status, (least(p.x2, 24) - p.x1) * (least(p.y2, 24) - p.y1) AS mask_pixels, p.x2 / 24 - p.x1 / 24 AS normal_width
 FROM preds p JOIN refs r ON p.image = r.image AND p.class = r.class"""),
-    "negative_crop_conflicts": with_(BOXES, f"SELECT DISTINCT p.image AS crop_id FROM preds p JOIN refs r ON p.image = r.image WHERE p.pos = 2 AND {SHARED} > 0"),
+    "negative_crop_conflicts": with_(BOXES, f"SELECT DISTINCT p.image, p.pos FROM preds p JOIN refs r ON p.image = r.image WHERE {SHARED} > 0"),
     "window_grid": """WITH i AS (SELECT p_partkey AS image, p_size * 40 AS w, CAST(floor(p_retailprice) AS BIGINT) % 1500 + 1 AS h FROM part),
 x AS (SELECT DISTINCT image, w, h, unnest(list_append(range(0, greatest(w - 640, 0) + 1, 512), greatest(w - 640, 0))) AS x FROM i),
 y AS (SELECT DISTINCT image, unnest(list_append(range(0, greatest(h - 640, 0) + 1, 512), greatest(h - 640, 0))) AS y FROM i)
@@ -341,7 +373,7 @@ r AS (SELECT j.analysis, CASE WHEN j.analysis % 4 < 2 THEN request_id ELSE 'new'
     "manual_refused": with_(ADDED, "SELECT analysis, request_id, refused AS problem FROM added WHERE refused IS NOT NULL"),
     "finding_dedupe": with_(DETECTIONS, "SELECT analysis, slot, idx, class, score FROM rival WHERE reason IS NULL AND nth = 1"),
     "finding_withheld": with_(DETECTIONS, "SELECT analysis, idx, coalesce(reason, 'duplicate_geometry') AS reason FROM rival WHERE reason IS NOT NULL OR nth > 1"),
-    "average_precision": f"SELECT * FROM (WITH RECURSIVE {ap_ctes(0.5)} {ap(0.5)}) UNION ALL SELECT * FROM (WITH RECURSIVE {ap_ctes(0.75)} {ap(0.75)})",
+    "average_precision": " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {ap_ctes(t)} {ap(t)})" for t in (0.5 + 0.05 * k for k in range(10))),
     "import_report": with_(PHOTOS, "SELECT difficulty, count(*) AS n, count(*) FILTER (len(classes) = 0) AS without_class, count(*) FILTER (list_contains(classes, 0)) AS class_0, count(DISTINCT digest) AS digests FROM photo GROUP BY difficulty"),
     "journal_activity": with_(JOURNAL, "SELECT date_trunc('day', recorded_at) AS start, kind, count(*) AS n FROM journal GROUP BY ALL"),
     "evidence_counts": with_(JOURNAL, "SELECT analysis, count(DISTINCT status) AS states, count(*) FILTER (status = 'resolved') AS resolved FROM journal WHERE kind = 'correction' GROUP BY analysis"),

@@ -134,6 +134,40 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.withColumn("finding", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))).withColumn("class", F.concat(F.lit("class_"), (F.col("analysis") % 3).cast("string")))
 
 
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """patch, photo: orders as patches of their customers."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("patch"), F.col("o_custkey").alias("photo"))
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of an import's manifest from parts, some of them not what their ids say."""
+    k = F.col("p_partkey")
+    level = F.get(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (k % 3).cast("int"))
+    number = F.lpad((k % 10000).cast("string"), 4, "0")
+    name = F.when(k % 29 == 0, "easy_0003").when(k % 17 == 0, F.concat(F.lit("x"), number)).otherwise(F.concat(level, F.lit("_"), number))
+    title = F.initcap(level)
+    source = F.concat(F.lit("Damage Segmentaion/"), title, F.lit("/Images/"), F.substring(title, 1, 1), F.lit(" ("), (k % 10000).cast("string"), F.lit(").jpg"))
+    return read(spark, sf_dir, "part").select(
+        name.alias("id"), F.concat(F.lit("images/"), name, F.when(k % 19 == 0, ".png").otherwise(".jpg")).alias("image"), F.concat(F.lit("masks/"), name, F.lit(".png")).alias("mask"),
+        title.alias("difficulty"), source.alias("source_path"), F.lit(None).cast("string").alias("scene_group"), F.when(k % 23 == 0, "train").alias("split"),
+    )
+
+
+def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records of a collection from customers, some of them against the rules, and its sources from nations."""
+    k = F.col("c_custkey")
+    link = F.when(k % 31 == 0, "http://photos.example/a").when(k % 37 == 0, "https://user:word@photos.example/a").when(k % 41 == 0, "script:alert(1)").otherwise("https://photos.example/a")
+    credit = F.struct(F.when(k % 43 == 0, "").otherwise("title").alias("title"), F.lit("author").alias("author"), F.lit("licence").alias("license"), F.lit("https://photos.example/b").alias("source_url"), link.alias("license_url"))
+    asset = F.struct(F.lit("https://photos.example/c.jpg").alias("url"), F.when(k % 47 == 0, 0).otherwise(k).alias("size"), sha256(k.cast("string")).alias("sha256"))
+    records = read(spark, sf_dir, "customer").select(
+        F.when(k % 29 == 0, "Photo 1").when(k % 13 == 0, F.concat(F.lit("twin_"), F.expr("cast(c_custkey div 26 as string)"))).otherwise(F.concat(F.lit("photo_"), k.cast("string"))).alias("id"),
+        F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("source_id"), F.when(k % 11 == 0, "test").when(k % 3 == 0, "val").otherwise("train").alias("source_split"),
+        F.when(k % 53 == 0, "all_frames").when(k % 2 == 0, "mpo_primary_of_two").alias("image_policy"), credit.alias("credit"), asset.alias("asset"),
+        F.when(k % 59 == 0, "accepted").otherwise("review").alias("decision"), F.when(k % 61 == 0, F.lit(None)).otherwise("a note").alias("note"),
+    )
+    return records, read(spark, sf_dir, "nation").where("n_nationkey < 22").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("source_id"))
+
+
 def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(LABEL_TEXT).alias("text"))
 

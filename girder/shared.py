@@ -1,12 +1,13 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the one the session names in ``spark.checkpoint.dir``. Where the
-setting is absent (tests on one machine) a folder under ``/tmp/checkpoints`` is used.
+setting is absent, a session on one machine uses a folder under ``/tmp/checkpoints`` and any other is refused.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, as a URI or path without a slash at its end."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file:///tmp/checkpoints/girder-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions.geometry import to_xywh
-from girder.functions.rules import Refused
+from girder.functions.rules import Refused, refuse, set_difference
 from girder.operators.selection import dense_ids
 
 
@@ -35,25 +36,40 @@ def publish(df: DataFrame, destination: str, partition_by: list[str] | None = No
         fs.delete(source, True)
 
 
+#: A state's versions are announced by empty files of this name, a number and the version; the greatest counts.
+MARKER = re.compile(r"VERSION\.(\d{12})\.(v[0-9a-f]{32})")
+
+
+def versions(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, version) of the versions announced in a folder, ascending."""
+    fs, at = file_system(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted((int(m[1]), m[2]) for m in map(MARKER.fullmatch, names) if m)
+
+
 def new_version(df: DataFrame, folder: str) -> str:
-    """Write a state table as the next version and move the pointer to it; readers see the old or the new one."""
+    """Write a state table as the next version and announce it; readers see the old or the new one, also if the writer dies in between.
+
+    Nothing is deleted or replaced. Of two writers of the same number the one that finds the other's announcement takes its own back.
+    """
     spark = df.sparkSession
     version = f"v{uuid.uuid4().hex}"
     publish(df, f"{folder}/{version}")
-    fs, pointer = file_system(spark, f"{folder}/CURRENT")
-    fresh = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT.{version}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise Refused("the pointer could not be moved")
+    number = max((n for n, _ in versions(spark, folder)), default=0) + 1
+    fs, marker = file_system(spark, f"{folder}/VERSION.{number:012d}.{version}")
+    if not fs.createNewFile(marker):
+        raise Refused("the version could not be announced")
+    if any(n == number and v != version for n, v in versions(spark, folder)):
+        fs.delete(marker, False)
+        raise Refused("another writer announced a version at the same time")
     return version
 
 
 def current_version(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.text(f"{folder}/CURRENT").first()[0]
-    return spark.read.parquet(f"{folder}/{version}")
+    found = versions(spark, folder)
+    if not found:
+        raise Refused(f"{folder} has no version")
+    return spark.read.parquet(f"{folder}/{found[-1][1]}")
 
 
 def canonical(**values: Column) -> Column:
@@ -88,6 +104,20 @@ def verified_copy(files: DataFrame, pins: DataFrame) -> DataFrame:
     return t.select("path", "content")
 
 
+#: Fixed limits of a dossier.
+MOST_EVENTS, MOST_DOSSIER_BYTES = 1000, 16 << 20
+
+
+def publish_dossier(one: DataFrame, destination: str) -> None:
+    """Publish a dossier's row as JSON, after the text to be published has been read again and found equal, and within the limits (SNK-09, EV-05)."""
+    refuse(one.where(F.size(F.coalesce("events", F.array())) > MOST_EVENTS).select("analysis"), "too many events")
+    text = one.select("analysis", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+    refuse(text.where(F.octet_length("document") > MOST_DOSSIER_BYTES).select("analysis"), "the dossier is too large")
+    back = text.select(F.from_json("document", one.schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    refuse(set_difference(one, back), "the dossier does not read back as it was")
+    publish(text, destination, form="json")
+
+
 def dossier(analyses: DataFrame, events: DataFrame, analysis: int) -> DataFrame:
     """One analysis with its events, in order, as one row."""
     e = events.where(F.col("analysis") == analysis).groupBy("analysis").agg(F.array_sort(F.collect_list(F.struct("revision", *[c for c in events.columns if c not in ("analysis", "revision")]))).alias("events"))

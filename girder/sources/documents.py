@@ -1,10 +1,10 @@
-"""JSON, CSV and file sources, strict ones (SRC-02, 06 to 08, 11, 12, 14, 17, 20, 21)."""
+"""JSON, CSV and file sources, strict ones (SRC-02, 06, 07, 11, 12, 17, 21)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from girder.functions.rules import Refused, is_finite, refuse
@@ -33,6 +33,25 @@ def pinned_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_inside(spark: SparkSession, root: str, wanted: DataFrame, most: int) -> DataFrame:
+    """name, content of the files that ``wanted`` (name) lists under a folder (SRC-06).
+
+    Refused are names that leave the folder, links out of it, missing files and files of more than ``most`` bytes; sizes are
+    looked at before any byte is read.
+    """
+    parts = F.split("name", "/")
+    refuse(wanted.where(F.col("name").isNull() | F.col("name").startswith("/") | F.exists(parts, lambda x: x.isin("", ".", ".."))), "a name leaves its folder")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = fs.makeQualified(base).toString().rstrip("/")
+    tail = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    inside = files.withColumn("name", F.expr(f"substring(path, {len(prefix) + 2})")).where(F.startswith(tail, F.regexp_replace(F.lit(prefix + "/"), r"^[a-z]+:/+", "/")))
+    sizes = wanted.join(inside.select("name", F.col("length").alias("size")), "name", "left")
+    refuse(sizes.where(F.col("size").isNull() | (F.col("size") > most)).select("name", "size"), "a file is missing, a link or too large")
+    return inside.join(wanted, "name", "left_semi").select("name", "content")
+
+
 def coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """images, annotations, categories of COCO files."""
     doc = json_documents(spark, path, COCO).select("doc.*")
@@ -59,12 +78,20 @@ def coco_violations(images: DataFrame, annotations: DataFrame, categories: DataF
     return out
 
 
-def projected_categories(annotations: DataFrame, keep: dict[int, int]) -> DataFrame:
-    """Annotations of some categories with their new ones, numbered from 1 by (image_id, id) (PRJ-01)."""
+def projected_categories(annotations: DataFrame, keep: dict[int, int | None]) -> DataFrame:
+    """Annotations of some categories with their new ones, numbered from 1 by (image_id, id) (PRJ-01).
+
+    keep: the new category of every category there is, None for one that is left out. An annotation of any other is refused: an unknown
+    category must not vanish like one that was left out.
+    """
     from girder.operators.selection import dense_ids
 
-    table = F.create_map(*[F.lit(x) for kv in keep.items() for x in kv])
-    t = annotations.withColumn("category_id", F.element_at(table, F.col("category_id"))).where("category_id is not null")
+    if not any(v is not None for v in keep.values()) or len({v for v in keep.values() if v is not None}) < sum(v is not None for v in keep.values()):
+        raise Refused("categories must be projected to different ones, and some kept")
+    known = F.coalesce(F.col("category_id").isin(*keep), F.lit(False))
+    refuse(annotations.where(~known).select("id", "category_id"), "unknown category")
+    table = F.create_map(*[F.lit(x) for kv in keep.items() for x in (kv[0], kv[1])]).cast("map<int,int>")
+    t = annotations.withColumn("category_id", F.try_element_at(table, F.col("category_id").cast("int"))).where("category_id is not null")
     return dense_ids(t, ["image_id", "id"], name="new_id").drop("id").withColumnRenamed("new_id", "id")
 
 
@@ -83,17 +110,31 @@ def metric_summary(spark: SparkSession, path: str, target: str) -> dict:
     return {"epoch": row.pop("_epoch"), "values": row}
 
 
-def prediction_violations(predictions: DataFrame, width: int, height: int, names: list[str]) -> DataFrame:
-    """id, problem of saved predictions (id, class_id, class_name, score, box)."""
+#: Fixed limits of saved predictions.
+MOST_PREDICTIONS = 200
+
+
+def prediction_violations(predictions: DataFrame, width: int, height: int, names: list[str], floor: float = 0.0) -> DataFrame:
+    """id, problem of an image's saved predictions (id, class_id, class_name, score, box), and of their masks if there is a column ``mask_rle`` (SRC-17).
+
+    Ids are 1 to the limit, each once; mask_rle is struct<size: array<int> (height, width), counts: string>.
+    """
     from girder.functions.geometry import sound
+    from girder.functions.masks import rle_problem
 
     known = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (i, n)])
+    uses = F.count(F.lit(1)).over(Window.partitionBy("id"))
     problem = (
-        F.when(~F.coalesce(F.element_at(known, F.col("class_id")) == F.col("class_name"), F.lit(False)), "class_and_name_differ")
-        .when(~is_finite(F.col("score")) | (F.col("score") < 0) | (F.col("score") > 1), "score_outside")
+        F.when(~F.coalesce(F.try_element_at(known, F.col("class_id")) == F.col("class_name"), F.lit(False)), "class_and_name_differ")
+        .when(~F.coalesce(F.col("id").between(1, MOST_PREDICTIONS), F.lit(False)), "id_outside")
+        .when(F.col("uses") > 1, "repeated_id")
+        .when(~is_finite(F.col("score")) | (F.col("score") < floor) | (F.col("score") > 1), "score_outside")
         .when(~sound(F.col("box"), F.lit(width), F.lit(height)), "bad_box")
     )
-    return predictions.select("id", problem.alias("problem")).where("problem is not null")
+    t = predictions.withColumn("uses", uses).withColumn("problem", problem)
+    if "mask_rle" in predictions.columns:
+        t = t.withColumn("problem", F.coalesce("problem", rle_problem(width, height)(F.col("mask_rle.size"), F.col("mask_rle.counts"))))
+    return t.select("id", "problem").where("problem is not null")
 
 
 @dataclass(frozen=True)

@@ -313,7 +313,9 @@ def test_strict_json_and_coco(spark, tmp_path):
         documents.json_documents(spark, str(tmp_path / "twice.json"), documents.COCO).collect()
     with pytest.raises(rules.Refused):
         documents.json_documents(spark, str(tmp_path / "good.json"), documents.COCO, version=2)
-    kept = documents.projected_categories(a, {1: 1}).collect()
+    with pytest.raises(rules.Refused, match="unknown category"):
+        documents.projected_categories(a, {1: 1})
+    kept = documents.projected_categories(a, {1: 1, 7: None}).collect()
     assert [(r["id"], r["category_id"]) for r in kept] == [(1, 1)]
 
 
