@@ -1,10 +1,8 @@
 """Byte-level encoding of whole columns of texts.
 
-The byte-level pre-tokenizer cuts texts at changes between letters, digits, white space and other signs. Here the
-cuts of a whole column are found at once by array operations on its bytes, and every pre-token is looked up in a
-table of those met before. New pre-tokens are encoded by the tokenizers library, many in one call: joined by their own leading
-spaces or by line feeds, which no pre-token crosses. A pre-token of up to 16 bytes is its own key, so equal keys are
-equal pre-tokens; longer ones are looked up by their bytes. The table is emptied when full, which bounds its memory.
+The byte-level pre-tokenizer cuts texts at changes between letters, digits, white space and other signs; those pre-tokens are the
+chunks of ``chunks.ColumnEncoder``. New ones are joined by their own leading
+spaces or by line feeds, which no pre-token crosses, so that the tokenizers library encodes thousands in one text.
 
 Texts with characters beyond the plain ones, with a NUL or with one of the tokenizer's added tokens go whole to the
 library, as do all texts if the tokenizer is not of this kind. A null text is an empty one, without ids.
@@ -15,22 +13,17 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 
-from girder.llm.text import buffer_of
+from girder.llm.chunks import ColumnEncoder, holding
 
 #: Characters below this have at most two bytes, and all versions of the character tables class them alike.
 PLAIN_BELOW = 0x240
 SPACE, LETTER, DIGIT, SIGN = range(4)
-#: Bytes that are cut at once, about.
-WINDOW = 2 << 20
 #: Second letters of the contractions with one and with two letters.
 ONE = b"stmd"
 TWO = (b"re", b"ve", b"ll")
-KEY = 16
 
 
 def character_classes() -> np.ndarray:
@@ -40,11 +33,6 @@ def character_classes() -> np.ndarray:
     return np.array([SPACE if c in white else by.get(unicodedata.category(chr(c))[0], SIGN) for c in range(PLAIN_BELOW)], np.uint8)
 
 
-def scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def cuts(w: np.ndarray, n: int, heads: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Where the pre-tokens of the first ``n`` bytes begin; ``heads``: where texts begin. Two bytes or more follow the n."""
     c = classes[np.minimum(w[: n + 2], 0x7F)]
@@ -77,87 +65,7 @@ def cuts(w: np.ndarray, n: int, heads: np.ndarray, classes: np.ndarray) -> np.nd
     return np.flatnonzero(first[:n])
 
 
-def windows(buffer: np.ndarray, bounds: np.ndarray, classes: np.ndarray, size: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """Ranges of the buffer that can be cut each by itself.
-
-    They end with a text, or in a long text where the class changes after a character that is neither white space nor beside
-    an apostrophe: a pre-token begins there whatever stands around it.
-    """
-    at, n = 0, int(bounds[-1])
-    while at < n:
-        end = n
-        if n - at > size:
-            k = int(np.searchsorted(bounds, at + size, "right")) - 1
-            end = int(bounds[k])
-            if end <= at:
-                end, low = int(bounds[k + 1]), at + size
-                while low < int(bounds[k + 1]):
-                    part = buffer[low - 1 : min(low + size, int(bounds[k + 1]))]
-                    c, plain = classes[np.minimum(part, 0x7F)], (part < 0x80) & (part != 0x27)
-                    found = np.flatnonzero((c[1:] != c[:-1]) & (c[:-1] != SPACE) & plain[1:] & plain[:-1])
-                    if len(found):
-                        end = low + int(found[0])
-                        break
-                    low += size
-        yield at, end
-        at = end
-
-
-class PreTokens:
-    """Ids of pre-tokens of up to ``KEY`` bytes, in open addressing by their two words; ``ids`` holds all ids end to end."""
-
-    def __init__(self, slots: int, kind: np.dtype):
-        self.slots, self.kind = slots, kind
-        self.shift = np.uint64(64 - (slots.bit_length() - 1))
-        self.clear()
-
-    def clear(self) -> None:
-        self.low, self.high = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
-        self.at, self.n = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
-        self.ids, self.used, self.entries = np.zeros(1 << 16, self.kind), 0, 0
-        self.long: dict[bytes, tuple[int, int]] = {}
-
-    def keep(self, ids: np.ndarray) -> int:
-        """Append ids; where they begin."""
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.kind)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids)
-
-    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where it is not known."""
-        slot = (scrambled(low ^ scrambled(high + np.uint64(1))) >> self.shift).astype(np.int64)
-        left = np.flatnonzero((self.low[slot] != low) | (self.high[slot] != high))
-        while len(left):
-            s = slot[left]
-            empty = self.low[s] == 0
-            slot[left[empty]] = -1
-            left = left[~empty]
-            slot[left] = (slot[left] + 1) % self.slots
-            s = slot[left]
-            left = left[(self.low[s] != low[left]) | (self.high[s] != high[left])]
-        return slot
-
-    def add(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        """Put distinct new keys into free slots."""
-        slot = (scrambled(low ^ scrambled(high + np.uint64(1))) >> self.shift).astype(np.int64)
-        left = np.arange(len(low))
-        while len(left):
-            free = np.flatnonzero(self.low[slot[left]] == 0)
-            _, pick = np.unique(slot[left[free]], return_index=True)
-            k = left[free[pick]]
-            s = slot[k]
-            self.low[s], self.high[s], self.at[s], self.n[s] = low[k], high[k], at[k], n[k]
-            rest = np.ones(len(left), bool)
-            rest[free[pick]] = False
-            left = left[rest]
-            taken = self.low[slot[left]] != 0
-            slot[left[taken]] = (slot[left[taken]] + 1) % self.slots
-        self.entries += len(low)
-
-
-class ByteEncoder:
+class ByteEncoder(ColumnEncoder):
     """Ids of texts exactly as the tokenizers library gives them without special tokens of a post-processor."""
 
     def __init__(self, path: str, slots: int = 1 << 21):
@@ -167,11 +75,9 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.levels = max(1, int(max(vocabulary.values(), default=1)).bit_length())
-        self.kind = np.dtype("<u4" if self.levels > 16 else "<u2")
+        super().__init__(slots, np.dtype("<u4" if self.levels > 16 else "<u2"))
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.table = PreTokens(slots, self.kind)
         self.classes = character_classes()
-        self.mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
         # A byte-level token has one character a byte.
         self.bytes_of = np.zeros(1 << self.levels, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -217,96 +123,17 @@ class ByteEncoder:
                 out[i] = ids
         return out
 
-    def learn(self, raw: bytes, starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        """Take up new pre-tokens of up to KEY bytes; equal ones may be named many times."""
-        order = np.lexsort((high, low))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
-        one = order[fresh]
-        ids = self.ids_of([raw[a : a + n] for a, n in zip(starts[one].tolist(), sizes[one].tolist(), strict=True)])
-        n = np.array(list(map(len, ids)), np.int64)
-        self.table.add(low[one], high[one], self.table.keep(np.concatenate(ids)) + np.cumsum(n) - n, n)
+    def cuts(self, w: np.ndarray, n: int, heads: np.ndarray) -> np.ndarray:
+        return cuts(w, n, heads, self.classes)
 
-    def encode_window(self, buffer: np.ndarray, begin: int, end: int, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where pre-tokens begin, how many ids each has, and all ids of a range of the buffer."""
-        table, w = self.table, buffer[begin : end + 2]
-        starts = cuts(w, end - begin, heads - begin, self.classes)
-        sizes = np.diff(starts, append=end - begin)
-        words = np.ndarray(len(buffer) - 7, "<u8", buffer, 0, (1,))
-        low = words[begin + starts] & self.mask[np.minimum(sizes, 8)]
-        high = words[begin + starts + 8] & self.mask[np.clip(sizes - 8, 0, 8)]
-        short, raw = sizes <= KEY, None
-        if not short.all():
-            low[~short] = high[~short] = 0
-        places = np.flatnonzero(short)
-        slot = table.find(low[places], high[places])
-        miss = places[slot < 0]
-        if len(miss):
-            raw = buffer[begin:end].tobytes()
-            if table.entries + len(miss) > table.slots // 2 and table.entries:
-                table.clear()
-                miss = places
-            self.learn(raw, starts[miss], sizes[miss], low[miss], high[miss])
-            slot = table.find(low[places], high[places])
-        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        at[places], n[places] = table.at[slot], table.n[slot]
-        long = np.flatnonzero(~short)
-        if len(long):
-            raw = raw or buffer[begin:end].tobytes()
-            parts = [raw[a : a + k] for a, k in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
-            new = [p for p in dict.fromkeys(parts) if p not in table.long]
-            for p, ids in zip(new, self.ids_of(new), strict=True):
-                table.long[p] = table.keep(ids), len(ids)
-            at[long], n[long] = np.array([table.long[p] for p in parts]).T
-        total = np.cumsum(n)
-        ids = table.ids[np.repeat(at - total + n, n) + np.arange(total[-1])]
-        if table.used > 8 * table.slots or len(table.long) > table.slots // 8:
-            table.clear()
-        return begin + starts, n, ids
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of every text of a string column."""
-        buffer, bounds = buffer_of(texts)
-        whole = self.whole(buffer, bounds)
-        out: list = [None] * len(texts)
-        if whole.any():
-            odd = np.flatnonzero(whole).tolist()
-            for i, ids in zip(odd, self.library([buffer[bounds[i] : bounds[i + 1]].tobytes().decode() for i in odd]), strict=True):
-                out[i] = ids
-            plain = np.flatnonzero(~whole)
-            buffer, bounds = buffer_of(texts.take(pa.array(plain)))
-        else:
-            plain = np.arange(len(texts))
-        if len(plain):
-            heads, starts, counts, ids = np.unique(bounds[:-1]), [], [], []
-            for begin, end in windows(buffer, bounds, self.classes):
-                inner = heads[np.searchsorted(heads, begin) : np.searchsorted(heads, end)]
-                s, n, found = self.encode_window(buffer, begin, end, np.union1d(inner, [begin]))
-                starts.append(s)
-                counts.append(n)
-                ids.append(found)
-            if ids:
-                starts, total = np.concatenate(starts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-                edges = total[np.searchsorted(starts, bounds)]
-                every = np.concatenate(ids)
-            else:
-                edges, every = np.zeros(len(bounds), np.int64), np.zeros(0, self.kind)
-            for i, a, b in zip(plain.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                out[i] = every[a:b]
-        return out
+    def safe(self, before: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """A change of class after a character that is neither white space nor beside an apostrophe, of ASCII alone."""
+        plain = (before < 0x80) & (here < 0x80) & (before != 0x27) & (here != 0x27)
+        old, new = (self.classes[np.minimum(x, 0x7F)] for x in (before, here))
+        return plain & (old != SPACE) & (old != new)
 
     def whole(self, buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Which texts go whole to the library."""
-        out = np.full(len(bounds) - 1, not self.by_pre_token)
-        if self.by_pre_token:
-            body = buffer[: bounds[-1]]
-            places = [np.flatnonzero((body == 0) | (body >= 0xC0 | PLAIN_BELOW >> 6))]
-            raw = body.tobytes() if self.added else b""
-            for token in self.added:
-                at = raw.find(token)
-                while at >= 0:
-                    places.append(np.array([at]))
-                    at = raw.find(token, at + 1)
-            places = np.concatenate(places)
-            out[np.searchsorted(bounds, places, "right") - 1] = True
-        return out
+        if not self.by_pre_token:
+            return np.ones(len(bounds) - 1, bool)
+        body = buffer[: bounds[-1]]
+        return holding(buffer, bounds, np.flatnonzero((body == 0) | (body >= 0xC0 | PLAIN_BELOW >> 6)), self.added)

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from girder.llm import bytepairs
+from girder.llm import bytepairs, chunks
 from girder.llm.text import buffer_of, text_batches
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -20,8 +20,8 @@ ODD = ["ɀ", "ɏ", "ɐ", "😀", "<|endoftext|>", "<|", "|>", "\x00", "▁", "ʼ
 def test_ids_are_the_library_s(window, monkeypatch):
     from tokenizers import Tokenizer
 
-    cut = bytepairs.windows
-    monkeypatch.setattr(bytepairs, "windows", lambda buffer, bounds, classes: cut(buffer, bounds, classes, window))
+    cut = chunks.windows
+    monkeypatch.setattr(chunks, "windows", lambda buffer, bounds, safe: cut(buffer, bounds, safe, window))
     library, encoder, rng = Tokenizer.from_file(PATH), bytepairs.ByteEncoder(PATH, slots=1 << 11), random.Random(window)
     assert encoder.by_pre_token
     for _ in range(25):
@@ -36,8 +36,8 @@ def test_a_long_text_without_white_space(monkeypatch):
 
     rng = random.Random(2)
     text = ",".join(str(rng.randrange(10**5)) for _ in range(4000)) + "'s" * 300 + "z" * 3000
-    cut = bytepairs.windows
-    monkeypatch.setattr(bytepairs, "windows", lambda buffer, bounds, classes: cut(buffer, bounds, classes, 100))
+    cut = chunks.windows
+    monkeypatch.setattr(chunks, "windows", lambda buffer, bounds, safe: cut(buffer, bounds, safe, 100))
     got = bytepairs.ByteEncoder(PATH, slots=1 << 10).encode(pa.array([text]))[0]
     assert got.tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
