@@ -1,13 +1,13 @@
 """WARC writing and a Merkle fixity audit of replicas.
 
-Records lie end to end in shards. Each record's bytes are hashed; the hashes of consecutive records, in order of
-offset, are hashed together ``fanout`` at a time, level by level, to the shard's root; the shards' roots, in
+Records lie end to end in shards. Each record's bytes are hashed; the offsets (from the first of them), lengths and hashes of consecutive records, in order of
+offset, are hashed together ``fanout`` at a time, and so are the ranges these cover, level by level, to the shard's root; the shards' roots, in
 order, to the replica's. An audit compares roots and descends only below nodes that differ, so equal branches cost
 nothing, until the records that are corrupt, missing or added are named.
 
 Nulls: a null url or body is an empty one; a null id sorts first and stays. Repeated rows are
 repeated records, in a stable order. An empty table has no shards and, by definition, equal roots with another empty one. Groups hashed
-together have at most ``fanout`` members. Columns not named are left alone.
+together have at most ``fanout`` members. Columns not named are left alone. Very long records are hashed whole.
 """
 
 from __future__ import annotations
@@ -62,21 +62,25 @@ def replicated(records: DataFrame) -> DataFrame:
 
 def leaves(records: DataFrame) -> DataFrame:
     """(shard, n, page_id, at, length, sha256) of stored records; only hashes and lengths are shuffled."""
-    slim = records.select("shard", "n", "page_id", "length", F.sha2("content", 256).alias("sha256"))
+    slim = records.select("shard", "n", "page_id", F.length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
     line = Window.partitionBy("shard").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return slim.withColumn("at", F.sum("length").over(line) - F.col("length"))
 
 
 def parents(nodes: DataFrame, by: list[str], number: str, fanout: int) -> DataFrame:
-    """One level up: nodes (by, number, sha256) hashed ``fanout`` at a time in order of number."""
-    grouped = nodes.groupBy(*by, F.expr(f"{number} div {fanout}").cast("int").alias("up")).agg(F.sort_array(F.collect_list(F.struct(F.col(number).alias("i"), "sha256"))).alias("c"))
-    joined = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["i"].cast("string"), x["sha256"])), ",")
-    return grouped.select(*by, F.col("up").alias(number), F.sha2(joined, 256).alias("sha256"))
+    """One level up: nodes (by, number, at, length, sha256) hashed ``fanout`` at a time in order of number; a parent covers their ranges.
+
+    Offsets count from the first child, so what lies behind a record that is missing or has another length keeps its hashes.
+    """
+    one = F.struct(F.col(number).alias("i"), "at", "length", "sha256")
+    grouped = nodes.groupBy(*by, F.expr(f"{number} div {fanout}").cast("int").alias("up")).agg(F.sort_array(F.collect_list(one)).alias("c"), F.min("at").alias("at"), F.sum("length").alias("length"))
+    joined = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["i"].cast("string"), (x["at"] - F.col("at")).cast("string"), x["length"].cast("string"), x["sha256"])), ",")
+    return grouped.select(*by, F.col("up").alias(number), "at", "length", F.sha2(joined, 256).alias("sha256"))
 
 
 def tree(leaf: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> list[DataFrame]:
-    """The levels of all shards' trees from the records to the shards' roots, each (shard, n, sha256), stored."""
-    out = [staged(leaf.select("shard", "n", "sha256"), "tree0")]
+    """The levels of all shards' trees from the records to the shards' roots, each (shard, n, at, length, sha256), stored."""
+    out = [staged(leaf.select("shard", "n", "at", "length", "sha256"), "tree0")]
     for k in range(levels):
         out.append(staged(parents(out[-1], ["shard"], "n", fanout), f"tree{k + 1}"))
     return out
@@ -96,7 +100,7 @@ def replica_root(top: DataFrame, fanout: int = FANOUT) -> str | None:
 def differing(one: list[DataFrame], two: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     """(shard, n, status) of records that differ: corrupt, missing in two, or added in two. Equal branches are never opened."""
     def apart(a: DataFrame, b: DataFrame) -> DataFrame:
-        a, b = a.withColumnRenamed("sha256", "a"), b.withColumnRenamed("sha256", "b")
+        a, b = (t.select("shard", "n", F.struct("length", "sha256").alias(name)) for t, name in ((a, "a"), (b, "b")))
         return a.join(b, ["shard", "n"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
 
     at = staged(apart(one[-1], two[-1]), "apart")
@@ -108,24 +112,38 @@ def differing(one: list[DataFrame], two: list[DataFrame], fanout: int = FANOUT)
     return at.select("shard", "n", status.alias("status"))
 
 
-def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Every record of the first replica, with the verdict on the second: intact, corrupt or missing; and added ones.
+def audited(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every record of the first replica, with the verdict on the second: intact, corrupt or missing; and added ones. Also (shard, sha256), the first's roots.
 
     Both are tables as write_warc stores them, of which the contents are read and hashed anew.
     """
     a, b = staged(leaves(first), "leaves"), staged(leaves(second), "leaves")
     one, two = tree(a), tree(b)
+    roots = one[-1].select("shard", "sha256")
     if replica_root(one[-1]) == replica_root(two[-1]):
-        return a.withColumn("status", F.lit("intact"))
+        return a.withColumn("status", F.lit("intact")), roots
     bad = staged(differing(one, two), "bad")
     old = a.join(bad, ["shard", "n"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
     new = b.join(bad.where("status = 'added'"), ["shard", "n"])
-    return old.unionByName(new)
+    return old.unionByName(new), roots
+
+
+def audit(first: DataFrame, second: DataFrame) -> DataFrame:
+    return audited(first, second)[0]
+
+
+def drilled(records: DataFrame) -> DataFrame:
+    """A second copy with known damage, for a drill: records of pages divisible by 89 are lost, and of those divisible by 97 the last byte."""
+    cut = F.when(F.col("page_id") % 97 == 0, F.expr("substring(content, 1, length(content) - 1)")).otherwise(F.col("content"))
+    return replicated(records.where("page_id is null or page_id % 89 <> 0").withColumn("content", cut))
 
 
 def audited_pages(pages: DataFrame) -> DataFrame:
-    """page_id, shard, record, at, length, sha256, status, shard_root: pages written as WARC, copied, and the copy audited."""
+    """page_id, shard, record, at, length, sha256, status, shard_root: pages written as WARC, copied with the drill's damage, and the copy audited.
+
+    Without damage the roots agree and nothing would be descended; the drill has each run find damage that is known.
+    """
     first = write_warc(pages)
-    found = staged(audit(first, replicated(first)), "audit")
-    roots = tree(found.where("status <> 'added'").select("shard", "n", "sha256"))[-1].select("shard", F.col("sha256").alias("shard_root"))
-    return found.join(roots, "shard", "left").select("page_id", "shard", F.col("n").cast("long").alias("record"), "at", "length", "sha256", "status", "shard_root")
+    found, roots = audited(first, drilled(first))
+    t = found.join(roots.withColumnRenamed("sha256", "shard_root"), "shard", "left")
+    return t.select("page_id", "shard", F.col("n").cast("long").alias("record"), "at", "length", "sha256", "status", "shard_root")

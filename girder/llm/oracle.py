@@ -56,14 +56,16 @@ WITH r AS (
       || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
       || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS content
   FROM pages),
-leaf AS (
-  SELECT page_id, k // 4096 AS shard, k % 4096 AS record, CAST(octet_length(content) AS BIGINT) AS length, sha256(content) AS sha256 FROM r),
-one AS (SELECT shard, record // 16 AS i, sha256(string_agg((record) || ':' || sha256, ',' ORDER BY record)) AS h FROM leaf GROUP BY ALL),
-two AS (SELECT shard, i // 16 AS j, sha256(string_agg(i || ':' || h, ',' ORDER BY i)) AS h FROM one GROUP BY ALL),
-root AS (SELECT shard, sha256(string_agg(j || ':' || h, ',' ORDER BY j)) AS shard_root FROM two GROUP BY ALL)
-SELECT page_id, CAST(leaf.shard AS BIGINT) AS shard, CAST(record AS BIGINT) AS record,
-  CAST(sum(length) OVER (PARTITION BY leaf.shard ORDER BY record) - length AS BIGINT) AS "at",
-  length, sha256, 'intact' AS status, shard_root
+cut AS (SELECT page_id, k // 4096 AS shard, k % 4096 AS record, CAST(octet_length(content) AS BIGINT) AS length, sha256(content) AS sha256 FROM r),
+leaf AS (SELECT *, CAST(sum(length) OVER (PARTITION BY shard ORDER BY record) - length AS BIGINT) AS start FROM cut),
+one AS (SELECT *, start - min(start) OVER (PARTITION BY shard, record // 16) AS off FROM leaf),
+one_up AS (SELECT shard, record // 16 AS i, min(start) AS start, CAST(sum(length) AS BIGINT) AS length, sha256(string_agg(record || ':' || off || ':' || length || ':' || sha256, ',' ORDER BY record)) AS h FROM one GROUP BY ALL),
+two AS (SELECT *, start - min(start) OVER (PARTITION BY shard, i // 16) AS off FROM one_up),
+two_up AS (SELECT shard, i // 16 AS j, min(start) AS start, CAST(sum(length) AS BIGINT) AS length, sha256(string_agg(i || ':' || off || ':' || length || ':' || h, ',' ORDER BY i)) AS h FROM two GROUP BY ALL),
+three AS (SELECT *, start - min(start) OVER (PARTITION BY shard) AS off FROM two_up),
+root AS (SELECT shard, sha256(string_agg(j || ':' || off || ':' || length || ':' || h, ',' ORDER BY j)) AS shard_root FROM three GROUP BY ALL)
+SELECT page_id, CAST(leaf.shard AS BIGINT) AS shard, CAST(record AS BIGINT) AS record, start AS "at", length, sha256,
+  CASE WHEN page_id % 89 = 0 THEN 'missing' WHEN page_id % 97 = 0 THEN 'corrupt' ELSE 'intact' END AS status, shard_root
 FROM leaf JOIN root ON leaf.shard = root.shard
 """
 

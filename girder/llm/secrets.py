@@ -2,12 +2,13 @@
 
 Base kinds are found by pattern alone. Further candidates (well-known token forms and long
 mixed strings) are judged by the corpus: a candidate's hash is counted over distinct owners and
-repositories; one that several owners carry is a copied example, one that belongs to a single owner looks live
+repositories; one that several owners carry, or many repositories of one, is a copied example, and any other belongs to its owner, looks live
 and adds a span. Spans are in code points, end exclusive.
 
 Nulls: a null text is empty; a null owner or repository is an owner or repository of its own. Repeated
 rows are scanned each for itself and count once as owners. Overlapping spans of
-different kinds all stay. An empty table gives an empty result.
+different kinds all stay; of those that begin together the kind listed first comes first. An empty table gives an empty result. Very long texts are scanned whole;
+matches are laid out in blocks, so that many of them in one text cost little more than few.
 """
 
 from __future__ import annotations
@@ -47,8 +48,10 @@ OWNED = [
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 24),
     Kind("mixed", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}", 0, 24),
 ]
-#: Owners from which on a candidate counts as a copied example.
-COPIED_BY = 2
+#: Owners, or repositories, from which on a candidate counts as a copied example.
+COPIED_BY, COPIED_IN = 2, 4
+#: Matches of a text that are laid out together.
+BLOCK = 256
 SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int,secret:string>>"
 
 
@@ -60,15 +63,23 @@ def spans_of(text: Column, kind: Kind, number: int) -> Column:
     none = F.array().cast(SPAN)
 
     def found(g, m, v):
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
         def step(a, i):
             begin = (a["at"] + F.length(F.get(g, i))).cast("int")
             end = (begin + F.length(F.get(m, i))).cast("int")
             one = F.array(F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), F.lit(kind.name).alias("kind"), end.alias("end"), F.get(v, i).alias("secret"))).cast(SPAN)
             return F.struct(end.alias("at"), F.when(F.length(F.get(v, i)) >= kind.least, F.concat(a["spans"], one)).otherwise(a["spans"]).alias("spans"))
 
-        return F.when(F.size(m) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step)["spans"])
+        def block(first, last, at):
+            return F.aggregate(F.sequence(first, last), F.struct(at.alias("at"), none.alias("spans")), step)
+
+        def next_block(a, k):
+            here = block(k * BLOCK, F.least(k * BLOCK + BLOCK, F.size(m)) - 1, a["at"])
+            return let(here, lambda r: F.struct(r["at"].alias("at"), F.concat(a["blocks"], F.array(r["spans"])).alias("blocks")))
+
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("blocks"))
+        many = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), nothing, next_block)["blocks"])
+        few = block(F.lit(0), F.size(m) - 1, F.lit(0))["spans"]
+        return F.when(F.size(m) == 0, none).when(F.size(m) <= BLOCK, few).otherwise(many)
 
     laid = let(gaps, lambda g: let(hits, lambda m: let(values, lambda v: found(g, m, v)) if kind.group else found(g, m, m)))
     return F.when(text.rlike(kind.pattern), laid).otherwise(none)
@@ -79,39 +90,50 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, keys: list[str], text: str = "text", owner: str | None = "source", repository: str | None = None) -> DataFrame:
-    """A stored table of each row's base spans and all spans after the verdict on ownership.
+def named(column: Column | None) -> Column:
+    """An owner or repository as text; null is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
+def scan(docs: DataFrame, keys: list[str], text: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:
+    """A table of each row's base spans and all spans after the verdict on ownership.
 
     keys: columns carried along. Columns out: keys, n_assign, n_access, n_hex, base, spans. Without an
-    owner column every row is its own owner; without a repository column the owner stands for it.
+    owner every row is its own; without a repository the owner stands for it.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    who = F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("")) if owner else F.col("_row").cast("string")
-    where = F.coalesce(F.concat(F.lit("="), F.col(repository).cast("string")), F.lit("")) if repository else who
     base = [spans_of(t, k, i) for i, k in enumerate(BASE)]
     owned = F.concat(*[spans_of(t, k, len(BASE) + i) for i, k in enumerate(OWNED)])
-    seen = docs.select(*keys, F.monotonically_increasing_id().alias("_row"), *[c.alias(f"_b{i}") for i, c in enumerate(base)], owned.alias("_owned"), *([F.col(owner).alias("_who")] if owner else []), *([F.col(repository).alias("_where")] if repository else []))
-    who = F.coalesce(F.concat(F.lit("="), F.col("_who").cast("string")), F.lit("")) if owner else F.col("_row").cast("string")
-    where = F.coalesce(F.concat(F.lit("="), F.col("_where").cast("string")), F.lit("")) if repository else who
-    seen = staged(seen.withColumn("_who_key", who).withColumn("_where_key", where), "secrets")
+    row = F.monotonically_increasing_id()
+    who = named(owner) if owner is not None else row.cast("string")
+    where = F.concat_ws("\n", who, named(repository)) if repository is not None else who
+    seen = docs.select(*keys, row.alias("_row"), *[c.alias(f"_b{i}") for i, c in enumerate(base)], owned.alias("_owned"), who.alias("_who"), where.alias("_where"))
+    seen = staged(seen, "secrets")
     # A candidate inside a base span adds no span of its own but counts for its owner.
-    extra = seen.where(F.size("_owned") > 0).select("_row", "_who_key", "_where_key", F.concat("_b0", "_b1", "_b2").alias("_base"), F.explode("_owned").alias("s"))
+    extra = seen.where(F.size("_owned") > 0).select("_row", "_who", "_where", F.concat("_b0", "_b1", "_b2").alias("_base"), F.explode("_owned").alias("s"))
     inside = F.exists("_base", lambda b: (b["start"] <= F.col("s.start")) & (F.col("s.end") <= b["end"]))
     extra = extra.withColumn("inside", inside).withColumn("h", F.sha2(F.col("s.secret"), 256)).drop("_base")
     extra = staged(extra, "candidates")
-    places = extra.groupBy("h", "_who_key", "_where_key").agg(F.count(F.lit(1)).alias("n"))
-    owners = places.groupBy("h", "_who_key").agg(F.count(F.lit(1)).alias("repositories"))
+    # Distinct places first, with map-side combining, so that a candidate copied everywhere is few rows when it is counted.
+    places = extra.groupBy("h", "_who", "_where").agg(F.count(F.lit(1)).alias("n"))
+    owners = places.groupBy("h", "_who").agg(F.count(F.lit(1)).alias("repositories"))
     verdict = owners.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    live = extra.where(~F.col("inside")).join(verdict.where(F.col("owners") < COPIED_BY), "h").groupBy("_row").agg(F.collect_list("s").alias("_live"))
+    alive = verdict.where((F.col("owners") < COPIED_BY) & (F.col("repositories") < COPIED_IN))
+    live = extra.where(~F.col("inside")).join(alive.select("h"), "h").groupBy("_row").agg(F.collect_list("s").alias("_live"))
     both = seen.join(live, "_row", "left")
     n = {f"n_{k.name}": F.size(f"_b{i}").cast("long") for i, k in enumerate(BASE)}
     every = F.concat("_b0", "_b1", "_b2", F.coalesce("_live", F.array().cast(SPAN)))
     return both.select(*keys, *[c.alias(k) for k, c in n.items()], F.concat("_b0", "_b1", "_b2").alias("base"), every.alias("spans"))
 
 
+def owners_of(docs: DataFrame) -> dict[str, Column]:
+    """Owner and repository of documents: the source, and its part in a language where there is one."""
+    return {"owner": F.col("source"), **({"repository": F.col("lang")} if "lang" in docs.columns else {})}
+
+
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for documents (doc_id, source, text)."""
-    found = scan(docs, ["doc_id"])
+    found = scan(docs, ["doc_id"], **owners_of(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -131,8 +153,8 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """The documents with the secrets of their texts replaced; rows without any stay as they are."""
     key = text_key(F.col("text"))
-    flat = docs.select(key.alias("_key"), F.col("text"), F.col("source"))
-    found = scan(flat, ["_key"]).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
+    flat = docs.select(key.alias("_key"), *[c for c in ("text", "source", "lang") if c in docs.columns])
+    found = scan(flat, ["_key"], **owners_of(flat)).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
     rows = docs.select(key.alias("_key"), packed(docs).alias("_doc"))
     both = rows.join(found, "_key", "left")
     text = F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(redacted(F.col("_doc.text"), F.col("spans")))
