@@ -7,7 +7,7 @@ from all labelled training rows, without a bound. The fitted score is then scale
 
 Fitted on bounded samples (``labelled``, ``unlabelled`` rows, drawn by hash of the id); every row of the table is scored, by
 column expressions. Nulls: a null or empty text has the measures of an empty one and a score; a
-null id is never labelled and not held out. Rows repeated in either table count as often as they stand. Without positive labels
+null id is never labelled and not held out. Rows repeated in either table count as often as they stand, within the bounds. Very long texts are measured whole. Without positive labels
 every score is the prior ``default_prior``. An empty table gives an empty result.
 """
 
@@ -142,7 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> Mod
     rows = docs.count()
     every = max(1, -(-rows // how.unlabelled))
     text = docs.select("doc_id", "text").where("doc_id is not null")
-    named = text.join(known, "doc_id").select("quality", measures(F.col("text")).alias("m")).toArrow()
+    # An id may stand often in documents, so what comes to the driver is bounded once more, by hash of id and text.
+    named = text.join(known, "doc_id").select("quality", measures(F.col("text")).alias("m"), F.xxhash64("doc_id", "text", F.lit(how.seed)).alias("turn"))
+    named = named.orderBy("turn", "quality").limit(how.labelled).select("quality", "m").toArrow()
     web = text.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(how.seed + 1)), F.lit(every)) == 0).select(measures(F.col("text")).alias("m")).limit(how.unlabelled).toArrow()
     k = len(MEASURES)
     rows_of = lambda t: np.asarray(t.column("m").combine_chunks().flatten(), float).reshape(-1, k) if t.num_rows else np.zeros((0, k))
