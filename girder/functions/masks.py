@@ -145,6 +145,44 @@ def rasterised(polygons: list[list[float]], height: int, width: int) -> np.ndarr
     return out
 
 
+#: Fixed colours of the source's masks, by class; black is none.
+MASK_COLOURS = ((255, 0, 0), (0, 0, 255))
+
+
+def palette_agreement(source: np.ndarray, drawn: list[np.ndarray]) -> dict:
+    """An RGB mask held against its classes' drawn masks, later ones on top: differing pixels and IoU by class, null where a class is on neither (PRJ-16).
+
+    Refused are colours that no class has and a class's empty drawing.
+    """
+    place = np.array([65536, 256, 1])
+    codes = source.astype(np.int64) @ place
+    known = np.concatenate([[0], np.array(MASK_COLOURS) @ place])
+    if not np.isin(codes, known).all():
+        raise ValueError("mask has colours that no class has")
+    order = np.argsort(known)
+    if any(not m.any() for m in drawn if m is not None):
+        raise ValueError("a polygon draws nothing")
+    labels = order[np.searchsorted(known[order], codes)]
+    made = np.zeros_like(labels)
+    for k, m in enumerate(drawn):
+        if m is not None:
+            made[m] = k + 1
+    ious = {}
+    for k in range(1, len(MASK_COLOURS) + 1):
+        a, b = labels == k, made == k
+        union = int((a | b).sum())
+        ious[k - 1] = float((a & b).sum() / union) if union else None
+    return {"differing": int((labels != made).sum()), "iou": ious}
+
+
+def union_of_windows(height: int, width: int, windows: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
+    """All windows' masks (mask, x, y) or-ed into one canvas (AG-20)."""
+    out = np.zeros((height, width), bool)
+    for mask, x, y in windows:
+        out = placed(out, mask, x, y)
+    return out
+
+
 def placed(canvas: np.ndarray, window: np.ndarray, x: int, y: int) -> np.ndarray:
     """The canvas with a window's mask or-ed in at an offset, cut at the edges."""
     h, w = (min(window.shape[0], canvas.shape[0] - y), min(window.shape[1], canvas.shape[1] - x))

@@ -86,4 +86,4 @@ def photo_reasons(readable: Column, sharpness: Column, limits: dict = QUALITY_LI
 
 def analysis_outcome(verdict: Column, n_findings: Column) -> Column:
     """What an analysis may claim: a photo that cannot be read says nothing, and no finding is not an absence."""
-    return F.when(verdict == "unusable", "not_analysable").when(n_findings > 0, "findings_to_review").when(verdict == "partial", "partial_no_finding").otherwise("no_finding")
+    return F.when(verdict == "unusable", "not_assessable").when(n_findings > 0, "defects_found").when(verdict == "partial", "partial_analysis").otherwise("no_target_defect_in_readable_area")

@@ -9,7 +9,7 @@ from girder.functions import geometry as g
 from girder.functions import rules
 from girder.functions.hashing import sha256
 from girder.functions.ratios import ratio
-from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, requests, selection, similarity, splits, windows
+from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, reports, requests, selection, similarity, splits, windows
 from girder.plans import views as v
 from girder.plans.statements import STATEMENTS
 from girder.shared import staged
@@ -261,6 +261,28 @@ def label_join_default(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.size("labels").cast("long").alias("n_labels"), F.array_join("labels", ",").alias("labels"))
 
 
+def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    t = reports.duplicate_groups(v.photos(spark, d).select("id", "digest"))
+    return t.select("digest", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def leaking_groups(spark: SparkSession, d: str) -> DataFrame:
+    split = F.when(F.col("id") % 3 == 0, "val").when(F.col("id") % 7 == 0, "unassigned").otherwise("train")
+    t = reports.leaking_groups(v.photos(spark, d).select("id", F.concat_ws(":", "source", "difficulty").alias("content_group"), split.alias("source_split")))
+    return t.select("content_group", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def collection_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = v.photos(spark, d).select("id", "source", F.size("classes").alias("n_boxes"), F.when(F.col("quality") == 0, "quarantine").otherwise("review").alias("decision"), (F.col("id") % 8 + 1).alias("exif_orientation"), F.col("digest").alias("content_group"))
+    return reports.collection_summary(p, ["source"])
+
+
+def review_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    audit = review_audit(spark, d).select("outcome")
+    reviewed = v.read(spark, d, "documents").select(F.when(F.col("doc_id") % 6 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0))).alias("source_indices"))
+    return reports.review_outcomes(audit, reviewed)
+
+
 def review_audit(spark: SparkSession, d: str) -> DataFrame:
     docs = v.read(spark, d, "documents").select(F.col("doc_id").alias("id"))
     box = lambda k: F.struct(F.lit(0).alias("x1"), k.cast("int").alias("x2"))
@@ -365,7 +387,7 @@ NAMES = (
     scene_groups, quarantine_propagation, external_roles, grouped_split, split_summary, crossing_groups, shared_digests, budget_selection, bottom_k_panels, first_seen_dedupe,
     flag_counts, photo_verdicts, yolo_parse, yolo_rejects, yolo_mapped, coco_export, integrity_mismatch, companion_orphans, label_join_default, review_audit,
     review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
-    target_study, selection_summary, origin_split, balanced_negatives, manifest_violations, collection_violations,
+    duplicate_groups, leaking_groups, collection_summary, review_outcomes, target_study, selection_summary, origin_split, balanced_negatives, manifest_violations, collection_violations,
     journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused,
 )
 

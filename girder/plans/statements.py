@@ -220,6 +220,14 @@ IMAGES = "(SELECT count(DISTINCT l_orderkey) FROM lineitem)"
 ORIGINS = """ranked AS (SELECT photo, row_number() OVER (ORDER BY sha256('7:' || photo), photo) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS photo FROM orders)),
 uses AS (SELECT photo, CASE WHEN k <= greatest(1, least(n - 1, round_even(n * 0.5, 0))) THEN 'train' ELSE 'reserved' END AS use FROM ranked)"""
 
+REVIEW_AUDIT = """WITH s AS (SELECT doc_id AS id, unnest([0, 1, 2]) AS source_index FROM documents),
+r AS (SELECT doc_id AS id, unnest([0, 1]) AS review_index FROM documents),
+l AS (SELECT id, review_index, CASE WHEN id % 3 = 0 THEN review_index + 1 ELSE 9 END AS x2, unnest(list_distinct(CASE WHEN id % 5 = 0 THEN [0, review_index] ELSE [review_index] END)) AS source_index FROM r),
+g AS (SELECT id, source_index, string_agg(review_index, ',' ORDER BY review_index) AS targets, count(*) AS n, min(x2) AS x2 FROM l GROUP BY ALL)
+SELECT s.id, CAST(s.source_index AS BIGINT) AS source_index, coalesce(targets, '') AS targets,
+  CASE WHEN s.source_index = 2 AND s.id % 7 <> 0 THEN CASE WHEN targets IS NULL THEN 'removed' ELSE 'unresolved' END WHEN n = 1 AND x2 = s.source_index + 1 THEN 'kept' WHEN n IS NOT NULL THEN 'revised' ELSE 'unresolved' END AS outcome
+FROM s LEFT JOIN g ON s.id = g.id AND s.source_index = g.source_index"""
+
 STATEMENTS: dict[str, str] = {
     "match_confusion": with_(match(300), f"SELECT *, {RATIOS}, tp + fn AS reference_instances, CAST(fp AS DOUBLE) / {IMAGES} AS false_proposals_per_image FROM (SELECT class, {SUMS} FROM counts GROUP BY class)"),
     "match_table": with_(match(), "SELECT * FROM matches"),
@@ -324,13 +332,16 @@ t AS (SELECT path, CASE WHEN a.sha IS NULL THEN 'missing' WHEN b.sha IS NULL THE
 SELECT * FROM t WHERE problem IS NOT NULL""",
     "companion_orphans": "SELECT doc_id AS stem, 'text' AS role, 't' || doc_id AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'label', 'l' || doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "label_join_default": "SELECT d.doc_id AS id, count(l.doc_id) AS n_labels, coalesce(string_agg(CAST(quality AS VARCHAR), ',' ORDER BY quality), '') AS labels FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id",
-    "review_audit": """WITH s AS (SELECT doc_id AS id, unnest([0, 1, 2]) AS source_index FROM documents),
-r AS (SELECT doc_id AS id, unnest([0, 1]) AS review_index FROM documents),
-l AS (SELECT id, review_index, CASE WHEN id % 3 = 0 THEN review_index + 1 ELSE 9 END AS x2, unnest(list_distinct(CASE WHEN id % 5 = 0 THEN [0, review_index] ELSE [review_index] END)) AS source_index FROM r),
-g AS (SELECT id, source_index, string_agg(review_index, ',' ORDER BY review_index) AS targets, count(*) AS n, min(x2) AS x2 FROM l GROUP BY ALL)
-SELECT s.id, CAST(s.source_index AS BIGINT) AS source_index, coalesce(targets, '') AS targets,
-  CASE WHEN s.source_index = 2 AND s.id % 7 <> 0 THEN CASE WHEN targets IS NULL THEN 'removed' ELSE 'unresolved' END WHEN n = 1 AND x2 = s.source_index + 1 THEN 'kept' WHEN n IS NOT NULL THEN 'revised' ELSE 'unresolved' END AS outcome
-FROM s LEFT JOIN g ON s.id = g.id AND s.source_index = g.source_index""",
+    "duplicate_groups": "SELECT sha256(text) AS digest, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "leaking_groups": """SELECT source || ':' || lang AS content_group, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents
+GROUP BY 1 HAVING count(*) FILTER (doc_id % 3 = 0) > 0 AND count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 7 <> 0) > 0""",
+    "collection_summary": with_(
+        PHOTOS,
+        """SELECT source, count(*) AS images, count(*) FILTER (len(classes) > 0) AS with_source_boxes, count(*) FILTER (len(classes) = 0) AS to_annotate, count(*) FILTER (quality = 0) AS quarantined,
+  count(*) FILTER (id % 8 <> 0) AS turned, count(DISTINCT digest) AS groups, CAST(0 AS BIGINT) AS approved_for_training FROM photo GROUP BY source""",
+    ),
+    "review_outcomes": f"SELECT outcome, count(*) AS n FROM ({REVIEW_AUDIT}) GROUP BY outcome UNION ALL SELECT 'new', count(*) FROM documents WHERE doc_id % 6 = 0",
+    "review_audit": REVIEW_AUDIT,
     "review_coverage": "SELECT id, CASE WHEN r IS NULL THEN 'not_reviewed' ELSE 'unknown_source' END AS side FROM (SELECT doc_id + 1 AS id, 1 AS r FROM labels) FULL JOIN (SELECT doc_id AS id, 1 AS s FROM documents) USING (id) WHERE r IS NULL OR s IS NULL",
     "alert_rates": """WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'clear' ELSE 'cracked' END AS arm, max(length(text) % 4) OVER (PARTITION BY conv_id, turn) AS alerts FROM conversations),
 u AS (SELECT DISTINCT * FROM t)

@@ -80,21 +80,37 @@ def canonical(**values: Column) -> Column:
 def coco_documents(images: DataFrame, annotations: DataFrame, categories: list[tuple[int, str]], split: str = "split") -> DataFrame:
     """split, document: a COCO text for each split, ids numbered from 1 by (split, id).
 
-    images: (id, split, file_name, width, height); annotations: (image, category_id, box). One document holds a split,
+    images: (id, split, file_name, width, height); annotations: (image, category_id, box), and if there are columns of these names
+    segmentation (array of polygons) and area as they come. One document holds a split,
     as the format asks; larger corpora keep the tables of ``dense_ids`` instead.
     """
     i = dense_ids(images, ["id"], [split], "image_id")
     a = annotations.join(i.select(F.col("id").alias("image"), split, "image_id"), "image")
     a = dense_ids(a, ["image_id", "category_id", "box"], [split], "annotation_id")
     xywh = to_xywh(F.col("box"))
-    one = F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", xywh.alias("bbox"), (xywh[2] * xywh[3]).alias("area"), F.lit(0).alias("iscrowd"))
+    area = F.col("area").cast("double") if "area" in annotations.columns else xywh[2] * xywh[3]
+    drawn = ["segmentation"] if "segmentation" in annotations.columns else []
+    one = F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", xywh.alias("bbox"), area.alias("area"), F.lit(0).alias("iscrowd"), *drawn)
     both = i.groupBy(split).agg(F.array_sort(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"))).alias("images"))
     both = both.join(a.groupBy(split).agg(F.array_sort(F.collect_list(one)).alias("annotations")), split, "left")
     named = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(n).alias("name")) for k, n in categories])
-    empty = F.array().cast("array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int>>")
+    empty = F.array().cast(both.schema["annotations"].dataType)
     return both.select(split, F.to_json(F.struct(F.coalesce("annotations", empty).alias("annotations"), named.alias("categories"), "images"), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def label_documents(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """id, text: a label file for every image (id, width, height), with a line of class, centre and size as shares for each annotation (image, class_id, box); no line, no annotation.
+
+    The inverse of the label files' reading, to six decimals.
+    """
+    b, w, h = F.col("box"), F.col("width"), F.col("height")
+    share = lambda x: F.format_string("%.6f", x.cast("double"))
+    line = F.concat_ws(" ", F.col("class_id").cast("string"), share((b["x1"] + b["x2"]) / 2 / w), share((b["y1"] + b["y2"]) / 2 / h), share((b["x2"] - b["x1"]) / w), share((b["y2"] - b["y1"]) / h))
+    t = annotations.join(images.select(F.col("id").alias("image"), "width", "height"), "image").select("image", line.alias("line"))
+    text = t.groupBy("image").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+    return images.select("id").join(text.withColumnRenamed("image", "id"), "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def verified_copy(files: DataFrame, pins: DataFrame) -> DataFrame:
     """path, content of pinned files whose bytes are what the pin says; the table is refused if any is not."""
     t = pins.join(files.select("path", "content"), "path", "left")
