@@ -17,6 +17,38 @@ COUNTED_PIXELS = 4_000_000
 SHARP_WINDOWS, SHARP_SIDE = 4, 256
 
 
+#: Fixed limits of a photo: pixels of any, and the one size of the segmentation source's.
+MOST_PIXELS, SOURCE_SIZE = 16_000_000, (640, 640)
+
+
+def size_in_header(content: bytes) -> tuple[int, int] | None:
+    """Width and height as a PNG's or JPEG's header says, before any pixel is decoded; None for anything else."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR":
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    if content[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 9 <= len(content) and content[at] == 0xFF:
+        kind = content[at + 1]
+        # The frame headers are C0 to CF but for the tables C4, C8 and CC.
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 1 if kind == 0xFF else 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
+def size_problem(content: bytes, most_bytes: int, source: bool = False) -> str | None:
+    """Why a photo may not be decoded, None if it may; ``source``: it must have the one size of the segmentation source."""
+    if len(content) > most_bytes:
+        return "too_many_bytes"
+    size = size_in_header(content)
+    if size is None or min(size) < 1:
+        return "no_image_header"
+    if size[0] * size[1] > MOST_PIXELS:
+        return "too_many_pixels"
+    return "other_size" if source and size != SOURCE_SIZE else None
+
+
 def gray(rgb: np.ndarray) -> np.ndarray:
     """Luma of an RGB image in whole numbers, by the usual 299, 587, 114 weights with 16-bit rounding."""
     if rgb.ndim == 2:

@@ -1,4 +1,4 @@
-"""Run-length masks in column order: kernels on arrays of run lengths, the first run empty pixels (PRJ-12, 16 to 21; SRC-17).
+"""Run-length masks in column order: kernels on arrays of run lengths, the first run empty pixels (PRJ-12, 16 to 21; SRC-17, AG-20).
 
 Kernels are NumPy functions; the column functions wrap them for Arrow batches.
 """

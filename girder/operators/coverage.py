@@ -1,4 +1,4 @@
-"""Whether zones of the image are covered, by the areas of unions of boxes (AG-06, 07, 20)."""
+"""Whether zones of the image are covered, by the areas of unions of boxes (AG-06, 07)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Content groups and what follows from them (GR-01 to GR-05, ST-03, AG-14, AG-15, AG-22)."""
+"""Content groups and what follows from them (GR-01 to GR-05, ST-03, AG-14, AG-22)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Pins, companions and reviews: joins that must come out even (SRC-02, JN-02, 06 to 09, 11, 12, ST-01, AG-17)."""
+"""Pins, companions and reviews: joins that must come out even (SRC-02, JN-02, 06 to 09, 11, 12, ST-01, AG-18)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Rankings and counts for reports (WN-03, 05, 09, 10; AG-11, 12, 18, 19, 22; SRC-12)."""
+"""Rankings and counts for reports (WN-03, 05, 09; AG-12, 19; SRC-12)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Splits without leaks, and their audits (WN-01, WN-02, WN-08, AG-13, AG-16, AG-21, AG-23, ST-05)."""
+"""Splits without leaks, and their audits (WN-01, WN-02, WN-08, WN-10, AG-13, AG-16, AG-21, JN-17, ST-02, ST-05)."""
 
 from __future__ import annotations
 

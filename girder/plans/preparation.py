@@ -1,4 +1,4 @@
-"""Whole preparations: from an archive's members to records, and from records to a split corpus (SRC-05, SRC-08, SRC-22, SNK-04, PRJ-30)."""
+"""Whole preparations: from an archive's members to records, and from records to a split corpus (SRC-05, SNK-04, PRJ-30)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Manifests and their rules, as tables of what breaks them (SRC-08, SRC-14, SRC-19, SRC-20)."""
+"""Manifests and their rules, as tables of what breaks them (SRC-08, SRC-14, SRC-19, SRC-20, AG-23)."""
 
 from __future__ import annotations
 

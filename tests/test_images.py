@@ -55,3 +55,21 @@ def test_large_images_are_averaged_over_squares():
     boxes = images.Tiles.of(small.shape).boxes(side, luma.shape)
     assert boxes[-1, -1].tolist() == [6, 10, 1, 1] and boxes[..., 2].sum(axis=1).tolist() == [7] * 6
     assert images.averaged(luma, most=77)[1] == 1
+
+
+def png(width, height):
+    return b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + width.to_bytes(4, "big") + height.to_bytes(4, "big") + b"\x08\x02\x00\x00\x00"
+
+
+def jpeg(width, height):
+    app = b"\xff\xe0" + (16).to_bytes(2, "big") + b"x" * 14
+    table = b"\xff\xc4" + (6).to_bytes(2, "big") + b"\xff\xc0\x00\x00"
+    return b"\xff\xd8" + app + table + b"\xff\xff\xc2" + (17).to_bytes(2, "big") + b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\x03"
+
+
+def test_sizes_are_read_from_headers():
+    assert images.size_in_header(png(640, 480)) == (640, 480) and images.size_in_header(jpeg(321, 123)) == (321, 123)
+    assert images.size_in_header(b"GIF89a") is None and images.size_in_header(jpeg(5, 5)[:30]) is None and images.size_in_header(b"") is None
+    problem = lambda c, **k: images.size_problem(c, 100, **k)
+    assert problem(png(640, 640), source=True) is None and problem(jpeg(4000, 4000)) is None
+    assert (problem(jpeg(4001, 4000)), problem(png(640, 480), source=True), problem(b"x" * 101), problem(b"x"), problem(png(0, 5))) == ("too_many_pixels", "other_size", "too_many_bytes", "no_image_header", "no_image_header")
