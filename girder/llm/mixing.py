@@ -112,7 +112,7 @@ def apportion(votes: DataFrame, group: list[str], seats: Column) -> DataFrame:
 
 
 def apportion_all(votes: DataFrame, seats: int) -> DataFrame:
-    """The same with all rows in one group, over as many tasks as there are ranges. votes is a stored table."""
+    """The same with all rows in one group, over as many tasks as there are ranges. votes is a stored table or a projection of one."""
     whole = votes.agg(F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("rows")).first()
     share = F.col("votes") / F.lit(whole["votes"]) if whole["votes"] else F.lit(0.0)
     t = votes.withColumn("fair", share).withColumn("base", F.floor(F.col("fair") * F.lit(seats) + 0.5))
@@ -143,7 +143,7 @@ def taken(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     words is taken ``rounds`` times, and once more in ``runs`` runs of ``extra`` words together, ``phase`` words on.
     """
     rows = staged(sized.groupBy("skey", "size", *ROW).agg(F.count(F.lit(1)).alias("n")), "sizes")
-    sources = staged(source_targets(rows.select("skey", (F.col("size") * F.col("n")).alias("size")), mix), "targets")
+    sources = source_targets(rows.select("skey", (F.col("size") * F.col("n")).alias("size")), mix)
     some = sources.agg(F.sum("target").alias("words"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
     block = max(1, min(mix.block_words, int((some["least"] or 0) // mix.fine)))
     seats = apportion_all(sources.withColumn("votes", F.col("target")), round((some["words"] or 0) / block))

@@ -237,9 +237,9 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
             pairs = pairs.join(sides.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("s").alias(f"{end}_s")), end)
         return pairs.where(near("a", "b", how)).select("a", "b")
 
-    def sets_of(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    def sets_of(nodes: DataFrame) -> DataFrame:
         # The sets of these classes, made from the text of the rows of the class's smallest id.
-        named = staged(nodes.join(classes.select("node", "set_key", "min_id", "mark"), "node"), "named", most, heavy=True)
+        named = nodes.join(classes.select("node", "set_key", "min_id", "mark"), "node")
         ids = named.select(F.col("min_id").alias("_id"), F.col("mark").alias("_its")).distinct()
         rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (docs["_mark"] == ids["_its"]), "left_semi")
         made = measured(rows, how, [], with_sets=True).dropDuplicates(["set_key"])
@@ -249,7 +249,7 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
         """The pairs whose sets are similar enough, stored."""
         many = pairs.count()
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return staged(confirmed(pairs, sets_of(ends, 2 * many), how), "links", many, heavy=True)
+        return staged(confirmed(pairs, sets_of(ends), how), "links", many, heavy=True)
 
     central = shared.groupBy("node").agg(F.sum("many").alias("met"))
     hubs = staged(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub")), "hubs")
@@ -259,8 +259,7 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
     parted = lambda t, node="node", name="component": t.join(parts.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     at = staged(parted(shared.select("key", "node")), "members")
     several = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many")).where("x < y")
-    several = staged(several.select("key", (F.col("many") > how.few).alias("large")), "several")
-    left, found = at.join(several, "key"), False
+    left, found = at.join(several.select("key", (F.col("many") > how.few).alias("large")), "key"), False
     pairs = staged(across(left.where("not large").drop("large").join(sides, "node"), "key", how), "rest")
     if not pairs.isEmpty():
         links, found = links.unionByName(checked(pairs)), True
@@ -271,7 +270,7 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
     members = staged(members, "large")
     if many := members.count():
         nodes = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
-        sets = sets_of(nodes, 2 * many)
+        sets = sets_of(nodes)
         apart = staged(differences(members.select("hub", "node"), sets, how), "differences")
         direct = apart.where(alike(F.col("n") + F.col("m"), F.col("dn"), how)).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
         close = apart.where("d is not null").select("hub", "node", "n", "d").join(members, ["hub", "node"])

@@ -27,10 +27,11 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ju
         ends = min(2 * left_over, vertices or 2 * left_over)
         parents = edges.select(F.col("b").alias("id"), F.col("a").alias("p")).groupBy("id").agg(F.min("p").alias("p"))
         roots = edges.select(F.col("a").alias("id")).distinct().join(parents, "id", "left_anti").select("id", F.col("id").alias("p"))
-        parents = staged(parents.unionByName(roots), "parents", ends)
+        parents = parents.unionByName(roots)
         for _ in range(jumps):
             up = parents.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-            parents = staged(parents.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p")), "parents", ends)
+            parents = parents.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p"))
+        parents = staged(parents, "parents", ends)
         named = labels
         if named is None:
             vertices = parents.count()

@@ -47,5 +47,5 @@ def staged(df: DataFrame, name: str, most: int | None = None, heavy: bool = Fals
     path = shared_path(df.sparkSession, name)
     if most is not None and (tasks := -(-max(most, 1) // ROWS_A_TASK)) < 200:
         df = df.repartition(tasks) if heavy else df.coalesce(tasks)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
