@@ -57,6 +57,11 @@ class NearDup:
     def positions(self) -> int:
         return self.chunks * self.per_chunk
 
+    @property
+    def wide(self) -> int:
+        """How many narrow rows a row with a signature is like."""
+        return 2 + self.positions // 10
+
 
 #: For a pipeline's near copies: five words, similarity 0.8. A pair at 0.8 meets in a chunk with
 #: probability 0.737, and in none of 16 with probability 5e-10; ``far`` is exceeded with probability under 1e-6.
@@ -177,15 +182,19 @@ def differences(members: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     return t.withColumns({"d": F.when(F.col("dn") <= (NEAR * (1 + r) + r + 1e-9) * F.col("n"), F.col("d")), "far": F.col("dn") > NEAR * F.col("n")})
 
 
-def rarest(rows: DataFrame, how: NearDup) -> DataFrame:
-    """(hub, node, n, dn, tokens, token) of rows (hub, node, n, d): the number of differences, those that another member has too, and a row for each of the rarest.
+def differing(rows: DataFrame) -> DataFrame:
+    """(hub, node, n, dn, tokens) of rows (hub, node, n, d): the number of differences, and those that another member has too, the rarest first."""
+    each = rows.select("hub", "node", "n", F.size("d").alias("dn"), F.explode("d").alias("token"))
+    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return each.join(often, ["hub", "token"]).groupBy("hub", "node", "n", "dn").agg(F.array_sort(F.collect_list(F.struct("df", "token")))["token"].alias("tokens"))
+
+
+def rarest(common: DataFrame, how: NearDup) -> DataFrame:
+    """Rows of ``differing`` once for each of their rarest tokens, ``token``.
 
     Of a member's ``dn`` differences from the centre all but (100 - percent) / percent of its size are differences of a linked set too.
     In any common order, here by frequency, the first tokens of both then meet, and they are so many fewer as more must be shared.
     """
-    each = rows.select("hub", "node", "n", F.size("d").alias("dn"), F.explode("d").alias("token"))
-    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = each.join(often, ["hub", "token"]).groupBy("hub", "node", "n", "dn").agg(F.array_sort(F.collect_list(F.struct("df", "token")))["token"].alias("tokens"))
     least = F.greatest(F.lit(1), F.col("dn") - F.floor((100 - how.percent) * F.col("n") / how.percent))
     # Tokens of one member alone are the rarest of all and meet none.
     first = F.greatest(F.lit(0), F.size("tokens") - least + 1).cast("int")
@@ -230,6 +239,8 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
     keyed = classes.select(F.explode(chunk_keys(F.col("signature"), how)).alias("key"), "node")
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     shared = staged(keyed.join(several, "key"), "keys")
+    # Tables of ids and numbers made from these two alone are as narrow, and no longer.
+    most = shared.count() + classes.count()
     sides = classes.select("node", F.col("n_shingles").alias("n"), F.col("signature").alias("s"))
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -239,7 +250,7 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         # The sets of these classes, made from the text of the rows of the class's smallest id.
-        named = nodes.join(classes.select("node", "set_key", "min_id", "mark"), "node")
+        named = staged(nodes.join(classes.select("node", "set_key", "min_id", "mark"), "node"), "named", most, heavy=True)
         ids = named.select(F.col("min_id").alias("_id"), F.col("mark").alias("_its")).distinct()
         rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]) & (docs["_mark"] == ids["_its"]), "left_semi")
         made = measured(rows, how, [], with_sets=True).dropDuplicates(["set_key"])
@@ -252,23 +263,24 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
         return staged(confirmed(pairs, sets_of(ends), how), "links", many, heavy=True)
 
     central = shared.groupBy("node").agg(F.sum("many").alias("met"))
-    hubs = staged(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub")), "hubs")
+    hubs = staged(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("hub")), "hubs", most)
     first = shared.join(hubs, "key").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = checked(staged(possible(first), "star"))
+    links = checked(staged(possible(first), "star", most * how.wide))
     parts = connected_components(links)
     parted = lambda t, node="node", name="component": t.join(parts.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    at = staged(parted(shared.select("key", "node")), "members")
+    at = staged(parted(shared.select("key", "node")), "members", most)
     several = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many")).where("x < y")
-    left, found = at.join(several.select("key", (F.col("many") > how.few).alias("large")), "key"), False
+    several = staged(several.select("key", (F.col("many") > how.few).alias("large")), "several", most)
+    left, found = staged(at.join(several, "key"), "left", most), False
     pairs = staged(across(left.where("not large").drop("large").join(sides, "node"), "key", how), "rest")
     if not pairs.isEmpty():
         links, found = links.unionByName(checked(pairs)), True
     # A key's centre is the most central class of the component of its hub; few centres make few tables of differences.
-    tops = staged(parted(central).groupBy("component").agg(F.max(F.struct("met", "node"))["node"].alias("top")).withColumnRenamed("component", "centre"), "tops")
+    tops = staged(parted(central).groupBy("component").agg(F.max(F.struct("met", "node"))["node"].alias("top")).withColumnRenamed("component", "centre"), "tops", most)
     members = left.where("large").join(hubs, "key").select("hub", "node", "component").distinct()
     members = parted(members, "hub", "centre").join(tops, "centre").where("node != top").select(F.col("top").alias("hub"), "node", "component", "centre").distinct()
-    members = staged(members, "large")
-    if many := members.count():
+    members = staged(members, "large", most)
+    if not members.isEmpty():
         nodes = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
         sets = sets_of(nodes)
         apart = staged(differences(members.select("hub", "node"), sets, how), "differences")
@@ -276,9 +288,10 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
         close = apart.where("d is not null").select("hub", "node", "n", "d").join(members, ["hub", "node"])
         lost = apart.where("far").select("node").distinct().join(sets, "node")
         lost = parted(lost).select(F.lit(NO_CENTRE).cast("long").alias("hub"), "node", F.size("shingles").alias("n"), F.col("shingles").alias("d"), "component", F.lit(NO_CENTRE).cast("long").alias("centre"))
-        kinds = close.unionByName(lost)
-        rows = rarest(kinds, how).join(kinds.select("hub", "node", "component", "centre"), ["hub", "node"])
-        links, found = links.unionByName(staged(linked_by_differences(rows, how).unionByName(direct), "links", 2 * many, heavy=True)), True
+        kinds = staged(close.unionByName(lost), "kinds")
+        common = differing(kinds).join(kinds.select("hub", "node", "component", "centre"), ["hub", "node"])
+        rows = rarest(staged(common, "common"), how)
+        links, found = links.unionByName(staged(linked_by_differences(rows, how).unionByName(direct), "links")), True
     return links, None if found else parts
 
 
@@ -291,7 +304,7 @@ def components(docs: DataFrame, how: NearDup = NearDup(), keys: list[str] | None
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_mark")).alias("first")
     classes = rows.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(first, F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
     classes = classes.select("set_key", F.col("first.doc_id").alias("min_id"), F.col("first._mark").alias("mark"), "n_shingles", "signature")
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", rows.count() * how.wide)
     links, parts = near_links(docs, classes, how)
     parts = connected_components(links) if parts is None else parts
     of = classes.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))

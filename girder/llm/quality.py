@@ -162,8 +162,8 @@ def cascade_order(docs: DataFrame, sample_rows: int = 256, times: int = 16) -> l
     """Names of the rules in the cascade's order, estimated on a bounded sample.
 
     The sample is up to sample_rows texts whose hash is a multiple of 16, from the partitions read first; it sets the order only. A
-    rule's cost is what ``times`` evaluations of all sampled texts in one job take beyond one evaluation, so that starting the job
-    and generating its code count for nothing.
+    rule's cost is what ``times`` evaluations of all sampled texts in one job take beyond a job that only counts them, at the second run, so
+    that starting the job and generating its code count for little.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     some = staged(docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(16)) == 0).limit(sample_rows), "rules")
@@ -172,16 +172,16 @@ def cascade_order(docs: DataFrame, sample_rows: int = 256, times: int = 16) -> l
     every = [Rule("base", base_failed(m)), *rules(t, m)]
     rejected = [list(r) for r in some.select(*[r.rejects.alias(r.name) for r in every]).collect()]
 
-    def seconds(rule: Rule, n: int) -> float:
-        again = some.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(n))))
-        began = time.perf_counter()
-        again.agg(F.count_if(rule.rejects)).first()
+    again = some.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+    def seconds(rejects: Column) -> float:
+        for _ in range(2):
+            began = time.perf_counter()
+            again.agg(F.count_if(rejects)).first()
         return time.perf_counter() - began
 
-    cost = []
-    for rule in every:
-        seconds(rule, 1)  # generates the code
-        cost.append(max(1e-6, (seconds(rule, 1 + times) - seconds(rule, 1)) / times))
+    start = seconds(t.isNull())
+    cost = [max(1e-5, (seconds(r.rejects) - start) / times) for r in every]
     return [every[k].name for k in greedy(rejected, cost)]
 
 

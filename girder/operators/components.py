@@ -17,7 +17,7 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ju
     link table gives an empty result. Each round lets a vertex adopt its smallest
     neighbour, shortens the chains so made, and keeps only links between different
     labels, so the table shrinks geometrically; all rounds are joins and
-    aggregations with map-side combining, written to the shared folder.
+    aggregations with map-side combining, written to the shared folder after each step, which keeps every plan small.
     """
     a, b = F.col(left), F.col(right)
     edges = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -27,11 +27,10 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b", ju
         ends = min(2 * left_over, vertices or 2 * left_over)
         parents = edges.select(F.col("b").alias("id"), F.col("a").alias("p")).groupBy("id").agg(F.min("p").alias("p"))
         roots = edges.select(F.col("a").alias("id")).distinct().join(parents, "id", "left_anti").select("id", F.col("id").alias("p"))
-        parents = parents.unionByName(roots)
+        parents = staged(parents.unionByName(roots), "parents", ends)
         for _ in range(jumps):
             up = parents.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-            parents = parents.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p"))
-        parents = staged(parents, "parents", ends)
+            parents = staged(parents.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p")), "parents", ends)
         named = labels
         if named is None:
             vertices = parents.count()
