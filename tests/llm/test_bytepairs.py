@@ -63,3 +63,31 @@ def test_slices_are_bounded_by_bytes_and_hold_every_row():
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 200 for p in parts)
     buffer, bounds = buffer_of(batch.column(1).slice(2, 5))
     assert bounds.tolist() == [0, 500, 503, 503, 603, 703] and buffer[:703].tobytes() == b"x" * 703 and not np.any(buffer[703:])
+
+
+def test_empty_tables_and_columns_give_none(spark):
+    from girder.llm import pieces, wavelet
+
+    none = spark.createDataFrame([], "doc_id long, text string, ids string")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    assert pieces.digests(none, model).count() == 0
+    both = pieces.encoded(none, model, decoded="back")
+    assert both.columns == ["doc_id", "text", "ids", "back"] and both.count() == 0
+    assert wavelet.read_shards(wavelet.write_shards(none, PATH)).count() == 0
+    ids, offsets = pieces.Encoder(model).encode_ended(pa.array([], pa.string()))
+    assert len(ids) == 0 and offsets.tolist() == [0]
+
+
+def test_repeated_rows_and_very_long_texts_are_encoded_whole(spark):
+    import sentencepiece
+
+    from girder.llm import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    long = "word " * 300_000 + "x" * 200_000
+    rows = [(1, "two  words"), (1, "two  words"), (2, long), (3, None)]
+    got = pieces.encoded(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert len(got) == 4
+    for r in got:
+        assert r["ids"] == library.encode(r["text"] or "", add_eos=True)
