@@ -36,7 +36,7 @@ from girder.shared import staged
 class Passages:
     """least: words of a repeated passage, at least. gram: words that a kept suffix begins with.
 
-    bucket: suffixes with one first gram that a task may sort; more of them are compared by aggregation.
+    bucket: texts with one first gram whose suffixes a task may sort; more of them are compared by aggregation.
     """
 
     least: int = 50
