@@ -158,7 +158,7 @@ def greedy(rejected: list[list[bool]], cost: list[float]) -> list[int]:
     return order
 
 
-def cascade_order(docs: DataFrame, sample_rows: int = 256, times: int = 16) -> list[str]:
+def cascade_order(docs: DataFrame, sample_rows: int = 256, times: int = 4) -> list[str]:
     """Names of the rules in the cascade's order, estimated on a bounded sample.
 
     The sample is up to sample_rows texts whose hash is a multiple of 16, from the partitions read first; it sets the order only. A
