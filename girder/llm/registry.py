@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, and their DuckDB statements."""
+"""The queries op1 to op13 and the pipeline, and their DuckDB statements."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm import classifier, fixity, mixing, neardup, neighbours, passages, pieces, quality, secrets, wavelet
+from girder.llm import centroids, classifier, fixity, lines, mixing, neardup, neighbours, passages, pieces, quality, secrets, trie, wavelet
 from girder.llm.oracle import STATEMENTS
 from girder.llm.text import documents
 
@@ -52,6 +52,18 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_mixing, op2_sentencepiece, op3_token_ids, op4_quality_rules, op5_nearest, op6_near_duplicates, op7_secret_scans, op8_warc_fixity, op9_quality_classifier, op10_repeated_passages, pipeline)
+    every = (op1_mixing, op2_sentencepiece, op3_token_ids, op4_quality_rules, op5_nearest, op6_near_duplicates, op7_secret_scans, op8_warc_fixity, op9_quality_classifier, op10_repeated_passages, op11_prefix_trie, op12_line_dedup, op13_centroids, pipeline)
     return {f.__name__: f for f in every}
 
 
