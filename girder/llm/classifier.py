@@ -2,20 +2,23 @@
 
 A linear score over measures of the text is fitted so that the non-negative unbiased risk is least: trusted
 positives count with the class prior, unlabelled web text stands for all classes, and the
-part of the risk that the estimate gives to negatives is kept from going below zero. The prior is estimated
-from all labelled training rows, without a bound. The fitted score is then scaled to a probability on the same rows.
-
-Fitted on bounded samples (``labelled``, ``unlabelled`` rows, drawn by hash of the id); every row of the table is scored, by
-column expressions. Nulls: a null or empty text has the measures of an empty one and a score; a
-null id is never labelled and not held out. Rows repeated in either table count as often as they stand, within the bounds. Very long texts are measured whole. Without positive labels
-every score is the prior ``default_prior``. An empty table gives an empty result.
+part of the risk that the estimate gives to negatives is kept from going below zero. All rows of the table are the unlabelled text and all permitted positives
+the trusted ones: measures are stored, and every Newton step is one pass over them that sums slopes and curvatures, so nothing is
+drawn or cut and the model does not depend on how the table lies. The prior is estimated from all permitted labels. The fitted score is then scaled to a
+probability on at most ``labelled`` labelled rows, drawn by hash of id and measures: the only bounded sample.
+
+Every row of the table is scored, by column expressions. Nulls: a null or empty text has the measures of an empty one and a score; a
+null id is unlabelled text, never labelled and not held out. Rows repeated in either table count as often as they stand; a label counts for every row of its id. Very long texts are
+measured whole. Without positive labels every score is the prior ``default_prior``. An empty table gives an empty result. Columns not named are left alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +28,11 @@ from girder.shared import staged
 
 @dataclass(frozen=True)
 class Learning:
+    """labelled: rows for the scaling, at most. steps: passes over the table, at most. decay: weight of the squared weights, columns being standardised."""
+
     labelled: int = 20_000
-    unlabelled: int = 20_000
-    steps: int = 600
-    rate: float = 0.05
-    decay: float = 1e-4
+    steps: int = 40
+    decay: float = 1e-2
     threshold: float = 0.3
     default_prior: float = 0.5
     seed: int = 5
@@ -92,77 +95,141 @@ class Model:
     weights: list[float]
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: Learning) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights over standardised columns by gradient steps on the non-negative risk with the logistic loss.
+def measured(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, m, up, down of every row: its measures and how many permitted labels of either kind its id has. Stored."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.count_if(F.col("quality") == 1).alias("up"), F.count_if(F.col("quality") == 0).alias("down"))
+    rows = docs.select("doc_id", measures(F.col("text")).alias("m")).join(known, "doc_id", "left")
+    return staged(rows.na.fill(0, ["up", "down"]), "measures")
+
+
+def spread_rows(batch: pa.RecordBatch) -> np.ndarray:
+    return spread(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURES)))
+
+
+def totals(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows (m, up, down) of what ``part`` makes of a batch; a task sends one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + part(spread_rows(batch), *[c.to_numpy().astype(float) for c in batch.columns[1:]])
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+
+    sums = rows.select("m", "up", "down").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    return np.array([r["v"] for r in sums.orderBy("i").collect()])  # as many as there are columns, squared
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Rows, positive and negative labels, and the means of the columns over all rows, their deviations, and the means over positives."""
+
+    rows: float
+    up: float
+    down: float
+    mean: np.ndarray
+    scale: np.ndarray
+    positive: np.ndarray
+
+
+def moments(rows: DataFrame) -> Moments | None:
+    k = 2 * len(MEASURES)
+    t = totals(rows, lambda x, up, down: np.concatenate([[len(x), up.sum(), down.sum()], x.sum(0), (x * x).sum(0), up @ x]))
+    if not len(t) or not t[1]:
+        return None
+    mean = t[3 : 3 + k] / t[0]
+    scale = np.sqrt(np.maximum(t[3 + k : 3 + 2 * k] / t[0] - mean * mean, 0)) + 1e-6
+    return Moments(t[0], t[1], t[2], mean, scale, t[3 + 2 * k :] / t[1])
+
 
-    Risk: prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]). Where the bracket is below zero, the
-    step goes against its gradient instead, so that it comes back.
+def risk_at(a: np.ndarray, known: Moments, rows: DataFrame, prior: float, how: Learning) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk, its part for negatives, slope and curvature at weights and bias ``a``, by one pass over all rows.
+
+    With the logistic loss prior * (loss(+) - loss(-)) is linear in the score, so positives enter the slope by their mean alone.
+    """
+    k = len(a)
+    mean, scale = known.mean, known.scale
+
+    def part(x: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+        z = x @ a
+        s, loss = sigmoid(z), np.logaddexp(0, z)
+        return np.concatenate([[loss.sum(), up @ loss], s @ x, (x.T @ (x * (s * (1 - s))[:, None])).ravel()])
+
+    t = totals(rows, part)
+    positive = np.append((known.positive - mean) / scale, 1.0)
+    decay = np.append(np.full(k - 1, how.decay), 1e-9)
+    risk = t[0] / known.rows - prior * positive @ a + 0.5 * decay @ (a * a)
+    return risk, t[0] / known.rows - prior * t[1] / known.up, t[2 : 2 + k] / known.rows - prior * positive + decay * a, t[2 + k :].reshape(k, k) / known.rows + np.diag(decay)
+
+
+def fit_pu(known: Moments, rows: DataFrame, prior: float, how: Learning) -> tuple[np.ndarray, float]:
+    """Weights over standardised columns, and a bias, by Newton steps on the unbiased risk.
+
+    Risk: prior * E_p[loss(+)] + E_u[loss(-)] - prior * E_p[loss(-)], the last two not below zero together: a step that
+    would make them so, or not lessen the risk, is halved, and one halved for the former is the last.
     """
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-6
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, how.steps + 1):
-        sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
-        # loss(+) = -log s and loss(-) = -log(1 - s), with slopes s - 1 and s.
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        gp, gn = prior * (sp - 1) / len(p), (su / len(u), -prior * sp / len(p))
-        gw, gb = gn[0] @ u + gn[1] @ p, gn[0].sum() + gn[1].sum()
-        if negative >= 0:
-            gw, gb = gw + gp @ p, gb + gp.sum()
+    a = np.zeros(len(known.mean) + 1)
+    risk, _, slope, curve = risk_at(a, known, rows, prior, how)
+    step, length, last = np.linalg.solve(curve, slope), 1.0, False
+    for _ in range(how.steps):
+        if slope @ step < 1e-9 or length < 1e-3:
+            break
+        there = a - length * step
+        new = risk_at(there, known, rows, prior, how)
+        if new[1] >= 0 and new[0] <= risk - 1e-4 * length * (slope @ step):
+            a, (risk, _, slope, curve) = there, new
+            if last:
+                break
+            step, length = np.linalg.solve(curve, slope), 1.0
         else:
-            gw, gb = -gw, -gb
-        g = np.append(gw + how.decay * w, gb)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        d = how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - d[:-1], b - d[-1]
-    return w, b, mean, scale
-
-
-def scaled(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make sigmoid(slope * z + shift) a probability of y, by Newton steps with smoothed labels."""
-    up, down = y.sum(), len(y) - y.sum()
-    target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
+            length, last = length / 2, last or new[1] < 0
+    return a[:-1], float(a[-1])
+
+
+def scaled(z: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make sigmoid(slope * z + shift) a probability of a positive label, by Newton steps with smoothed labels."""
+    n = up + down
+    target = (up * (up.sum() + 1) / (up.sum() + 2) + down / (down.sum() + 2)) / n
     x = np.column_stack([z, np.ones_like(z)])
     a = np.array([1.0, 0.0])
     for _ in range(50):
         s = sigmoid(x @ a)
-        h = x.T @ (x * (s * (1 - s))[:, None]) + 1e-3 * np.eye(2)
-        a = a - np.clip(np.linalg.solve(h, x.T @ (s - target) + 1e-3 * (a - [1.0, 0.0])), -2, 2)
+        h = x.T @ (x * (n * s * (1 - s))[:, None]) + 1e-3 * np.eye(2)
+        a = a - np.clip(np.linalg.solve(h, x.T @ (n * (s - target)) + 1e-3 * (a - [1.0, 0.0])), -2, 2)
     return max(float(a[0]), 1e-3), float(a[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Learning = Learning()) -> Model:
     """Fit on documents (doc_id, text) and labels (doc_id, quality), without held-out labels."""
-    order = F.xxhash64(F.col("doc_id"), F.lit(how.seed))
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    every_known = known
-    known = staged(known.orderBy(order, "quality").limit(how.labelled), "labelled")
-    rows = docs.count()
-    every = max(1, -(-rows // how.unlabelled))
-    text = docs.select("doc_id", "text").where("doc_id is not null")
-    # An id may stand often in documents, so what comes to the driver is bounded once more, by hash of id and text.
-    named = text.join(known, "doc_id").select("quality", measures(F.col("text")).alias("m"), F.xxhash64("doc_id", "text", F.lit(how.seed)).alias("turn"))
-    named = named.orderBy("turn", "quality").limit(how.labelled).select("quality", "m").toArrow()
-    web = text.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(how.seed + 1)), F.lit(every)) == 0).select(measures(F.col("text")).alias("m")).limit(how.unlabelled).toArrow()
-    k = len(MEASURES)
-    rows_of = lambda t: np.asarray(t.column("m").combine_chunks().flatten(), float).reshape(-1, k) if t.num_rows else np.zeros((0, k))
-    y, x, u = np.asarray(named.column("quality")), spread(rows_of(named)), spread(rows_of(web))
-    if not len(u) or not (y == 1).any():
-        return Model(float(np.log(how.default_prior / (1 - how.default_prior))), [0.0] * (2 * k))
-    share = text.select("doc_id").join(every_known, "doc_id").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = float(np.clip(share, 0.02, 0.98))
-    w, b, mean, scale = fit_pu(x[y == 1], u, prior, how)
-    slope, shift = scaled((x - mean) / scale @ w + b, y)
-    w = slope * w / scale
-    return Model(float(slope * b + shift - w @ mean), [float(v) for v in w])
+    return fit(measured(docs, labels), how)
+
+
+def fit(rows: DataFrame, how: Learning = Learning()) -> Model:
+    """The model of stored rows (doc_id, m, up, down)."""
+    known = moments(rows)
+    if known is None:
+        return Model(float(np.log(how.default_prior / (1 - how.default_prior))), [0.0] * (2 * len(MEASURES)))
+    prior = float(np.clip(known.up / (known.up + known.down), 0.02, 0.98))
+    w, b = fit_pu(known, rows, prior, how)
+    turn = F.xxhash64("doc_id", "m", F.lit(how.seed))
+    named = rows.where("up + down > 0").orderBy(turn, "up", "down").limit(how.labelled).select("m", "up", "down").toArrow().combine_chunks().to_batches()[0]
+    up, down = (c.to_numpy().astype(float) for c in named.columns[1:])
+    slope, shift = scaled((spread_rows(named) - known.mean) / known.scale @ w + b, up, down)
+    w = slope * w / known.scale
+    return Model(float(slope * b + shift - w @ known.mean), [float(v) for v in w])
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = Learning.threshold) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
+    return scored(docs.select("doc_id", measures(F.col("text")).alias("m")), model, threshold)
+
+
+def scored(rows: DataFrame, model: Model, threshold: float = Learning.threshold) -> DataFrame:
+    """The same of rows (doc_id, m) whose measures are there."""
     k = len(MEASURES)
-    t = docs.select("doc_id", measures(F.col("text")).alias("m"))
 
     def total(m: Column) -> Column:
         z = F.lit(model.bias)
@@ -172,5 +239,5 @@ def scores(docs: DataFrame, model: Model, threshold: float = Learning.threshold)
         return z
 
     z = F.greatest(F.lit(-35.0), F.least(F.lit(35.0), total(F.col("m"))))
-    t = t.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
+    t = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"))
     return t.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -44,8 +44,8 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return classifier.scores(docs, classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = classifier.measured(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.scored(rows, classifier.fit(rows))
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
