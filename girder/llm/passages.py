@@ -36,12 +36,12 @@ from girder.shared import staged
 class Passages:
     """least: words of a repeated passage, at least. gram: words that a kept suffix begins with.
 
-    bucket: texts with one first gram whose suffixes a task may sort; more of them are compared by aggregation.
+    bucket: suffixes with one first gram that a task may sort, those of a text that are alike on both sides counting once; more of them are compared by aggregation.
     """
 
     least: int = 50
     gram: int = 16
-    bucket: int = 2_000
+    bucket: int = 50_000
 
     @property
     def reach(self) -> int:
@@ -71,63 +71,88 @@ def minimisers(w: np.ndarray, how: Passages) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+def distinct_suffixes(w: np.ndarray, at: np.ndarray, g: np.ndarray, how: Passages) -> dict[tuple[int, bytes, bytes], list[int]]:
+    """Places of the suffixes at ``at`` by gram, what follows it and what precedes it (nearest first), 4 bytes a word."""
+    short = (w >> np.uint64(32)).astype(">u4")
+    back = short[::-1]
+    out: dict[tuple[int, bytes, bytes], list[int]] = {}
+    for p, h in zip(at.tolist(), g.view(np.int64).tolist(), strict=True):
+        out.setdefault((h, short[p + how.gram : p + how.least].tobytes(), back[len(w) - p : len(w) - p + how.reach].tobytes()), []).append(p)
+    return out
+
+
+def gram_counts(w: np.ndarray, how: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a text's kept suffixes, and how many distinct suffixes each has."""
+    at, g = minimisers(w, how)
+    grams, n = np.unique(g, return_counts=True)
+    if (again := np.isin(g, grams[n > 1])).any():
+        kinds = np.fromiter((h for h, _, _ in distinct_suffixes(w, at[again], g[again], how)), np.int64).view(np.uint64)
+        several, m = np.unique(kinds, return_counts=True)
+        n[np.searchsorted(grams, several)] = m
+    return grams.view(np.int64), n
+
+
 def with_grams(texts: DataFrame, how: Passages) -> DataFrame:
-    """Rows (doc_id, rid, text) as doc_id, rid, the number of words and the distinct grams of the text's kept suffixes."""
+    """Rows (doc_id, rid, text) as doc_id, rid, the number of words, the distinct grams of the text's kept suffixes and how many of these each has."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_batches(batches, 2):
             words = [word_hashes(t.as_py()) for t in part.column(2)]
-            grams = [np.unique(minimisers(w, how)[1]).view(np.int64) for w in words]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, words)), pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "rid", "words", "grams"])
+            grams, counts = zip(*[gram_counts(w, how) for w in words], strict=True)
+            lists = [pa.array(grams, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, words)), pa.int32()), *lists], ["doc_id", "rid", "words", "grams", "counts"])
 
-    return texts.select("doc_id", "rid", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, rid binary, words int, grams array<long>")
+    return texts.select("doc_id", "rid", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, rid binary, words int, grams array<long>, counts array<long>")
 
 
-SUFFIX = "gram long, after binary, before binary, rid binary, at int"
+SUFFIX = "gram long, after binary, before binary, rid binary, at array<int>"
 
 
 def suffixes(texts: DataFrame, how: Passages) -> DataFrame:
-    """Kept suffixes of texts (rid, text, grams) whose gram is listed: what follows the gram, what precedes it (nearest first), 4 bytes a word."""
+    """Kept suffixes of texts (rid, text, grams) whose gram is listed: what follows the gram, what precedes it, and all places in the text where it is so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in text_batches(batches, 1):
-            out: dict[str, list] = {k: [] for k in ("gram", "after", "before", "rid", "at")}
+            out: list[tuple] = []
             for i, (rid, text, wanted) in enumerate(zip(*batch.columns, strict=True)):
-                rid = rid.as_py()
-                if rid != last:  # after a sorted join a repeated row follows its like; where it doesn't, it does no harm
-                    last, w = rid, word_hashes(text.as_py())
-                    short = (w >> np.uint64(32)).astype(">u4")
-                    at, g = minimisers(w, how)
-                    keep = np.isin(g.view(np.int64), wanted.values.to_numpy())
-                    back = short[::-1]
-                    for p, h in zip(at[keep].tolist(), g[keep].view(np.int64).tolist(), strict=True):
-                        out["gram"].append(h)
-                        out["after"].append(short[p + how.gram : p + how.least].tobytes())
-                        out["before"].append(back[len(w) - p : len(w) - p + how.reach].tobytes())
-                        out["rid"].append(rid)
-                        out["at"].append(p)
-                if len(out["gram"]) >= 8192 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_pydict({"gram": pa.array(out["gram"], pa.int64()), "after": pa.array(out["after"], pa.binary()), "before": pa.array(out["before"], pa.binary()), "rid": pa.array(out["rid"], pa.binary()), "at": pa.array(out["at"], pa.int32())})
-                    out = {k: [] for k in out}
+                w = word_hashes(text.as_py())
+                at, g = minimisers(w, how)
+                keep = np.isin(g.view(np.int64), wanted.values.to_numpy())
+                out += [(*k, rid.as_py(), places) for k, places in distinct_suffixes(w, at[keep], g[keep], how).items()]
+                if len(out) >= 8192 or i + 1 == batch.num_rows:
+                    for k in range(0, len(out), 8192):
+                        columns = list(zip(*out[k : k + 8192], strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())), strict=True)], ["gram", "after", "before", "rid", "at"])
+                    out = []
 
     return texts.select("rid", F.col("text").cast("binary").alias("text"), "grams").mapInArrow(run, SUFFIX)
 
 
 class Suffixes:
-    """Suffixes of whole buckets as arrays: gram, code (a number for each text), at, and the words beside the gram."""
+    """Suffixes of whole buckets as arrays: gram, code (a number for each text), their places (``starts`` says where each one's begin), and the words beside the gram."""
 
     def __init__(self, table: pa.Table, how: Passages):
         t = table.combine_chunks()
         self.gram = t.column("gram").to_numpy()
-        self.at = t.column("at").to_numpy().astype(np.int64)
+        places = t.column("at").combine_chunks() if isinstance(t.column("at"), pa.ChunkedArray) else t.column("at")
+        self.places = places.flatten().to_numpy().astype(np.int64)
+        self.starts = np.r_[0, np.cumsum(pc.list_value_length(places).to_numpy())]
         texts = pc.dictionary_encode(t.column("rid")).combine_chunks()
         self.texts, self.code = texts.dictionary, texts.indices.to_numpy()
         self.after, self.n_after = padded(t.column("after"), how.reach)
         self.before, self.n_before = padded(t.column("before"), how.reach)
 
 
+    def spans(self, found: np.ndarray) -> np.ndarray:
+        """(code, start, end) at all places of rows (row, start, end from the gram on)."""
+        row = found[:, 0]
+        many = self.starts[row + 1] - self.starts[row]
+        which = np.repeat(np.arange(len(found)), many)
+        at = self.places[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + self.starts[row][which]]
+        return np.stack([self.code[row][which], at + found[which, 1], at + found[which, 2]], axis=1)
+
+
 def padded(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Words, 4 bytes each, as rows of a matrix, and how many each row has."""
     flat, starts = buffer_of(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, 4 * width)
@@ -144,7 +169,7 @@ def agreeing(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
 
 
 def matches(rows: Suffixes, how: Passages) -> tuple[np.ndarray, np.ndarray]:
-    """Spans (code, start, end) where sorted suffixes match the nearest suffix of another text before or after them.
+    """Spans (row, start, end from the gram on) where sorted suffixes match the nearest suffix of another text before or after them.
 
     Also which suffixes a match covers as far as a passage of ``least`` words around them can go.
     """
@@ -162,7 +187,7 @@ def matches(rows: Suffixes, how: Passages) -> tuple[np.ndarray, np.ndarray]:
         hit = left + how.gram + right >= how.least
         i, left, right = i[hit], left[hit], right[hit]
         whole[i] |= (left == rows.n_before[i]) & (right == rows.n_after[i])
-        found.append(np.stack([code[i], rows.at[i] - left, rows.at[i] + how.gram + right], axis=1))
+        found.append(np.stack([i, -left, how.gram + right], axis=1))
     return np.concatenate(found), whole
 
 
@@ -182,7 +207,7 @@ def window_keys(rows: Suffixes, how: Passages, some: np.ndarray) -> tuple[np.nda
 
 
 def finished(rows: Suffixes, how: Passages, some: np.ndarray) -> np.ndarray:
-    """All spans (code, start, end) of ``least`` words that whole buckets of suffixes share between texts, by their hashes."""
+    """All spans (row, start, end from the gram on) of ``least`` words that whole buckets of suffixes share between texts, by their hashes."""
     keys, has = window_keys(rows, how, some)
     code, hit = rows.code[some], np.zeros_like(has)
     for k in range(how.reach + 1):
@@ -194,15 +219,14 @@ def finished(rows: Suffixes, how: Passages, some: np.ndarray) -> np.ndarray:
             hit[i, k] = np.repeat(several, np.diff(np.r_[starts, len(i)]))
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (i, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    at = rows.at[some][i]
-    return np.stack([code[i], at - last + 1, at - first + how.least], axis=1)
+    return np.stack([some[i], 1 - last, how.least - first], axis=1)
 
 
 def compared(ordered: DataFrame, how: Passages) -> DataFrame:
     """(rid, start, stop) of a table of whole buckets (suffixes of one gram), sorted within its partitions.
 
     Neighbours first; buckets in which a suffix is left that its neighbours do not cover on both
-    sides are then finished. A task holds a batch and one bucket.
+    sides are then finished. A task holds a batch and one bucket, of at most ``bucket`` rows.
     """
     names = [x.split()[0] for x in SUFFIX.split(", ")]
 
@@ -212,7 +236,7 @@ def compared(ordered: DataFrame, how: Passages) -> DataFrame:
         again = np.flatnonzero(np.isin(rows.gram, rows.gram[~whole]))
         if len(again):
             found = np.concatenate([found, finished(rows, how, again)])
-        found = np.unique(found, axis=0)
+        found = np.unique(rows.spans(np.unique(found, axis=0)), axis=0)
         return pa.RecordBatch.from_arrays([rows.texts.take(pa.array(found[:, 0])), pa.array(found[:, 1], pa.int32()), pa.array(found[:, 2], pa.int32())], ["rid", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +266,10 @@ def compared_apart(kept: DataFrame, how: Passages) -> DataFrame:
     k = F.explode(F.sequence(F.lit(0), F.lit(how.reach)))
     rows = kept.withColumn("k", k).where((F.length("before") >= 4 * F.col("k")) & (F.length("after") >= 4 * (how.reach - F.col("k"))))
     window = F.xxhash64("k", F.expr("substring(before, 1, 4 * k)"), F.expr(f"substring(after, 1, 4 * ({how.reach} - k))"))
-    rows = rows.select("gram", window.alias("window"), "rid", (F.col("at") - F.col("k")).cast("int").alias("start"))
+    rows = rows.select("gram", window.alias("window"), "rid", "at", "k")
     shared = rows.groupBy("gram", "window").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("gram", "window")
-    return rows.join(staged(shared, "windows"), ["gram", "window"]).select("rid", "start", (F.col("start") + how.least).cast("int").alias("stop"))
+    hits = rows.join(staged(shared, "windows"), ["gram", "window"]).select("rid", F.explode(F.transform("at", lambda p: (p - F.col("k")).cast("int"))).alias("start"))
+    return hits.select("rid", "start", (F.col("start") + how.least).cast("int").alias("stop"))
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
@@ -263,11 +288,13 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
     ids = staged(with_grams(rows.where(long_enough), how).where(F.col("words") >= how.least), "grams")
     # One row of each text: that of its smallest id. A text of several ids repeats as a whole.
     several = (F.min("doc_id") < F.max("doc_id")) | ((F.count("doc_id") > 0) & (F.count_if(F.col("doc_id").isNull()) > 0))
-    texts = ids.groupBy("rid").agg(F.min("doc_id").alias("_id"), F.coalesce(several, F.lit(False)).alias("copied"), F.first("words").alias("words"), F.first("grams").alias("grams"))
+    texts = ids.groupBy("rid").agg(F.min("doc_id").alias("_id"), F.coalesce(several, F.lit(False)).alias("copied"), F.first("words").alias("words"), F.first("grams").alias("grams"), F.first("counts").alias("counts"))
     texts = staged(texts, "texts", ids.agg(F.sum(F.size("grams") + 8)).first()[0] // 8 if not ids.isEmpty() else 0)
-    grams = texts.select(F.explode("grams").alias("gram"), "rid", "_id")
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged(shared.select("gram", (F.col("n") > how.bucket).alias("large")), "shared")
+    grams = texts.select(F.explode(F.arrays_zip("grams", "counts")).alias("g"), "rid", "_id").select("g.grams", "g.counts", "rid", "_id").withColumnRenamed("grams", "gram")
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.sum("counts").alias("suffixes")).where("n > 1")
+    shared = staged(shared.select("gram", (F.col("suffixes") > how.bucket).alias("large")), "shared")
+    if not ids.groupBy("rid", "doc_id").count().where("count > 1").isEmpty():  # rows that repeat both id and text: one of them is enough, and only one a task is shuffled
+        rows = rows.where(long_enough).groupBy("doc_id", "rid").agg(F.first("text").alias("text"))
 
     def kept(large: bool) -> DataFrame:
         wanted = grams.join(shared.where(F.col("large") == large), "gram").groupBy("rid", "_id").agg(F.collect_list("gram").alias("grams"))
