@@ -42,11 +42,14 @@ BASE = [
     Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
     Kind("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
-#: Candidates that count only if one owner alone has them.
+#: A key's letters come in both cases, with two digits or more among them that a letter follows; words, dates and version numbers don't look so.
+DRAWN = r"(?=(?:[A-Za-z0-9+/_-]*?[0-9][A-Za-z+]){2})(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])"
+#: Candidates that count only if one owner alone has them. None begins within a word; a prefix is followed by a run of ten letters and digits somewhere; a string without a
+#: known prefix is no part of a path, an address or a file name, and neither many slashes nor many hyphens cut it into words.
 OWNED = [
-    Kind("prefixed", r"(?:gh[pousr]_|github_pat_|xox[abprs]-|sk-|sk_live_|glpat-|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 24),
-    Kind("mixed", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}", 0, 24),
+    Kind("prefixed", rf"(?<![A-Za-z0-9_-])(?:gh[pousr]_|github_pat_|xox[abprs]-|sk-|sk_live_|glpat-|AIza)(?=[A-Za-z0-9_-]*[A-Za-z0-9]{{10}}){DRAWN}[A-Za-z0-9_-]{{16,}}", 0, 20),
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 24),
+    Kind("mixed", rf"(?<![A-Za-z0-9+/_.:@-])(?=[A-Za-z0-9+])(?!(?:[A-Za-z0-9+_-]*/){{2}})(?!(?:[A-Za-z0-9+/]*[_-]){{3}}){DRAWN}[A-Za-z0-9+/_-]{{24,}}(?!\.[A-Za-z])", 0, 24),
 ]
 #: Owners, or repositories, from which on a candidate counts as a copied example.
 COPIED_BY, COPIED_IN = 2, 4
@@ -150,11 +153,27 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
+#: Spans of a table that may be sent to every task: their rows and their number together.
+BROADCAST_SPANS = 200_000
+
+
 def redacted_documents(docs: DataFrame) -> DataFrame:
-    """The documents with the secrets of their texts replaced; rows without any stay as they are."""
+    """The documents with the secrets of their texts replaced; rows without any stay as they are.
+
+    A small table of spans goes to the rows. Else rows are dealt out by digest, those that no pattern fits one by one, so that
+    neither empty texts nor large groups of copies without secrets meet in one task.
+    """
     key = text_key(F.col("text"))
     flat = docs.select(key.alias("_key"), *[c for c in ("text", "source", "lang") if c in docs.columns])
-    found = scan(flat, ["_key"], **owners_of(flat)).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
+    found = staged(scan(flat, ["_key"], **owners_of(flat)).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"]), "spans")
+    small = (found.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS
+    if small:
+        found = F.broadcast(found)
+    else:
+        fits = F.lit(False)
+        for kind in [*BASE, *OWNED]:
+            fits = fits | F.coalesce(F.col("text").rlike(kind.pattern), F.lit(False))
+        key = F.when(fits, key).otherwise(F.unhex(F.hex(F.monotonically_increasing_id())))
     rows = docs.select(key.alias("_key"), packed(docs).alias("_doc"))
     both = rows.join(found, "_key", "left")
     text = F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(redacted(F.col("_doc.text"), F.col("spans")))
