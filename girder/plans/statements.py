@@ -228,7 +228,29 @@ SELECT s.id, CAST(s.source_index AS BIGINT) AS source_index, coalesce(targets, '
   CASE WHEN s.source_index = 2 AND s.id % 7 <> 0 THEN CASE WHEN targets IS NULL THEN 'removed' ELSE 'unresolved' END WHEN n = 1 AND x2 = s.source_index + 1 THEN 'kept' WHEN n IS NOT NULL THEN 'revised' ELSE 'unresolved' END AS outcome
 FROM s LEFT JOIN g ON s.id = g.id AND s.source_index = g.source_index"""
 
+CELLS = """
+  SELECT DISTINCT image, class, x * 32 + y AS cell
+  FROM (SELECT *, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS y FROM (SELECT *, unnest(range(CAST(x1 AS BIGINT), CAST(x2 AS BIGINT))) AS x FROM {table}))"""
+
+MASK_UNION = f"""
+WITH {BOXES},
+cells AS ({CELLS.format(table="boxes")}),
+islands AS (SELECT *, cell - row_number() OVER (PARTITION BY image, class ORDER BY cell) AS island FROM cells)
+SELECT image, class, min(cell) AS start, max(cell) + 1 AS stop FROM islands GROUP BY image, class, island
+"""
+
+MASK_COVERAGE = f"""
+WITH {BOXES},
+r AS ({CELLS.format(table="refs")}),
+p AS ({CELLS.format(table="(SELECT * FROM preds WHERE score >= 300)")})
+SELECT image, class, count(r.cell) AS reference_pixels, count(p.cell) AS proposal_pixels, count(CASE WHEN r.cell = p.cell THEN 1 END) AS shared_pixels,
+  count(r.cell) > 0 AS expected, count(p.cell) > 0 AS signalled
+FROM r FULL JOIN p USING (image, class, cell) GROUP BY image, class
+"""
+
 STATEMENTS: dict[str, str] = {
+    "mask_union": MASK_UNION,
+    "mask_coverage": MASK_COVERAGE,
     "match_confusion": with_(match(300), f"SELECT *, {RATIOS}, tp + fn AS reference_instances, CAST(fp AS DOUBLE) / {IMAGES} AS false_proposals_per_image FROM (SELECT class, {SUMS} FROM counts GROUP BY class)"),
     "match_table": with_(match(), "SELECT * FROM matches"),
     "match_error_reasons": with_(match(300), "SELECT class, reason, count(*) AS n FROM matches WHERE reason <> 'matched' GROUP BY ALL"),
