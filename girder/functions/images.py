@@ -49,6 +49,110 @@ def size_problem(content: bytes, most_bytes: int, source: bool = False) -> str |
     return "other_size" if source and size != SOURCE_SIZE else None
 
 
+@dataclass(frozen=True)
+class Header:
+    """What a photo's bytes say before any pixel is decoded; orientation is EXIF's, 1 where none is given."""
+
+    form: str | None = None
+    width: int = 0
+    height: int = 0
+    channels: int = 0
+    bits: int = 8
+    frames: int = 1
+    orientation: int = 1
+
+
+#: EXIF's tag for the orientation; how its numbers may be stored.
+ORIENTATION_TAG, SHORT, LONG = 274, 3, 4
+
+
+def exif_orientation(block: bytes) -> int:
+    """The orientation in a block of EXIF (a TIFF header and directories): 1 if it has none, 0 if it has one that is no whole number.
+
+    Only the first directory counts. An offset beyond the block, or bytes that are no TIFF, leave the photo as it is.
+    """
+    order = {b"II*\0": "little", b"MM\0*": "big"}.get(block[:4])
+    if order is None:
+        return 1
+    number = lambda at, n: int.from_bytes(block[at : at + n], order)
+    at = number(4, 4)
+    for entry in range(at + 2, min(at + 2 + 12 * number(at, 2), len(block) - 11), 12):
+        if number(entry, 2) == ORIENTATION_TAG:
+            kind = number(entry + 2, 2)
+            return number(entry + 8, 2 if kind == SHORT else 4) if kind in (SHORT, LONG) and number(entry + 4, 4) == 1 else 0
+    return 1
+
+
+def png_chunks(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    at = 8
+    while at + 8 <= len(content):
+        long = int.from_bytes(content[at : at + 4], "big")
+        yield content[at + 4 : at + 8], content[at + 8 : at + 8 + long]
+        at += 12 + long
+
+
+def jpeg_segments(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """Markers and their contents up to the first scan."""
+    at = 2
+    while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+        if content[at + 1] == 0xFF:
+            at += 1
+            continue
+        long = int.from_bytes(content[at + 2 : at + 4], "big")
+        yield content[at + 1], content[at + 4 : at + 2 + long]
+        at += 2 + max(long, 2)
+
+
+def photo_header(content: bytes) -> Header:
+    """The header of a PNG or JPEG, an empty one of anything else."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR" and len(content) >= 29:
+        width, height = (int.from_bytes(content[k : k + 4], "big") for k in (16, 20))
+        frames, turn = 1, 1
+        for kind, body in png_chunks(content):
+            if kind == b"acTL":
+                frames = int.from_bytes(body[:4], "big")
+            elif kind == b"eXIf":
+                turn = exif_orientation(body)
+            elif kind == b"IDAT" and turn != 1:
+                break
+        return Header("png", width, height, {0: 1, 2: 3}.get(content[25], 0), content[24], frames, turn)
+    if content[:2] != b"\xff\xd8":
+        return Header()
+    found, turn, frames = None, None, 1
+    for kind, body in jpeg_segments(content):
+        if kind == 0xE1 and body[:6] == b"Exif\0\0" and turn is None:
+            turn = exif_orientation(body[6:])
+        elif kind == 0xE2 and body[:4] == b"MPF\0":
+            frames = 2
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC) and len(body) >= 6 and found is None:
+            found = int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), body[5], body[0]
+    return Header("jpeg", *found, frames, 1 if turn is None else turn) if found else Header()
+
+
+#: Fixed least side of a photo that is analysed.
+LEAST_PHOTO_SIDE = 32
+
+
+def header_problem(h: Header, source: bool = False) -> str | None:
+    """Why a photo of this header may not be decoded, None if it may (SRC-18).
+
+    ``source``: a photo of the segmentation source, whose annotations fit one size, colours and no turn only.
+    """
+    if h.form is None or min(h.width, h.height) < 1:
+        return "no_image_header"
+    if source:
+        return "other_size" if (h.width, h.height) != SOURCE_SIZE else "unsupported_mode" if h.channels != 3 or h.bits != 8 else "turned" if h.orientation != 1 else None
+    if min(h.width, h.height) < LEAST_PHOTO_SIDE:
+        return "too_small"
+    if h.width * h.height > MOST_PIXELS:
+        return "too_many_pixels"
+    if h.channels not in (1, 3) or h.bits != 8:
+        return "unsupported_mode"
+    if h.frames != 1:
+        return "several_frames"
+    return None if 1 <= h.orientation <= 8 else "invalid_orientation"
+
+
 def gray(rgb: np.ndarray) -> np.ndarray:
     """Luma of an RGB image in whole numbers, by the usual 299, 587, 114 weights with 16-bit rounding."""
     if rgb.ndim == 2:
