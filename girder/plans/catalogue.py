@@ -9,7 +9,7 @@ from girder.functions import geometry as g
 from girder.functions import rules
 from girder.functions.hashing import sha256
 from girder.functions.ratios import ratio
-from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, reports, requests, runs, selection, similarity, splits, windows
+from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, reports, requests, runs, selection, similarity, spatial, splits, windows
 from girder.plans import views as v
 from girder.plans.statements import STATEMENTS
 from girder.shared import staged
@@ -106,6 +106,15 @@ def zone_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage.coverage_totals(c, v.n_images(spark, d))
 
 
+def box_meetings(spark: SparkSession, d: str) -> DataFrame:
+    t = spatial.edges_of(v.predictions(spark, d), v.references(spark, d))
+    return t.select("image", "class", F.col("pos").alias("pred_pos"), F.col("ref").alias("ref_pos"), "iou")
+
+
+def match_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.match_boxes(v.predictions(spark, d), v.references(spark, d))
+
+
 def box_masks(boxes: DataFrame) -> DataFrame:
     return runs.box_runs(boxes, ["image", "class"], F.lit(32))
 
@@ -400,7 +409,7 @@ NAMES = (
     flag_counts, photo_verdicts, yolo_parse, yolo_rejects, yolo_mapped, coco_export, integrity_mismatch, companion_orphans, label_join_default, review_audit,
     review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
     duplicate_groups, leaking_groups, collection_summary, review_outcomes, target_study, selection_summary, origin_split, balanced_negatives, manifest_violations, collection_violations,
-    journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused, mask_union, mask_coverage,
+    journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused, mask_union, mask_coverage, box_meetings, match_in_rounds,
 )
 
 

@@ -249,6 +249,11 @@ FROM r FULL JOIN p USING (image, class, cell) GROUP BY image, class
 """
 
 STATEMENTS: dict[str, str] = {
+    "box_meetings": f"""
+WITH {BOXES}
+SELECT p.image, p.class, p.pos AS pred_pos, r.pos AS ref_pos, {SHARED} / ({AREAS} - {SHARED}) AS iou
+FROM preds p JOIN refs r ON p.image = r.image AND p.class = r.class AND p.x1 < r.x2 AND r.x1 < p.x2 AND p.y1 < r.y2 AND r.y1 < p.y2""",
+    "match_in_rounds": with_(match(), "SELECT * FROM matches"),
     "mask_union": MASK_UNION,
     "mask_coverage": MASK_COVERAGE,
     "match_confusion": with_(match(300), f"SELECT *, {RATIOS}, tp + fn AS reference_instances, CAST(fp AS DOUBLE) / {IMAGES} AS false_proposals_per_image FROM (SELECT class, {SUMS} FROM counts GROUP BY class)"),
