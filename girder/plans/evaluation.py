@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from girder.functions.rules import Refused
 from girder.operators import confusion, coverage, matching, precision
+from girder.operators.digests import table_digest
 from girder.shared import staged
 
 
@@ -42,3 +43,8 @@ def comparable(one: dict, two: dict) -> None:
     """Refuse a comparison of evaluations whose protocol, classes or references differ."""
     if differ := [k for k in ("protocol", "classes", "references_sha256", "images_sha256") if one.get(k) != two.get(k)]:
         raise Refused(f"evaluations differ in {differ}")
+
+
+def described(protocol: str, classes: list[str], references: DataFrame, images: DataFrame) -> dict:
+    """An evaluation's descriptor with the digests of its tables, for ``comparable``."""
+    return {"protocol": protocol, "classes": list(classes), "references_sha256": table_digest(references), "images_sha256": table_digest(images)}

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import posixpath
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.functions.rules import refuse, repeated
+from girder.functions.rules import Refused, refuse, repeated
 from girder.operators import groups, integrity, selection, splits
 from girder.shared import staged
-from girder.sinks.exports import publish
+from girder.sinks.exports import file_system
+from girder.streaming.store import create_once, names, text_of
 
 
 def imported(members: DataFrame, pattern: str, roles: list[str]) -> DataFrame:
@@ -59,10 +65,65 @@ def prepared(records: DataFrame, links: DataFrame, excluded: DataFrame, seed: in
     return {"manifest": manifest, "summary": splits.split_summary(manifest, [0, 1]), "withheld": held.where("quarantined").select("id", "content_group", "reason"), "linked": groups.groups_of_several(grouped)}
 
 
-def publish_corpus(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table of a preparation under its name, the manifest by split."""
+def refuse_inside(destination: str, sources: list[str]) -> None:
+    """A corpus must not be written into what it is made from."""
+    bare = lambda p: re.sub(r"^file:/+", "/", posixpath.normpath(p)).rstrip("/") + "/"
+    if inside := [s for s in sources if bare(destination).startswith(bare(s))]:
+        raise Refused(f"{destination} lies inside its source {inside[0]}")
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     for name, table in tables.items():
-        publish(table, f"{folder}/{name}", ["split"] if name == "manifest" else None)
+        (table.write.partitionBy("split") if name == "manifest" else table.write).parquet(f"{folder}/{name}")
+
+
+def publish_corpus(tables: dict[str, DataFrame], folder: str, sources: list[str] | None = None) -> None:
+    """All tables of a preparation under their names, the manifest by split, in a new folder: written to a hidden sibling, which one rename makes visible whole."""
+    refuse_inside(folder, sources or [])
+    spark = next(iter(tables.values())).sparkSession
+    fs, target = file_system(spark, folder)
+    if fs.exists(target):
+        raise Refused(f"{folder} exists")
+    parent, _, name = folder.rstrip("/").rpartition("/")
+    hidden = f"{parent}/_staging_{uuid.uuid4().hex}_{name}"
+    _, source = file_system(spark, hidden)
+    try:
+        write_tables(tables, hidden)
+        if not fs.rename(source, target):
+            raise Refused(f"{folder} could not be published")
+    finally:
+        fs.delete(source, True)
+
+
+CORPUS = re.compile(r"CORPUS\.(\d{12})")
+
+
+def commit_corpus(tables: dict[str, DataFrame], folder: str, sources: list[str] | None = None) -> int:
+    """The tables as the next version of a corpus, and its number. One record names them all, so readers see all tables of the old version or of the new.
+
+    The record is created once by one writer alone; another that wanted the same number is refused and may try again.
+    """
+    refuse_inside(folder, sources or [])
+    spark = next(iter(tables.values())).sparkSession
+    last = corpus_version(spark, folder)
+    version = f"v{uuid.uuid4().hex}"
+    write_tables(tables, f"{folder}/{version}")
+    if not create_once(spark, f"{folder}/CORPUS.{last + 1:012d}", json.dumps({"version": version, "tables": sorted(tables)})):
+        raise Refused("another writer committed this corpus at the same time")
+    return last + 1
+
+
+def corpus_version(spark: SparkSession, folder: str) -> int:
+    return max((int(m[1]) for m in map(CORPUS.fullmatch, names(spark, folder)) if m), default=0)
+
+
+def corpus_tables(spark: SparkSession, folder: str, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a corpus's last version, or of that number."""
+    number = number or corpus_version(spark, folder)
+    if not number:
+        raise Refused(f"{folder} has no corpus")
+    record = json.loads(text_of(spark, f"{folder}/CORPUS.{number:012d}"))
+    return {name: spark.read.parquet(f"{folder}/{record['version']}/{name}") for name in record["tables"]}
 
 
 def open_split(spark: SparkSession, folder: str, split: str, open_reserved_test: bool = False) -> DataFrame:

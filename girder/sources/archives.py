@@ -5,36 +5,111 @@ from __future__ import annotations
 import glob
 import stat
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 MEMBER_BYTES = 8 << 20
 RATIO = 1000
 
 
+def opened(uri: str):
+    """A file for random reads, of any file system that Arrow knows: a local path, file:, hdfs:, viewfs:, s3: and others."""
+    system, path = (fs.LocalFileSystem(), uri) if "://" not in uri and not uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+def archives_of(pattern: str) -> list[str]:
+    """The archives that a pattern names, in order; patterns are for local paths, elsewhere the path is one archive's or a folder's of archives."""
+    if "://" not in pattern and not pattern.startswith("file:"):
+        return sorted(glob.glob(pattern))
+    system, path = fs.FileSystem.from_uri(pattern)
+    at = system.get_file_info(path)
+    if at.type != fs.FileType.Directory:
+        return [pattern]
+    root = pattern.rstrip("/")[: -len(path.rstrip("/"))]
+    return sorted(root + f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.lower().endswith(".zip"))
+
+
+class Members(InputPartition):
+    """Members of an archive from ``start`` to before ``stop`` in the order of its directory."""
+
+    def __init__(self, archive: str, start: int, stop: int):
+        super().__init__((archive, start, stop))
+        self.archive, self.start, self.stop = archive, start, stop
+
+
+def passes(filters: list[Filter], row: dict) -> bool:
+    """Whether a member's columns meet all filters."""
+    tests = {
+        EqualTo: lambda v, f: v == f.value, In: lambda v, f: v in f.value, GreaterThan: lambda v, f: v > f.value, GreaterThanOrEqual: lambda v, f: v >= f.value,
+        LessThan: lambda v, f: v < f.value, LessThanOrEqual: lambda v, f: v <= f.value, StringStartsWith: lambda v, f: v.startswith(f.value), StringEndsWith: lambda v, f: v.endswith(f.value), StringContains: lambda v, f: f.value in v,
+    }
+    return all(tests[type(f)](row[f.attribute[0]], f) for f in filters)
+
+
+KNOWN = (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, StringEndsWith, StringContains)
+
+
 class ZipReader(DataSourceReader):
-    """One partition an archive; the members' bytes are read only if ``content`` is asked for, and never beyond the limit."""
+    """Members' rows; their bytes are read only if ``content`` is asked for, and never beyond the limit.
+
+    An archive is cut into tasks of about ``taskBytes`` packed bytes or ``taskMembers`` members. Filters on names, sizes and places are taken over from Spark: what they
+    rule out is neither opened nor a reason for a task.
+    """
 
     def __init__(self, options: dict):
         self.pattern, self.content = options["path"], str(options.get("content", "false")).lower() == "true"
         self.most = int(options.get("memberBytes", MEMBER_BYTES))
+        self.bytes, self.members = int(options.get("taskBytes", 64 << 20)), int(options.get("taskMembers", 20_000))
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, KNOWN) and f.attribute in (("archive",), ("name",), ("size",), ("packed",), ("pos",)):
+                self.filters.append(f)
+            else:
+                yield f
+
+    @staticmethod
+    def row(archive: str, pos: int, m: zipfile.ZipInfo) -> dict:
+        return {"archive": archive, "pos": pos, "name": m.filename, "size": m.file_size, "packed": m.compress_size}
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(self.pattern))]
+        of_archive = [f for f in self.filters if f.attribute == ("archive",)]
+        out: list[InputPartition] = []
+        for archive in archives_of(self.pattern):
+            if not passes(of_archive, {"archive": archive}):
+                continue
+            with opened(archive) as file, zipfile.ZipFile(file) as z:
+                start, weight, wanted = 0, 0, False
+                every = z.infolist()
+                for pos, m in enumerate(every):
+                    if passes(self.filters, self.row(archive, pos, m)):
+                        weight, wanted = weight + m.compress_size * self.content, True
+                    if pos + 1 == len(every) or weight >= self.bytes or pos + 1 - start >= self.members:
+                        if wanted:
+                            out.append(Members(archive, start, pos + 1))
+                        start, weight, wanted = pos + 1, 0, False
+        return out or [Members("", 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.value) as z:
-            for pos, m in enumerate(z.infolist()):
+        if not partition.archive:
+            return
+        with opened(partition.archive) as file, zipfile.ZipFile(file) as z:
+            for pos, m in list(enumerate(z.infolist()))[partition.start : partition.stop]:
+                if not passes(self.filters, self.row(partition.archive, pos, m)):
+                    continue
                 data = None
                 if self.content and not m.is_dir() and m.file_size <= self.most and not m.flag_bits & 1:
                     with z.open(m) as f:
                         data = f.read(self.most + 1)
                     data = data if len(data) == m.file_size else None
                 mode = m.external_attr >> 16
-                yield partition.value, pos, m.filename, m.file_size, m.compress_size, mode, stat.S_ISLNK(mode), m.is_dir(), bool(m.flag_bits & 1), m.compress_type, data
+                yield partition.archive, pos, m.filename, m.file_size, m.compress_size, mode, stat.S_ISLNK(mode), m.is_dir(), bool(m.flag_bits & 1), m.compress_type, data
 
 
 class ZipMembers(DataSource):
@@ -49,9 +124,11 @@ class ZipMembers(DataSource):
         return ZipReader(self.options)
 
 
-def zip_members(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+def zip_members(spark: SparkSession, path: str, content: bool = False, **options: int) -> DataFrame:
+    """The members of the archives at a path. Spark hands filters over where spark.sql.python.filterPushdown.enabled is set, which this does."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ZipMembers)
-    return spark.read.format("zip_members").option("path", path).option("content", str(content).lower()).load()
+    return spark.read.format("zip_members").option("path", path).option("content", str(content).lower()).options(**options).load()
 
 
 def unsafe_name(name: Column) -> Column:
