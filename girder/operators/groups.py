@@ -27,6 +27,12 @@ def groups_of_several(groups: DataFrame) -> DataFrame:
     return groups.groupBy("content_group").agg(F.sort_array(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def members_of_several(groups: DataFrame, group: str = "content_group") -> DataFrame:
+    """group, n, id: a row for every member of the groups with more than one, so a group may be as large as the corpus."""
+    several = groups.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return groups.join(several, group).select(group, "n", "id")
+
+
 def with_quarantine(groups: DataFrame, excluded: DataFrame) -> DataFrame:
     """id, content_group, quarantined, reason: one excluded member withholds its whole group.
 

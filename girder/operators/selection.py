@@ -9,10 +9,13 @@ from girder.shared import staged
 
 
 def first_seen(table: DataFrame, digest: str, *order: str) -> DataFrame:
-    """The first row of every digest by the order given, with how many it stands for."""
-    by = Window.partitionBy(digest)
-    t = table.withColumns({"nth": F.row_number().over(by.orderBy(*order)), "copies": F.count(F.lit(1)).over(by)})
-    return t.where("nth = 1").drop("nth")
+    """The first row of every digest by the order given, with how many it stands for.
+
+    An aggregation, so a content that stands everywhere is one row a task before it is shuffled.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    t = table.groupBy(F.col(digest).alias("_digest")).agg(F.min_by(row, F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("copies"))
+    return t.select("_row.*", "copies")
 
 
 def bottom_k(table: DataFrame, value: str, by: list[str], k: int, tie: str = "id") -> DataFrame:

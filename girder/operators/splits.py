@@ -51,17 +51,25 @@ def refuse_thin_splits(records: DataFrame, assigned: DataFrame) -> None:
     refuse(need.join(each, ["c", "split"], "left_anti"), "not enough groups for every class in every split")
 
 
+def places(table: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in their group, by ranges over the whole table. Stored."""
+    t = staged(running_sums(table, [*by, *order], {"_before": F.lit(1).cast("long")}), "places")
+    first = t.groupBy(*by).agg(F.min("_before").alias("_first"))
+    return t.join(first, by).withColumn(name, F.col("_before") - F.col("_first") + 1).drop("_before", "_first")
+
+
 def budget_selection(records: DataFrame, maximum: int, seed: int) -> DataFrame:
     """content_group, n of the groups taken: one a stratum in turn, skipping those that no longer fit.
 
     The running sum depends on what was skipped before, so it is a fold in one task, over
     no more than maximum * (1 + ln maximum) groups however many there are. Strata without groups left are passed over.
     """
-    g = strata(records).where(F.col("n") <= maximum)
-    turn = F.row_number().over(Window.partitionBy("stratum").orderBy(seeded(seed, F.col("content_group")), "content_group"))
+    g = strata(records).where(F.col("n") <= maximum).select("stratum", "content_group", F.col("n").cast("long").alias("n"), seeded(seed, F.col("content_group")).alias("seeded"))
+    # Places in a stratum, and then among the groups of one size, come from ranges, so a stratum or a size may be as large as the corpus.
+    g = places(staged(g, "strata"), ["stratum"], ["seeded", "content_group"], "turn")
+    g = places(g, ["n"], ["turn", "stratum"], "able")
     # Groups of one size stop fitting for good, so of size n only the first maximum / n of the line can be taken.
-    able = F.row_number().over(Window.partitionBy("n").orderBy("turn", "stratum"))
-    line = g.withColumn("turn", turn).withColumn("able", able).where(F.col("able") <= F.floor(maximum / F.col("n"))).agg(F.array_sort(F.collect_list(F.struct("turn", "stratum", "content_group", F.col("n").cast("long").alias("n")))).alias("line"))
+    line = g.where(F.col("able") <= F.floor(maximum / F.col("n"))).agg(F.array_sort(F.collect_list(F.struct("turn", "stratum", "content_group", "n"))).alias("line"))
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<content_group:string,n:bigint>>").alias("kept"))
 
     def step(a, x):

@@ -9,12 +9,12 @@ from girder.functions import geometry as g
 from girder.functions import rules
 from girder.functions.hashing import sha256
 from girder.functions.ratios import ratio
-from girder.operators import confusion, coverage, findings, groups, integrity, matching, precision, reports, requests, runs, selection, similarity, spatial, splits, windows
+from girder.operators import confusion, coverage, digests, findings, groups, integrity, matching, precision, reports, requests, runs, selection, similarity, spatial, splits, windows
 from girder.plans import views as v
 from girder.plans.statements import STATEMENTS
 from girder.shared import staged
 from girder.sources import labels, manifests
-from girder.streaming import journal
+from girder.streaming import journal, store
 
 FLAGSHIP = "match_confusion"
 GRID = [50 * k for k in range(1, 20)]
@@ -396,6 +396,33 @@ def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("analysis").agg(F.count_distinct("status").alias("states"), F.count_if(F.col("status") == "resolved").alias("resolved"))
 
 
+def evidence_proofs(spark: SparkSession, d: str) -> DataFrame:
+    return store.evidence(requests.checked_requests(v.requests(spark, d)).where("problem is null"))
+
+
+def source_means(spark: SparkSession, d: str) -> DataFrame:
+    t = v.read(spark, d, "documents").select("lang", "source", "n_chars", F.length("source").alias("name"))
+    return selection.mean_and_groups(t, ["n_chars", "name"], "source", ["lang"])
+
+
+def changed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    t = v.read(spark, d, "documents").select("doc_id", "text", "n_chars")
+    changed = t.where("doc_id % 97 <> 0").withColumn("n_chars", F.when(F.col("doc_id") % 89 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return digests.differing_ranges(t, changed, F.expr("doc_id div 100"))
+
+
+def close_link_counts(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.link_counts(staged(v.fingerprints(spark, d), "prints"), 8)
+
+
+def candidate_members(spark: SparkSession, d: str) -> DataFrame:
+    return groups.members_of_several(grouped(spark, d))
+
+
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    return groups.members_of_several(v.photos(spark, d).select("id", "digest"), "digest")
+
+
 def error_rates(spark: SparkSession, d: str) -> DataFrame:
     c = confusion.image_counts(*matched(spark, d, SHOWN))
     t = c.groupBy("image").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
@@ -409,7 +436,8 @@ NAMES = (
     flag_counts, photo_verdicts, yolo_parse, yolo_rejects, yolo_mapped, coco_export, integrity_mismatch, companion_orphans, label_join_default, review_audit,
     review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
     duplicate_groups, leaking_groups, collection_summary, review_outcomes, target_study, selection_summary, origin_split, balanced_negatives, manifest_violations, collection_violations,
-    journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused, mask_union, mask_coverage, box_meetings, match_in_rounds,
+    journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused, mask_union, mask_coverage, box_meetings, match_in_rounds, evidence_proofs, source_means, changed_ranges, close_link_counts,
+    candidate_members, duplicate_members,
 )
 
 

@@ -254,6 +254,14 @@ WITH {BOXES}
 SELECT p.image, p.class, p.pos AS pred_pos, r.pos AS ref_pos, {SHARED} / ({AREAS} - {SHARED}) AS iou
 FROM preds p JOIN refs r ON p.image = r.image AND p.class = r.class AND p.x1 < r.x2 AND r.x1 < p.x2 AND p.y1 < r.y2 AND r.y1 < p.y2""",
     "match_in_rounds": with_(match(), "SELECT * FROM matches"),
+    "evidence_proofs": with_(REQUESTS, """SELECT analysis, count(*) FILTER (kind = 'correction' AND proofs = 'one') AS n_proofs, count(*) FILTER (kind = 'manual') AS n_human_reports
+FROM checked WHERE problem IS NULL GROUP BY analysis"""),
+    "source_means": "SELECT lang, avg(n_chars) AS mean_n_chars, avg(length(source)) AS mean_name, count(DISTINCT source) AS groups FROM documents GROUP BY lang",
+    "changed_ranges": """SELECT doc_id // 100 AS "range", count(*) AS n_one, count(*) FILTER (doc_id % 97 <> 0) AS n_two
+FROM documents GROUP BY doc_id // 100 HAVING count(*) FILTER (doc_id % 97 = 0 OR doc_id % 89 = 0) > 0""",
+    "close_link_counts": with_(PAIRS + """, ends AS (SELECT "left" AS id FROM pairs UNION ALL SELECT "right" FROM pairs), n AS (SELECT id, count(*) AS n FROM ends GROUP BY id)""", """SELECT id, min(id) OVER (PARTITION BY hash) AS "of", coalesce(n, 0) AS n_links FROM prints LEFT JOIN n USING (id)"""),
+    "candidate_members": with_(GROUPS, "SELECT content_group, n, id FROM (SELECT *, count(*) OVER (PARTITION BY content_group) AS n FROM grp) WHERE n > 1"),
+    "duplicate_members": "SELECT digest, n, id FROM (SELECT sha256(text) AS digest, doc_id AS id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1",
     "mask_union": MASK_UNION,
     "mask_coverage": MASK_COVERAGE,
     "match_confusion": with_(match(300), f"SELECT *, {RATIOS}, tp + fn AS reference_instances, CAST(fp AS DOUBLE) / {IMAGES} AS false_proposals_per_image FROM (SELECT class, {SUMS} FROM counts GROUP BY class)"),
