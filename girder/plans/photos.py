@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import images, rules
@@ -25,16 +25,28 @@ DDL = (
 )
 
 
-def read_photos(spark: SparkSession, path: str) -> DataFrame:
-    """id (the path), size, sha256, head, pixels of the files under a path.
+def one_path(c: Column) -> Column:
+    """A file's path with one slash after the scheme: sources name it with one or three."""
+    return F.regexp_replace(c, "^([a-z0-9]+):/*", "$1:/")
 
-    The pixels come from Spark's own image source, which decodes on the executors. They and the files meet by path; of a file only its head goes along.
-    """
+
+def decoded_pixels(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """_at, pixels of the photos under a path, by Spark's own image source, which decodes on the executors; its paths are written as in an address."""
+    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    at = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    return rows.select(one_path(at).alias("_at"), F.struct(*[F.col(f"image.{c}") for c in ("height", "width", "nChannels", "data")]).alias("pixels"))
+
+
+def read_photos(spark: SparkSession, path: str) -> DataFrame:
+    """id (the path), size, sha256, head, pixels of the files under a path. Pixels and files meet by path; of a file only its head goes along."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("id"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, HEAD).alias("head"))
-    # Both sources name a file with one slash or three after the scheme; the path alone is the same.
-    place = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/*", "$1:/")
-    pixels = spark.read.format("image").option("dropInvalid", "true").load(path).select(place(F.col("image.origin")).alias("_at"), F.struct(*[F.col(f"image.{c}") for c in ("height", "width", "nChannels", "data")]).alias("pixels"))
-    return files.withColumn("_at", place(F.col("id"))).join(pixels, "_at", "left").drop("_at")
+    return files.withColumn("_at", one_path(F.col("id"))).join(decoded_pixels(spark, path), "_at", "left").drop("_at")
+
+
+def rgb(pixels: dict) -> np.ndarray:
+    """Rows of the image source as height by width by three; it gives blue first, or one channel."""
+    a = np.frombuffer(pixels["data"], np.uint8).reshape(pixels["height"], pixels["width"], pixels["nChannels"])
+    return a[..., 2::-1] if pixels["nChannels"] >= 3 else np.repeat(a, 3, axis=2)
 
 
 def measured(photos: DataFrame, source: bool = False, thumb: int = 32) -> DataFrame:
@@ -51,11 +63,9 @@ def measured(photos: DataFrame, source: bool = False, thumb: int = 32) -> DataFr
         out = {"problem": problem, "form": h.form, "orientation": h.orientation if h.form else None}
         if problem:
             return out
-        a = np.frombuffer(pixels["data"], np.uint8).reshape(pixels["height"], pixels["width"], pixels["nChannels"])
         if (pixels["width"], pixels["height"]) != (h.width, h.height):
             return out | {"problem": "header_differs"}
-        # The image source gives blue first.
-        photo = images.oriented(a[..., 2::-1] if pixels["nChannels"] >= 3 else np.repeat(a, 3, axis=2), h.orientation)
+        photo = images.oriented(rgb(pixels), h.orientation)
         luma = images.gray(photo)
         lost, shares = images.exposure(luma)
         views = [{"across": across, "down": down, "thumb": small} for (across, down), small in images.fingerprint(photo, thumb)]
