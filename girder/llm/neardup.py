@@ -16,7 +16,8 @@ differ from each other exactly where one of them differs from the centre and the
 
 Nulls: a null, empty or wordless text has no set, is linked with nothing and is its own component.
 A null id is a document like others and never names a component that has another id. Repeated rows are exact
-copies. Very long texts are taken whole. An empty table gives an empty result.
+copies. Very long texts are taken whole. An empty table gives an empty result. Ties are decided by the smallest id; only id and text are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations

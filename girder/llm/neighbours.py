@@ -12,7 +12,8 @@ a sphere of 64 dimensions have no near regions, and reaching the recall means op
 
 Nulls: vectors that are null, zero, of another length than most or hold null or non-finite components take no part, nor do null
 ids. Rows that repeat an id count as one candidate at their smallest distance. An empty table, or
-one without valid vectors, gives an empty result.
+one without valid vectors, gives an empty result. Equal distances go by the smaller id, also where copies are left out. Only the id and the vector are read, so other
+columns may have any names; a vector's own length is bounded by the most common one.
 """
 
 from __future__ import annotations

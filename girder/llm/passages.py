@@ -13,7 +13,9 @@ that two texts share is lost. Large buckets are compared so by aggregation over
 
 Nulls: a null text is an empty one and repeats nothing; null ids are one id. A text repeats across
 documents only if another id has the passage: repeated rows of one id are one document. Texts under
-``least`` words and an empty table give no rows. Very long texts are taken whole.
+``least`` words and an empty table give no rows. Very long texts are taken whole. Grams that tie in a window count at their leftmost place; suffixes that tie are
+sorted by text and place, and which of them stand beside each other changes nothing. Only id and text are read, so other columns may have any names. Windows are known
+by 128 bits (those of the gram and those of the window), words of neighbours by 32 bits each over at least ``least - gram`` words; they are not compared as texts.
 """
 
 from __future__ import annotations

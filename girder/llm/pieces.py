@@ -9,7 +9,8 @@ corpus would shuffle every word of it twice, several times the size of the input
 
 Nulls: a null text is an empty one; an empty text has the end id alone. Repeated rows
 give repeated rows. Very long texts are encoded whole; only their distinct chunks take table space. Texts that hold the marker itself or a
-NUL, and all texts of a model that has a piece with an inner marker or splits otherwise, go whole to the library.
+NUL, and all texts of a model that has a piece with an inner marker or splits otherwise, go whole to the library. Rows have no order
+that could tie; an empty table gives an empty one. Other columns stay as they are or are left alone, and those named like a new one are replaced.
 """
 
 from __future__ import annotations

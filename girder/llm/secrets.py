@@ -8,7 +8,7 @@ and adds a span. Spans are in code points, end exclusive.
 Nulls: a null text is empty; a null owner or repository is an owner or repository of its own. Repeated
 rows are scanned each for itself and count once as owners. Overlapping spans of
 different kinds all stay; of those that begin together the kind listed first comes first. An empty table gives an empty result. Very long texts are scanned whole;
-matches are laid out in blocks, so that many of them in one text cost little more than few.
+matches are laid out in blocks, so that many of them in one text cost little more than few. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Planes are compressed one by one, so a reader opens only what it needs.
 Documents go to shards in ascending id order (nulls first, ties by hash of the text) by range
 partitioning; hash of the text lets repeated ids be split. The files are rows of a table in the shared folder,
 written by Spark's committer, so a lost executor leaves none half-written. A null text is an empty one; an empty table
-gives no files.
+gives no files. Repeated rows are documents each, one after the other; very long texts are encoded whole, and one longer than a shard makes its shard longer. Only id and text
+are read, so other columns may have any names.
 """
 
 from __future__ import annotations
