@@ -10,6 +10,7 @@ from girder.functions import rules
 from girder.functions.hashing import sha256
 from girder.functions.ratios import ratio
 from girder.operators import confusion, coverage, digests, findings, groups, integrity, matching, precision, reports, requests, runs, selection, similarity, spatial, splits, windows
+from girder.plans import masked
 from girder.plans import views as v
 from girder.plans.statements import STATEMENTS
 from girder.shared import staged
@@ -127,6 +128,20 @@ def mask_coverage(spark: SparkSession, d: str) -> DataFrame:
     return runs.coverage(box_masks(v.references(spark, d)), box_masks(v.predictions(spark, d).where(F.col("score") >= SHOWN)), ["image", "class"])
 
 
+def windowed_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every proposal seen through a window of 20 by 20 that begins at a multiple of 4 at or before its corner."""
+    b = v.predictions(spark, d).select("image", "class", "score", "box", *[(F.floor(F.col(f"box.{c}1") / 4) * 4).cast("long").alias(c) for c in "xy"])
+    local = b.withColumn("box", g.shifted(F.col("box"), -F.col("x"), -F.col("y")))
+    top, tall, left, wide = (F.col(c).cast("long") for c in ("box.y1", "h", "box.x1", "w"))
+    t = local.withColumns({"h": F.col("box.y2") - F.col("box.y1"), "w": F.col("box.x2") - F.col("box.x1")})
+    # Column by column: empty pixels, then as many runs as the box is wide, with what is empty between them.
+    inner = F.flatten(F.transform(F.sequence(F.lit(2).cast("long"), wide), lambda _: F.array(20 - tall, tall)))
+    lengths = F.concat(F.array(left * 20 + top, tall), inner, F.array(20 * (20 - left - wide + 1) - top - tall))
+    t = t.select("image", F.lit(32).alias("image_width"), F.lit(32).alias("image_height"), "x", "y", F.lit(20).alias("width"), F.lit(20).alias("height"), "class", "score", lengths.alias("runs"))
+    zones = masked.windowed_zones(staged(t, "windows"), SHOWN)
+    return runs.coverage(box_masks(v.references(spark, d)), zones, ["image", "class"])
+
+
 def hash_bits(spark: SparkSession, d: str) -> DataFrame:
     return v.fingerprints(spark, d).select("id", "hash")
 
@@ -437,7 +452,7 @@ NAMES = (
     review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
     duplicate_groups, leaking_groups, collection_summary, review_outcomes, target_study, selection_summary, origin_split, balanced_negatives, manifest_violations, collection_violations,
     journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused, mask_union, mask_coverage, box_meetings, match_in_rounds, evidence_proofs, source_means, changed_ranges, close_link_counts,
-    candidate_members, duplicate_members,
+    candidate_members, duplicate_members, windowed_coverage,
 )
 
 

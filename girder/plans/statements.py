@@ -264,6 +264,7 @@ FROM documents GROUP BY doc_id // 100 HAVING count(*) FILTER (doc_id % 97 = 0 OR
     "duplicate_members": "SELECT digest, n, id FROM (SELECT sha256(text) AS digest, doc_id AS id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1",
     "mask_union": MASK_UNION,
     "mask_coverage": MASK_COVERAGE,
+    "windowed_coverage": MASK_COVERAGE,
     "match_confusion": with_(match(300), f"SELECT *, {RATIOS}, tp + fn AS reference_instances, CAST(fp AS DOUBLE) / {IMAGES} AS false_proposals_per_image FROM (SELECT class, {SUMS} FROM counts GROUP BY class)"),
     "match_table": with_(match(), "SELECT * FROM matches"),
     "match_error_reasons": with_(match(300), "SELECT class, reason, count(*) AS n FROM matches WHERE reason <> 'matched' GROUP BY ALL"),
