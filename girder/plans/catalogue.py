@@ -332,6 +332,19 @@ def review_audit(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.col("source_index").cast("long").alias("source_index"), "outcome", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
 
 
+def box_review_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The references as source boxes; what a reviewer made of them follows from their places and sides."""
+    r = v.references(spark, d).select(F.col("image").alias("id"), F.col("pos").cast("int").alias("source_index"), "class", "box")
+    wide = F.struct("box.x1", "box.y1", (F.col("box.x2") + 1).alias("x2"), "box.y2")
+    reviewed = r.where("source_index % 7 <> 0 and id % 13 <> 0").select(
+        "id", F.col("source_index").alias("review_index"), F.when(F.col("id") % 9 == 0, "other").otherwise(F.col("class")).alias("class"),
+        F.when(F.col("box.x1") % 2 == 0, F.col("box")).otherwise(wide).alias("box"), F.array("source_index").alias("source_indices"),
+    )
+    removed = r.where("source_index % 7 = 0 or id % 11 = 0").select("id", "source_index", F.lit("Ambiguous").alias("reason"))
+    t = integrity.review_audit(r, reviewed, removed)
+    return t.select("id", F.col("source_index").cast("long").alias("source_index"), "outcome", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
+
+
 def review_coverage(spark: SparkSession, d: str) -> DataFrame:
     return integrity.two_way_coverage(v.read(spark, d, "labels").select((F.col("doc_id") + 1).alias("id")), v.read(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
@@ -452,7 +465,7 @@ NAMES = (
     review_coverage, alert_rates, last_metric_values, journal_validation, journal_replay, journal_append, finding_dedupe, finding_withheld, average_precision, import_report,
     duplicate_groups, leaking_groups, collection_summary, review_outcomes, target_study, selection_summary, origin_split, balanced_negatives, manifest_violations, collection_violations,
     journal_activity, evidence_counts, journal_requests, manual_findings, manual_refused, mask_union, mask_coverage, box_meetings, match_in_rounds, evidence_proofs, source_means, changed_ranges, close_link_counts,
-    candidate_members, duplicate_members, windowed_coverage,
+    candidate_members, duplicate_members, windowed_coverage, box_review_audit,
 )
 
 

@@ -262,6 +262,11 @@ FROM documents GROUP BY doc_id // 100 HAVING count(*) FILTER (doc_id % 97 = 0 OR
     "close_link_counts": with_(PAIRS + """, ends AS (SELECT "left" AS id FROM pairs UNION ALL SELECT "right" FROM pairs), n AS (SELECT id, count(*) AS n FROM ends GROUP BY id)""", """SELECT id, min(id) OVER (PARTITION BY hash) AS "of", coalesce(n, 0) AS n_links FROM prints LEFT JOIN n USING (id)"""),
     "candidate_members": with_(GROUPS, "SELECT content_group, n, id FROM (SELECT *, count(*) OVER (PARTITION BY content_group) AS n FROM grp) WHERE n > 1"),
     "duplicate_members": "SELECT digest, n, id FROM (SELECT sha256(text) AS digest, doc_id AS id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1",
+    "box_review_audit": f"""
+WITH {BOXES},
+s AS (SELECT image AS id, pos, pos % 7 <> 0 AND image % 13 <> 0 AS linked, pos % 7 = 0 OR image % 11 = 0 AS gone, image % 9 <> 0 AND x1 % 2 = 0 AS same FROM refs)
+SELECT id, pos AS source_index, CASE WHEN gone AND linked THEN 'unresolved' WHEN gone THEN 'removed' WHEN linked AND same THEN 'kept' WHEN linked THEN 'revised' ELSE 'unresolved' END AS outcome,
+  CASE WHEN linked THEN CAST(pos AS VARCHAR) ELSE '' END AS targets FROM s""",
     "mask_union": MASK_UNION,
     "mask_coverage": MASK_COVERAGE,
     "windowed_coverage": MASK_COVERAGE,
