@@ -96,8 +96,12 @@ def projected_categories(annotations: DataFrame, keep: dict[int, int | None]) ->
 
 
 def metric_summary(spark: SparkSession, path: str, target: str) -> dict:
-    """The last defined value of every column of a metrics file, and the epoch of the last row that has the target."""
-    t = spark.read.csv(path, header=True).withColumn("_row", F.monotonically_increasing_id())
+    """The last defined value of every column of a metrics file, and the epoch of the last row that has the target.
+
+    Rows are in order of their place in the file: of the block that a task reads, and there of their number, however blocks are dealt to tasks.
+    """
+    t = spark.read.csv(path, header=True)
+    t = t.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("_row"))
     names = [c for c in t.columns if c != "_row"]
     if target not in names:
         raise Refused(f"no column {target}")

@@ -364,3 +364,17 @@ def test_dense_ids_over_all(spark):
     t = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("id")).repartition(7)
     got = sorted((r["id"], r["number"]) for r in selection.dense_ids(t, ["id"]).collect())
     assert got == [(i, i + 1) for i in range(1000)]
+
+
+def test_metrics_of_many_blocks_keep_their_order(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("epoch,loss,map\n" + "".join(f"{i},{i / 7:.6f},{'' if i > 4990 else i / 9}\n" for i in range(5000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        assert spark.read.csv(str(tmp_path / "m.csv"), header=True).rdd.getNumPartitions() > 10
+        got = documents.metric_summary(spark, str(tmp_path / "m.csv"), "map")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {"epoch": 4990.0, "values": {"epoch": 4999.0, "loss": round(4999 / 7, 6), "map": 4990 / 9}}
