@@ -49,7 +49,7 @@ DRAWN = r"(?=(?:[A-Za-z0-9+/_-]*?[0-9][A-Za-z+]){2})(?=[A-Z0-9+/_-]*[a-z])(?=[a-
 OWNED = [
     Kind("prefixed", rf"(?<![A-Za-z0-9_-])(?:gh[pousr]_|github_pat_|xox[abprs]-|sk-|sk_live_|glpat-|AIza)(?=[A-Za-z0-9_-]*[A-Za-z0-9]{{10}}){DRAWN}[A-Za-z0-9_-]{{16,}}", 0, 20),
     Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 24),
-    Kind("mixed", rf"(?<![A-Za-z0-9+/_.:@-])(?=[A-Za-z0-9+])(?!(?:[A-Za-z0-9+_-]*/){{2}})(?!(?:[A-Za-z0-9+/]*[_-]){{3}}){DRAWN}[A-Za-z0-9+/_-]{{24,}}(?!\.[A-Za-z])", 0, 24),
+    Kind("mixed", rf"(?<![A-Za-z0-9+/_.:@-])(?=[A-Za-z0-9+][A-Za-z0-9+/_-]{{23}})(?!(?:[A-Za-z0-9+_-]*/){{2}})(?!(?:[A-Za-z0-9+/]*[_-]){{3}}){DRAWN}[A-Za-z0-9+/_-]{{24,}}(?!\.[A-Za-z])", 0, 24),
 ]
 #: Owners, or repositories, from which on a candidate counts as a copied example.
 COPIED_BY, COPIED_IN = 2, 4
