@@ -270,7 +270,8 @@ def compared_apart(kept: DataFrame, how: Passages) -> DataFrame:
     window = F.xxhash64("k", F.expr("substring(before, 1, 4 * k)"), F.expr(f"substring(after, 1, 4 * ({how.reach} - k))"))
     rows = rows.select("gram", window.alias("window"), "rid", "at", "k")
     shared = rows.groupBy("gram", "window").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y").select("gram", "window")
-    hits = rows.join(staged(shared, "windows"), ["gram", "window"]).select("rid", F.explode(F.transform("at", lambda p: (p - F.col("k")).cast("int"))).alias("start"))
+    # Rows times windows would pass for as small as their stored table and be broadcast.
+    hits = rows.hint("merge").join(staged(shared, "windows"), ["gram", "window"]).select("rid", F.explode(F.transform("at", lambda p: (p - F.col("k")).cast("int"))).alias("start"))
     return hits.select("rid", "start", (F.col("start") + how.least).cast("int").alias("stop"))
 
 
@@ -299,7 +300,7 @@ def repeated_passages(docs: DataFrame, how: Passages = Passages()) -> DataFrame:
         rows = rows.where(long_enough).groupBy("doc_id", "rid").agg(F.first("text").alias("text"))
 
     def kept(large: bool) -> DataFrame:
-        wanted = grams.join(shared.where(F.col("large") == large), "gram").groupBy("rid", "_id").agg(F.collect_list("gram").alias("grams"))
+        wanted = grams.hint("merge").join(shared.where(F.col("large") == large), "gram").groupBy("rid", "_id").agg(F.collect_list("gram").alias("grams"))
         wanted = wanted.withColumnRenamed("rid", "_rid")
         return suffixes(rows.join(wanted, (rows["rid"] == wanted["_rid"]) & rows["doc_id"].eqNullSafe(wanted["_id"])), how)
 

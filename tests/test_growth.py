@@ -4,6 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from girder.llm import passages
 from girder.operators import similarity
 from girder.plans import views
 from girder.shared import staged
@@ -43,3 +44,12 @@ def test_fingerprints_count_words_and_make_no_row_of_one(spark, tmp_path):
             grid = counts(*[t for j, t in rows if j == i])
             want.append((i, hashlib.sha256(text.encode()).hexdigest(), grid, sum(1 << k for k in range(63) if grid[k + 1] > grid[k])))
     assert got == sorted(want)
+
+
+def test_windows_of_large_buckets_are_not_broadcast(spark):
+    how = passages.Passages()
+    words = lambda *k: F.unhex(F.repeat(F.sha2(F.concat_ws("-", *k), 256), 5)).substr(1, 4 * how.reach)
+    kept = spark.range(400).select(F.lit(1).cast("long").alias("gram"), words(F.expr("id div 2")).alias("after"), words(F.expr("id div 2"), F.lit("b")).alias("before"), F.col("id").cast("string").cast("binary").alias("rid"), F.array(F.lit(40)).alias("at"))
+    found = passages.compared_apart(staged(kept, "kept"), how)
+    assert "SortMergeJoin [gram" in plan_of(found)
+    assert found.select("rid").distinct().count() == 400 and found.count() == 400 * (how.reach + 1)
