@@ -1,9 +1,10 @@
 """Masks as tables of runs (AG-06, AG-20, PRJ-17 to 19, PRJ-21).
 
 A mask is rows (its key, start, stop): half-open intervals of pixels numbered column by column, as in run-length masks. Unions, intersections and areas
-come from one sweep over events: a run adds one to its side's depth at its start and takes one at its stop. Events of a place are summed before they are
-shuffled, so masks that lie on each other cost little; runs are cut at multiples of ``BLOCK`` pixels, so a giant image is
-many tasks' work, and what a cut has split is joined by a second sweep over the runs at the cuts alone. No pixel is ever a row or a bit.
+come from one sweep over events: a run adds one to its side's depth at its start and takes one at its stop. A row may stand for ``times`` runs, each ``step`` pixels
+after the one before, so a box is one row wherever rows are shuffled and sorted; its runs are made in the sweep, batch by batch, and are never rows of Spark.
+Runs are cut at multiples of ``BLOCK`` pixels, so a giant image is many tasks' work, and what a cut has split is joined by a second sweep over the
+runs at the cuts alone. No pixel is ever a row or a bit.
 """
 
 from __future__ import annotations
@@ -20,17 +21,27 @@ BLOCK = 1 << 20
 
 
 def box_runs(table: DataFrame, by: list[str], height: Column, box: str = "box") -> DataFrame:
-    """by, start, stop: a run for every column of every box, whose corners are whole; boxes without area have none."""
+    """by, start, stop, step, times: a row for every box, a run for each of its columns; corners are whole, and boxes without area have none."""
     b = F.col(box)
     sides = table.select(*by, height.cast("long").alias("_h"), b["y1"].cast("long").alias("_y1"), b["y2"].cast("long").alias("_y2"), b["x1"].cast("long").alias("_x1"), b["x2"].cast("long").alias("_x2")).where("_x1 < _x2 and _y1 < _y2")
     # A box as tall as the image is one run.
-    tall = F.when((F.col("_y1") == 0) & (F.col("_y2") == F.col("_h")), F.array(F.struct((F.col("_x1") * F.col("_h")).alias("start"), (F.col("_x2") * F.col("_h")).alias("stop"))))
-    each = F.transform(F.sequence("_x1", F.col("_x2") - 1), lambda x: F.struct((x * F.col("_h") + F.col("_y1")).alias("start"), (x * F.col("_h") + F.col("_y2")).alias("stop")))
-    return sides.select(*by, F.inline(F.coalesce(tall, each)))
+    tall = (F.col("_y1") == 0) & (F.col("_y2") == F.col("_h"))
+    last = F.when(tall, F.col("_x2") - 1).otherwise(F.col("_x1"))
+    return sides.select(*by, (F.col("_x1") * F.col("_h") + F.col("_y1")).alias("start"), (last * F.col("_h") + F.col("_y2")).alias("stop"), F.when(tall, 0).otherwise(F.col("_h")).cast("long").alias("step"), F.when(tall, 1).otherwise(F.col("_x2") - F.col("_x1")).cast("long").alias("times"))
 
 
-def length_runs(masks: DataFrame, by: list[str], lengths: str = "runs") -> DataFrame:
-    """by, start, stop of masks given by run lengths, the first run empty."""
+def strided(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which runs begin a chain of equally long and equally distant runs of one row, how far apart those are, and how many."""
+    apart = np.diff(start)
+    link = (row[1:] == row[:-1]) & (np.diff(stop) == apart)
+    link[1:] &= ~(link[:-1] & (apart[1:] != apart[:-1]))
+    first = np.flatnonzero(np.r_[True, ~link][: len(start)])
+    times = np.diff(np.r_[first, len(start)])
+    return first, np.where(times > 1, np.r_[apart, 0][first], 0) if len(first) else times, times
+
+
+def length_runs(masks: DataFrame, by: list[str], lengths: str = "runs", chains: bool = False) -> DataFrame:
+    """by, start, stop of masks given by run lengths, the first run empty; with chains, rows of several runs each: by, start, stop, step, times."""
     kinds = dict(masks.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,10 +55,15 @@ def length_runs(masks: DataFrame, by: list[str], lengths: str = "runs") -> DataF
             odd = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) % 2 == 1
             start, stop = np.r_[0, ends][:-1][odd] - before[row[odd]], ends[odd] - before[row[odd]]
             full = start < stop
-            out = keys.take(pa.array(row[odd][full]))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(start[full]), pa.array(stop[full])], [*by, "start", "stop"])
+            row, start, stop = row[odd][full], start[full], stop[full]
+            more = []
+            if chains:
+                first, step, times = strided(row, start, stop)
+                row, start, stop, more = row[first], start[first], stop[first], [pa.array(step), pa.array(times)]
+            out = keys.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(start), pa.array(stop), *more], [*by, "start", "stop", "step", "times"][: len(by) + 2 + len(more)])
 
-    return masks.select(*by, lengths).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", start long, stop long")
+    return masks.select(*by, lengths).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", start long, stop long" + (", step long, times long" if chains else ""))
 
 
 def run_lengths(runs: DataFrame, masks: DataFrame, by: list[str], pixels: str = "pixels") -> DataFrame:
@@ -64,32 +80,139 @@ def run_lengths(runs: DataFrame, masks: DataFrame, by: list[str], pixels: str =
     return t.select(*by, F.when(F.col("_all") == 0, F.array().cast("array<bigint>")).otherwise(cut).alias("runs"))
 
 
+CHAIN = ["step", "times"]
+
+
 def placed(runs: DataFrame, height: Column, x: Column, y: Column, canvas_height: Column, canvas_width: Column) -> DataFrame:
-    """Runs of windows (.., start, stop) of a height at an offset as runs of the canvas, cut at its edges; the other columns stay."""
-    keys = [c for c in runs.columns if c not in ("start", "stop")]
+    """Runs of windows (.., start, stop) of a height at an offset as runs of the canvas, cut at its edges; the other columns stay.
+
+    Rows of several runs (step, times) stay such rows where the runs stand side by side in columns of the window.
+    """
+    keys, chains = [c for c in runs.columns if c not in ("start", "stop", *CHAIN)], "times" in runs.columns
     h = height.cast("long")
-    t = runs.withColumns({"_h": h, "_x": x.cast("long"), "_y": y.cast("long"), "_ch": canvas_height.cast("long"), "_cw": canvas_width.cast("long")})
+    t = runs.withColumns({"_h": h, "_x": x.cast("long"), "_y": y.cast("long"), "_ch": canvas_height.cast("long"), "_cw": canvas_width.cast("long"), "_n": F.lit(1).cast("long")})
+    if chains:
+        beside = F.expr("step = _h and start div _h = (stop - 1) div _h")
+        t = t.withColumn("_n", F.when(beside, F.col("times")).otherwise(1)).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - F.col("_n"))))
+        t = t.withColumns({"start": F.col("start") + F.col("_i") * F.col("step"), "stop": F.col("stop") + F.col("_i") * F.col("step")})
     # A run may go through several columns of its window.
     t = t.withColumn("_c", F.explode(F.sequence(F.expr("start div _h"), F.expr("(stop - 1) div _h"))))
     top = F.greatest(F.col("start") - F.col("_c") * F.col("_h"), F.lit(0)) + F.col("_y")
     bottom = F.least(F.col("stop") - F.col("_c") * F.col("_h"), F.col("_h")) + F.col("_y")
-    t = t.withColumns({"_top": F.greatest(top, F.lit(0)), "_bottom": F.least(bottom, F.col("_ch")), "_at": F.col("_c") + F.col("_x")})
-    t = t.where("_top < _bottom and _at >= 0 and _at < _cw")
-    return t.select(*keys, (F.col("_at") * F.col("_ch") + F.col("_top")).alias("start"), (F.col("_at") * F.col("_ch") + F.col("_bottom")).alias("stop"))
+    left = F.col("_c") + F.col("_x")
+    t = t.withColumns({"_top": F.greatest(top, F.lit(0)), "_bottom": F.least(bottom, F.col("_ch")), "_at": F.greatest(left, F.lit(0)), "_end": F.least(left + F.col("_n"), F.col("_cw"))})
+    t = t.where("_top < _bottom and _at < _end")
+    more = [F.col("_ch").alias("step"), (F.col("_end") - F.col("_at")).alias("times")] if chains else []
+    return t.select(*keys, (F.col("_at") * F.col("_ch") + F.col("_top")).alias("start"), (F.col("_at") * F.col("_ch") + F.col("_bottom")).alias("stop"), *more)
+
+
+#: Runs that a task sweeps at a time, besides those of one block.
+AT_ONCE = 1 << 19
+
+
+def expanded(rows: np.ndarray, block: int) -> np.ndarray:
+    """The runs of rows (group, block, start, stop, step, times, sides) that lie in the row's block: group, block, start, stop, 0, 1, sides."""
+    group, at, start, stop, step, times, sides = rows.T
+    low, high, by = at * block, (at + 1) * block, np.maximum(step, 1)
+    first = np.where(times > 1, np.maximum((low - stop) // by + 1, 0), 0)
+    many = np.maximum(np.where(times > 1, np.minimum((high - 1 - start) // by + 1, times), 1) - first, 0)
+    i = np.repeat(np.arange(len(rows)), many)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + first[i]
+    out = rows[i]
+    out[:, 2], out[:, 3] = np.maximum(start[i] + k * step[i], low[i]), np.minimum(stop[i] + k * step[i], high[i])
+    out[:, 4], out[:, 5] = 0, 1
+    return out[out[:, 2] < out[:, 3]]
+
+
+def swept(rows: np.ndarray, block: int, sides: int) -> np.ndarray:
+    """The pieces of runs as ``expanded`` has them, in which the same sides lie, those that touch and are alike made one."""
+    n = len(rows)
+    if not n:
+        return rows
+    place = np.concatenate([rows[:, 2], rows[:, 3]]) - np.tile(rows[:, 1], 2) * block + np.tile(rows[:, 0], 2) * (block + 1)
+    order = np.argsort(place)
+    place, row = place[order], order % n
+    step = np.where(order < n, 1, -1)
+    last = np.r_[place[1:] != place[:-1], True]
+    depth = [np.cumsum(step * ((rows[row, 6] >> k) & 1))[last] > 0 for k in range(sides)]
+    inside = sum(d.astype(np.int64) << k for k, d in enumerate(depth))
+    # Every group begins and ends with no side, so what touches is of one group.
+    fresh = np.r_[True, inside[1:] != inside[:-1]]
+    place, row, inside = place[last][fresh], row[last][fresh], inside[fresh]
+    begins = np.flatnonzero(inside[:-1])
+    out = rows[row[begins]]
+    shift = out[:, 1] * block - out[:, 0] * (block + 1)
+    out[:, 2], out[:, 3], out[:, 6] = place[begins] + shift, place[begins + 1] + shift, inside[begins]
+    return out
+
+
+def sweep(runs: DataFrame, by: list[str], sides: dict[str, Column], sums: bool = False) -> DataFrame:
+    """by, _block, start, stop, _sides (bits) of ``segments``; with sums, by and the pixels of the first side, the second and both in a block.
+
+    One shuffle of the rows as they are. A task holds a batch, and of one block what its runs so far have united to.
+    """
+    if "times" not in runs.columns:
+        runs = runs.withColumns({"step": F.lit(0).cast("long"), "times": F.lit(1).cast("long")})
+    mark = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(sides.values())), F.lit(0))
+    last = F.expr(f"(stop - 1 + (times - 1) * step) div {BLOCK}")
+    t = runs.where("start < stop").select(*by, F.explode(F.sequence(F.expr(f"start div {BLOCK}"), last)).alias("_block"), *[F.col(c).cast("long").alias(c) for c in ("start", "stop", *CHAIN)], mark.cast("long").alias("_sides"))
+    key, block, at_once, many = [*by, "_block"], BLOCK, AT_ONCE, len(sides)
+    t = t.repartition(*key).sortWithinPartitions(*key)
+    names = ["_one", "_two", "_both"] if sums else ["_block", "start", "stop", "_sides"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_key, held_names = np.zeros((0, 7), np.int64), None, None
+
+        def results(pieces: np.ndarray, keys: pa.RecordBatch) -> pa.RecordBatch:
+            if sums:
+                groups, starts = np.unique(pieces[:, 0], return_index=True)
+                wide = pieces[:, 3] - pieces[:, 2]
+                columns = [np.add.reduceat(np.where(pieces[:, 6] & k == k, wide, 0), starts) for k in (1, 2, 3)] if len(groups) else [groups] * 3
+            else:
+                groups, columns = pieces[:, 0], [pieces[:, k] for k in (1, 2, 3, 6)]
+            return pa.RecordBatch.from_arrays([*keys.take(pa.array(groups)).columns, *[pa.array(c) for c in columns]], [*by, *names])
+
+        for batch in batches:
+            cost = np.cumsum(batch.column(len(by) + 4).to_numpy())
+            cuts = np.unique(np.r_[np.searchsorted(cost, np.arange(0, cost[-1] if len(cost) else 0, at_once)), batch.num_rows])
+            for low, high in zip(np.r_[0, cuts], cuts, strict=False):
+                part = batch.slice(low, high - low)
+                if not part.num_rows:
+                    continue
+                fresh = np.zeros(part.num_rows, bool)
+                for c in part.columns[: len(key)]:
+                    code = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                    fresh[1:] |= code[1:] != code[:-1]
+                # Group 0 is that of the rows before.
+                first_key = [c[0].as_py() for c in part.columns[: len(key)]]
+                group = np.cumsum(fresh) + (first_key != held_key)
+                numbers = [c.to_numpy() for c in part.columns[len(by) :]]
+                rows = np.concatenate([held, np.stack([group, *numbers], axis=1)])
+                keys = part.select(by)
+                firsts = keys.take(pa.array(np.flatnonzero(np.r_[True, fresh[1:]])))
+                if held_names is not None and first_key != held_key:
+                    firsts = pa.Table.from_batches([held_names, firsts]).combine_chunks().to_batches()[0]
+                elif held_names is None:
+                    rows[:, 0] -= 1
+                    group = group - 1
+                pieces = swept(expanded(rows, block), block, many)
+                open_ = pieces[:, 0] == group[-1]
+                if (~open_).any():
+                    yield results(pieces[~open_], firsts)
+                held = pieces[open_]
+                held[:, 0] = 0
+                held_key, held_names = [c[-1].as_py() for c in part.columns[: len(key)]], firsts.slice(int(group[-1]), 1)
+        if len(held):
+            yield results(held, held_names)
+
+    kinds = dict(t.dtypes)
+    return t.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + "".join(f", {c} long" for c in names))
 
 
 def segments(runs: DataFrame, by: list[str], sides: dict[str, Column]) -> DataFrame:
-    """by, _block, start, stop and a boolean for each side: the pieces between two events in which some side lies; sides say which runs are theirs."""
-    first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(stop - 1) div {BLOCK}")
-    flags = [F.when(c, 1).otherwise(0).alias(f"_s{i}") for i, c in enumerate(sides.values())]
-    t = runs.where("start < stop").select(*by, "start", "stop", *flags, F.explode(F.sequence(first, last)).alias("_block"))
-    cut = F.array(*[F.struct(at.alias("at"), F.lit(step).alias("step")) for at, step in ((F.greatest("start", F.col("_block") * BLOCK), 1), (F.least("stop", (F.col("_block") + 1) * BLOCK), -1))])
-    events = t.select(*by, "_block", *[f"_s{i}" for i in range(len(sides))], F.inline(cut))
-    events = events.groupBy(*by, "_block", "at").agg(*[F.sum(F.col(f"_s{i}") * F.col("step")).alias(f"_s{i}") for i in range(len(sides))])
-    line = Window.partitionBy(*by, "_block").orderBy("at")
-    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = events.select(*by, "_block", F.col("at").alias("start"), F.lead("at").over(line).alias("stop"), *[(F.sum(f"_s{i}").over(upto) > 0).alias(c) for i, c in enumerate(sides)])
-    return out.where(" or ".join(f"`{c}`" for c in sides))
+    """by, _block, start, stop and a boolean for each side: the pieces of a block in which the same sides lie; sides say which runs are theirs."""
+    t = sweep(runs, by, sides)
+    return t.select(*by, "_block", "start", "stop", *[(F.col("_sides").bitwiseAND(1 << i) != 0).alias(c) for i, c in enumerate(sides)])
 
 
 def joined(pieces: DataFrame, by: list[str]) -> DataFrame:
@@ -101,10 +224,10 @@ def joined(pieces: DataFrame, by: list[str]) -> DataFrame:
 
 
 def whole_runs(pieces: DataFrame, by: list[str]) -> DataFrame:
-    """by, start, stop of pieces (by, _block, start, stop): joined in their blocks, then those that end at a cut with each other."""
-    inside = joined(pieces.select(*by, "_block", "start", "stop"), [*by, "_block"])
-    at_cut = (F.col("start") % BLOCK == 0) | (F.col("stop") % BLOCK == 0)
-    return inside.where(~at_cut).select(*by, "start", "stop").unionByName(joined(inside.where(at_cut).select(*by, "start", "stop"), by))
+    """by, start, stop of pieces (by, _block, start, stop) that touch no other in their block: those that end at a cut are joined with each other."""
+    at_cut = ((F.col("start") > 0) & (F.col("start") % BLOCK == 0)) | (F.col("stop") % BLOCK == 0)
+    own = pieces.select(*by, "start", "stop")
+    return own.where(~at_cut).unionByName(joined(own.where(at_cut), by))
 
 
 def united(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -118,16 +241,15 @@ def intersected(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 
 def both_sides(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    one, two = (t.select(*by, "start", "stop", F.lit(k).alias("_side")) for k, t in enumerate((a, b)))
+    chain = lambda t: [(F.col(c) if c in t.columns else F.lit(k)).cast("long").alias(c) for k, c in enumerate(CHAIN)]
+    one, two = (t.select(*by, "start", "stop", *chain(t), F.lit(k).alias("_side")) for k, t in enumerate((a, b)))
     return one.unionByName(two)
 
 
 def coverage(references: DataFrame, proposals: DataFrame, by: list[str]) -> DataFrame:
     """by, reference_pixels, proposal_pixels, shared_pixels, expected, signalled of two tables of runs, by one sweep (AG-06 on masks)."""
-    t = segments(both_sides(references, proposals, by), by, {"_a": F.col("_side") == 0, "_b": F.col("_side") == 1})
-    wide = lambda c: F.sum(F.when(c, F.col("stop") - F.col("start")).otherwise(F.lit(0)))
-    a, b = F.col("_a"), F.col("_b")
-    sums = t.groupBy(*by).agg(wide(a).alias("reference_pixels"), wide(b).alias("proposal_pixels"), wide(a & b).alias("shared_pixels"))
+    t = sweep(both_sides(references, proposals, by), by, {"_a": F.col("_side") == 0, "_b": F.col("_side") == 1}, sums=True)
+    sums = t.groupBy(*by).agg(F.sum("_one").alias("reference_pixels"), F.sum("_two").alias("proposal_pixels"), F.sum("_both").alias("shared_pixels"))
     return sums.withColumns({"expected": F.col("reference_pixels") > 0, "signalled": F.col("proposal_pixels") > 0})
 
 

@@ -60,12 +60,12 @@ def reference_runs(files: DataFrame, records: DataFrame) -> DataFrame:
     return runs.length_runs(read.join(records.select("id"), "id", "left_semi"), ["id"])
 
 
-def proposal_runs(proposals: DataFrame, width: Column, height: Column) -> DataFrame:
+def proposal_runs(proposals: DataFrame, width: Column, height: Column, chains: bool = False) -> DataFrame:
     """The runs of proposals (.., runs) whose masks must cover their image or window exactly; the other columns stay."""
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x)
     bad = proposals.where(~F.coalesce((whole == width * height) & F.forall("runs", lambda x: x >= 0), F.lit(False)))
     refuse(bad.select(*[c for c in proposals.columns if c != "runs"]), "a mask does not match its window")
-    return runs.length_runs(proposals, [c for c in proposals.columns if c != "runs"])
+    return runs.length_runs(proposals, [c for c in proposals.columns if c != "runs"], chains=chains)
 
 
 def external_evaluation(records: DataFrame, references: DataFrame, proposals: DataFrame, class_: str, shown: int) -> tuple[DataFrame, DataFrame]:
@@ -84,16 +84,21 @@ def external_evaluation(records: DataFrame, references: DataFrame, proposals: Da
     return details.drop("class"), coverage.coverage_totals(details, details.count())
 
 
-def windowed_zones(windows: DataFrame, shown: int) -> DataFrame:
-    """image, class, start, stop: the zone that the windows' proposals cover in the whole photo.
+def windowed_runs(windows: DataFrame, shown: int) -> DataFrame:
+    """image, class, start, stop, step, times: the runs of the windows' proposals in the whole photo.
 
     windows: proposals (image, image_width, image_height, x, y, width, height, class, score, runs) in the place of their window. A proposal below the threshold
-    is left out before the union, as a union has no score of its own.
+    is left out before any union, as a union has no score of its own.
     """
     kept = windows.where(F.col("score") >= shown).drop("score", "box")
-    local = proposal_runs(kept, F.col("width"), F.col("height"))
+    local = proposal_runs(kept, F.col("width"), F.col("height"), chains=True)
     whole = runs.placed(local, F.col("height"), F.col("x"), F.col("y"), F.col("image_height"), F.col("image_width"))
-    return runs.united(whole.select("image", "class", "start", "stop"), ["image", "class"])
+    return whole.select("image", "class", "start", "stop", *runs.CHAIN)
+
+
+def windowed_zones(windows: DataFrame, shown: int) -> DataFrame:
+    """image, class, start, stop: the zone that the windows' proposals cover in the whole photo."""
+    return runs.united(windowed_runs(windows, shown), ["image", "class"])
 
 
 def windowed_evaluation(references: DataFrame, windows: DataFrame, n_images: int, shown: int, overlap: float = 0.3) -> dict[str, DataFrame]:

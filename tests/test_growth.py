@@ -2,10 +2,12 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from girder.functions import masks
 from girder.llm import passages
-from girder.operators import similarity
+from girder.operators import runs, similarity
 from girder.plans import views
 from girder.shared import staged
 
@@ -53,3 +55,36 @@ def test_windows_of_large_buckets_are_not_broadcast(spark):
     found = passages.compared_apart(staged(kept, "kept"), how)
     assert "SortMergeJoin [gram" in plan_of(found)
     assert found.select("rid").distinct().count() == 400 and found.count() == 400 * (how.reach + 1)
+
+
+def test_boxes_are_one_row_until_they_are_swept(spark, monkeypatch):
+    """Boxes and windows against bitmaps, with batches and blocks that cut groups, and no row for a column of a box."""
+    monkeypatch.setattr(runs, "AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    high, wide, key = 12, 15, ["image", "class"]
+    boxes = [(int(i), str(c), int(s), (int(x), int(y), int(x + w), int(y + h))) for i, c, s, x, y, w, h in zip(*[rng.integers(0, n, 400) for n in (5, 3, 2, 9, 7, 7, 6)], strict=True)]
+    t = spark.createDataFrame(boxes, "image long, class string, side int, box struct<x1:int,y1:int,x2:int,y2:int>")
+    want = {}
+    for i, c, s, (x1, y1, x2, y2) in boxes:
+        want.setdefault((i, c), np.zeros((2, high, wide), bool))[s, y1:y2, x1:x2] = True
+    one, two = (runs.box_runs(t.where(F.col("side") == s), key, F.lit(high)) for s in (0, 1))
+    assert "Generate" not in plan_of(one)
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(runs, "BLOCK", block)
+        got = {(r["image"], r["class"]): (r["reference_pixels"], r["proposal_pixels"], r["shared_pixels"]) for r in runs.coverage(one, two, key).collect()}
+        assert got == {k: (a.sum(), b.sum(), (a & b).sum()) for k, (a, b) in want.items() if (a | b).any()}
+        flat = {k: np.zeros(high * wide, int) for k in want}
+        for r in runs.united(one.unionByName(two), key).collect():
+            flat[r["image"], r["class"]][r["start"] : r["stop"]] += 1
+        assert all((flat[k].reshape((high, wide), order="F") == (a | b)).all() for k, (a, b) in want.items())
+
+
+def test_chains_of_runs_and_their_windows(spark):
+    rng = np.random.default_rng(6)
+    masks_ = {0: np.zeros((5, 4), bool), 1: np.pad(np.ones((2, 3), bool), ((1, 2), (0, 1))), **{k: rng.random((5, 4)) < 0.5 for k in range(2, 9)}}
+    rows = spark.createDataFrame([(k, k - 3, 2 - k, masks.encode(m)) for k, m in masks_.items()], "image long, x long, y long, runs array<long>")
+    chains = runs.length_runs(rows, ["image", "x", "y"], chains=True)
+    assert [(r["start"], r["stop"], r["step"], r["times"]) for r in chains.where("image = 1").collect()] == [(1, 3, 5, 3)]
+    plain = runs.length_runs(rows, ["image", "x", "y"])
+    on = lambda t: sorted(map(tuple, runs.united(runs.placed(t, F.lit(5), F.col("x"), F.col("y"), F.lit(6), F.lit(7)), ["image"]).collect()))
+    assert on(chains) == on(plain) != []
