@@ -39,10 +39,13 @@ def sweep(matches: DataFrame, references: DataFrame, thresholds: list[int]) -> D
     added to the thresholds at or under its score and aggregated before any shuffle.
     """
     grid = F.array(*[F.lit(t).cast("long") for t in sorted(thresholds)])
-    at = matches.select("class", "image", "reason", F.explode(F.filter(grid, lambda t: t <= F.col("score"))).alias("threshold"))
+    under = lambda score: F.explode(F.filter(grid, lambda t: t <= F.col(score))).alias("threshold")
     hit = F.col("reason") == "matched"
-    one = at.groupBy("class", "threshold", "image").agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fp"))
-    found = one.groupBy("class", "threshold").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.count_if(F.col("fp") > 0).alias("images_with_false_proposals"))
+    counts = matches.select("class", "reason", under("score")).groupBy("class", "threshold").agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fp"))
+    # An image has false proposals up to the score of its highest one, so it is one row and not one a threshold.
+    worst = matches.where(~hit).groupBy("class", "image").agg(F.max("score").alias("score"))
+    images = worst.select("class", under("score")).groupBy("class", "threshold").agg(F.count(F.lit(1)).alias("images_with_false_proposals"))
+    found = counts.join(images, ["class", "threshold"], "left")
     had = references.groupBy("class").agg(F.count(F.lit(1)).alias("refs")).withColumn("threshold", F.explode(grid))
     both = had.join(found, ["class", "threshold"], "full_outer").na.fill(0)
     return with_ratios(both.select("class", "threshold", "tp", "fp", (F.col("refs") - F.col("tp")).alias("fn"), "images_with_false_proposals"))

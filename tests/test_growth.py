@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from girder.functions import masks
 from girder.llm import passages
-from girder.operators import runs, similarity
+from girder.operators import confusion, runs, similarity
 from girder.plans import views
 from girder.shared import staged
 
@@ -88,3 +88,19 @@ def test_chains_of_runs_and_their_windows(spark):
     plain = runs.length_runs(rows, ["image", "x", "y"])
     on = lambda t: sorted(map(tuple, runs.united(runs.placed(t, F.lit(5), F.col("x"), F.col("y"), F.lit(6), F.lit(7)), ["image"]).collect()))
     assert on(chains) == on(plain) != []
+
+
+def test_a_sweep_makes_no_row_for_image_and_threshold(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), str(c), int(s), "matched" if h else "duplicate") for i, c, s, h in zip(rng.integers(0, 40, 300), rng.integers(0, 3, 300), rng.integers(0, 1000, 300), rng.random(300) < 0.5, strict=True)]
+    m = spark.createDataFrame(rows, "image long, class string, score long, reason string")
+    r = spark.createDataFrame([(i, str(c)) for i in range(60) for c in range(4)], "image long, class string")
+    swept = confusion.sweep(m, r, [50, 500, 950])
+    shuffled = [x for x in plan_of(swept).splitlines() if "hashpartitioning" in x]
+    assert shuffled and not any("image" in x and "threshold" in x for x in shuffled)
+    got = {(x["class"], x["threshold"]): (x["tp"], x["fp"], x["fn"], x["images_with_false_proposals"]) for x in swept.collect()}
+    for c in map(str, range(4)):
+        for t in (50, 500, 950):
+            own = [x for x in rows if x[1] == c and x[2] >= t]
+            tp, bad = sum(x[3] == "matched" for x in own), [x for x in own if x[3] != "matched"]
+            assert got[c, t] == (tp, len(bad), 60 - tp, len({x[0] for x in bad}))
