@@ -104,3 +104,12 @@ def test_a_sweep_makes_no_row_for_image_and_threshold(spark):
             own = [x for x in rows if x[1] == c and x[2] >= t]
             tp, bad = sum(x[3] == "matched" for x in own), [x for x in own if x[3] != "matched"]
             assert got[c, t] == (tp, len(bad), 60 - tp, len({x[0] for x in bad}))
+
+
+def test_lines_of_boxes_are_shuffled_once_and_narrow(spark):
+    both = views.references(spark, "/root/testdata/sf0.001").join(views.predictions(spark, "/root/testdata/sf0.001").withColumnRenamed("box", "other"), "image")
+    assert both.count() > 0
+    both.collect()
+    plan = plan_of(both).split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(l_orderkey" in x and "box" in x]
