@@ -113,3 +113,29 @@ def test_lines_of_boxes_are_shuffled_once_and_narrow(spark):
     plan = plan_of(both).split("Initial Plan")[0]
     assert "ReusedExchange" in plan
     assert not [x for x in plan.splitlines() if "hashpartitioning(l_orderkey" in x and "box" in x]
+
+
+def test_similar_contents_meet_by_sums_too(spark):
+    """Against all pairs, at sums near and beyond the limit, with a join that tells sums apart and few rows a content."""
+    rng = np.random.default_rng(8)
+    grids = [rng.integers(0, 30, 64) for _ in range(30)]
+    for k in range(30):
+        near = grids[k].copy()
+        near[rng.integers(0, 64, 1 + k % 3)] += (k * 7) % 90
+        grids.append(near[similarity.turned(8)[k % 8]])
+    t = spark.createDataFrame([(i, f"d{i}", [int(x) for x in g]) for i, g in enumerate(grids)], "id long, digest string, grid array<long>")
+    pairs, _ = similarity.similar_classes(staged(t, "t"), 6, 1.0)
+    joins = [x for x in plan_of(pairs).splitlines() if "SortMergeJoin [chunk" in x]
+    assert joins and all("range" in x for x in joins)
+    bits = lambda g: sum(1 << i for i in range(63) if g[i + 1] > g[i])
+    want = {}
+    for a, x in enumerate(grids):
+        for b, y in enumerate(grids):
+            for k, way in enumerate(similarity.turned(8)):
+                apart, error = (bits(x) ^ bits(y[way])).bit_count(), np.abs(x - y[way]).sum() / 64
+                if a != b and apart <= 6 and error <= 1.0:
+                    want[a, b] = min(want.get((a, b), (9.0, 0, 0)), (error, apart, k))
+    assert len(want) > 10
+    assert {(r["a"], r["b"]): (r["error"], r["distance"], r["view"]) for r in pairs.collect()} == want
+    keys = similarity.with_keys(spark.range(1).select("id", F.lit(5).cast("long").alias("hash")), "hash", 4, 63, around=False)
+    assert keys.count() == 4
