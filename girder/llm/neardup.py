@@ -210,17 +210,31 @@ def alike(sizes: Column, apart: Column, how: NearDup) -> Column:
 def linked_by_differences(rows: DataFrame, how: NearDup) -> DataFrame:
     """(a, b), once: linked pairs of rows of ``rarest`` with their ``component`` and the centre's, ``centre``, of different components.
 
-    Members outside the centre's component are held against all that share a rare token. The test is exact: the sets differ in
+    Members outside the centre's component are held against all that share a rare token, at the rarest that they share. The test is exact: the sets differ in
     what is a difference of one of them alone.
     """
     side = lambda x: ["hub", "token", *[F.col(c).alias(f"{x}{d}") for c, d in (("node", ""), ("component", "_c"), ("n", "_n"), ("dn", "_dn"), ("tokens", "_t"))]]
     one, two = rows.where("component <> centre").select(*side("a")), rows.select(*side("b"), (F.col("component") == F.col("centre")).alias("in_centre"))
     other = (F.col("a_c") != F.col("b_c")) & (F.col("in_centre") | (F.col("a") < F.col("b")))
-    close = lambda shared: alike(F.col("a_n") + F.col("b_n"), F.col("a_dn") + F.col("b_dn") - 2 * shared, how)
-    hit = other & close(F.least(F.size("a_t"), F.size("b_t"))) & close(F.size(F.array_intersect("a_t", "b_t")))
+    # The rarest token that two linked members share is one of the first of both.
+    hit = other & near_differences(how) & (F.col("token") == F.get(F.array_intersect("a_t", "b_t"), F.lit(0)))
     return one.join(two, ["hub", "token"]).where(hit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def near_differences(how: NearDup) -> Column:
+    """Whether sides a and b of one hub, with their sizes, numbers of differences and shared tokens, are linked."""
+    close = lambda shared: alike(F.col("a_n") + F.col("b_n"), F.col("a_dn") + F.col("b_dn") - 2 * shared, how)
+    return close(F.least(F.size("a_t"), F.size("b_t"))) & close(F.size(F.array_intersect("a_t", "b_t")))
+
+
+def linked_to_first(rows: DataFrame, how: NearDup) -> DataFrame:
+    """(a, b, a_c, b_c): links of rows of ``rarest`` with the first of their hub and token, if that is of another component: a link a row at most."""
+    side = lambda x: [F.col(c).alias(f"{x}{d}") for c, d in (("node", ""), ("component", "_c"), ("n", "_n"), ("dn", "_dn"), ("tokens", "_t"))]
+    first = rows.groupBy("hub", "token").agg(F.min(F.struct("dn", "node", "component", "n", "tokens")).alias("f")).select("hub", "token", "f.*").select("hub", "token", *side("a"))
+    hit = (F.col("a_c") != F.col("b_c")) & near_differences(how)
+    return rows.select("hub", "token", *side("b")).join(first, ["hub", "token"]).where(hit).select("a", "b", "a_c", "b_c").distinct()
+
+
 def across(rows: DataFrame, key: str, how: NearDup) -> DataFrame:
     """(a, b), once: pairs of rows (key, node, component, n, s) under one key whose components differ and that may be linked.
 
@@ -292,7 +306,13 @@ def near_links(docs: DataFrame, classes: DataFrame, how: NearDup) -> tuple[DataF
         kinds = staged(close.unionByName(lost), "kinds")
         common = differing(kinds).join(kinds.select("hub", "node", "component", "centre"), ["hub", "node"])
         rows = rarest(staged(common, "common"), how)
-        links, found = links.unionByName(staged(linked_by_differences(rows, how).unionByName(direct), "links")), True
+        # Near copies of one another are linked through the first of a token, so only what is still apart is held against each other.
+        star = staged(linked_to_first(rows, how), "firsts")
+        names = connected_components(star, "a_c", "b_c")
+        for c in ("component", "centre"):
+            rows = rows.join(names.select(F.col("id").alias(c), F.col("component").alias("_name")), c, "left").withColumn(c, F.coalesce("_name", c)).drop("_name")
+        rest = linked_by_differences(staged(rows, "rows"), how)
+        links, found = links.unionByName(staged(rest.unionByName(direct).unionByName(star.select("a", "b")), "links")), True
     return links, None if found else parts
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_documents import brute_components
 
 from girder.llm import neardup
+from girder.operators.components import connected_components
 
 
 def group(rng, words, copies, most, first):
@@ -48,3 +49,18 @@ def test_null_and_repeated_ids_with_different_texts(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_mark", F.lit("x"))
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted((tuple(r)[:3] for r in neardup.near_duplicates(table).collect()), key=key) == sorted(brute_components(rows, 3, 85), key=key)
+
+
+def test_near_copies_are_linked_through_the_first_of_a_token(spark):
+    """Under one centre, two families of members that are alike among themselves: as many links as rows at most, connecting all that pairs connect."""
+    how = neardup.NearDup()
+    rows = [(0, 40 * f + k + 1, [1000 * f + t for t in range(60) if t != k], 400) for f in range(2) for k in range(40)]
+    t = spark.createDataFrame(rows, "hub long, node long, d array<long>, n int")
+    common = neardup.differing(t.select("hub", "node", "n", "d")).withColumns({"component": F.col("node"), "centre": F.lit(0).cast("long")})
+    rare = neardup.rarest(common, how).localCheckpoint()
+    star = neardup.linked_to_first(rare, how)
+    assert 0 < star.count() <= rare.count()
+    parts = {r["id"]: r["component"] for r in connected_components(star.select("a", "b")).collect()}
+    pairs = neardup.linked_by_differences(rare, how).collect()
+    assert len(pairs) == len(set(map(tuple, pairs))) and pairs
+    assert all(parts[p["a"]] == parts[p["b"]] for p in pairs)
