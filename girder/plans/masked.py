@@ -60,12 +60,19 @@ def reference_runs(files: DataFrame, records: DataFrame) -> DataFrame:
     return runs.length_runs(read.join(records.select("id"), "id", "left_semi"), ["id"])
 
 
-def proposal_runs(proposals: DataFrame, width: Column, height: Column, chains: bool = False) -> DataFrame:
-    """The runs of proposals (.., runs) whose masks must cover their image or window exactly; the other columns stay."""
+def proposal_runs(proposals: DataFrame, width: Column, height: Column, chains: bool = False, first: bool = True) -> DataFrame:
+    """The runs of proposals (.., runs) whose masks must cover their image or window exactly; the other columns stay.
+
+    The masks are all checked first, in a job of their own, or else as they are read, so that what makes them is done once: one that does not match then fails the job.
+    """
+    rule, rest = "a mask does not match its window", [c for c in proposals.columns if c != "runs"]
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x)
-    bad = proposals.where(~F.coalesce((whole == width * height) & F.forall("runs", lambda x: x >= 0), F.lit(False)))
-    refuse(bad.select(*[c for c in proposals.columns if c != "runs"]), "a mask does not match its window")
-    return runs.length_runs(proposals, [c for c in proposals.columns if c != "runs"], chains=chains)
+    good = F.coalesce((whole == width * height) & F.forall("runs", lambda x: x >= 0), F.lit(False))
+    if first:
+        refuse(proposals.where(~good).select(*rest), rule)
+    else:
+        proposals = proposals.withColumn("runs", F.when(good, F.col("runs")).otherwise(F.raise_error(F.concat(F.lit(f"{rule}: "), F.to_json(F.struct(*rest))))))
+    return runs.length_runs(proposals, rest, chains=chains)
 
 
 def external_evaluation(records: DataFrame, references: DataFrame, proposals: DataFrame, class_: str, shown: int) -> tuple[DataFrame, DataFrame]:
@@ -84,14 +91,14 @@ def external_evaluation(records: DataFrame, references: DataFrame, proposals: Da
     return details.drop("class"), coverage.coverage_totals(details, details.count())
 
 
-def windowed_runs(windows: DataFrame, shown: int) -> DataFrame:
+def windowed_runs(windows: DataFrame, shown: int, first: bool = True) -> DataFrame:
     """image, class, start, stop, step, times: the runs of the windows' proposals in the whole photo.
 
     windows: proposals (image, image_width, image_height, x, y, width, height, class, score, runs) in the place of their window. A proposal below the threshold
-    is left out before any union, as a union has no score of its own.
+    is left out before any union, as a union has no score of its own. first: see ``proposal_runs``.
     """
     kept = windows.where(F.col("score") >= shown).drop("score", "box")
-    local = proposal_runs(kept, F.col("width"), F.col("height"), chains=True)
+    local = proposal_runs(kept, F.col("width"), F.col("height"), chains=True, first=first)
     whole = runs.placed(local, F.col("height"), F.col("x"), F.col("y"), F.col("image_height"), F.col("image_width"))
     return whole.select("image", "class", "start", "stop", *runs.CHAIN)
 

@@ -3,12 +3,13 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from girder.functions import masks
 from girder.llm import passages
 from girder.operators import confusion, runs, similarity
-from girder.plans import views
+from girder.plans import catalogue, masked, views
 from girder.shared import staged
 
 
@@ -139,3 +140,20 @@ def test_similar_contents_meet_by_sums_too(spark):
     assert {(r["a"], r["b"]): (r["error"], r["distance"], r["view"]) for r in pairs.collect()} == want
     keys = similarity.with_keys(spark.range(1).select("id", F.lit(5).cast("long").alias("hash")), "hash", 4, 63, around=False)
     assert keys.count() == 4
+
+
+def test_windows_read_the_lines_that_references_read(spark):
+    """One shuffle of lines for both sides and nothing stored; a mask that does not fill its window still fails."""
+    got = catalogue.windowed_coverage(spark, "/root/testdata/sf0.001")
+    assert got.count() > 0
+    plan = plan_of(got)
+    assert plan.count("Scan parquet") == 2 and "lineitem.parquet" in plan and "/girder-" not in plan
+    got.collect()
+    assert "ReusedExchange" in plan_of(got).split("Initial Plan")[0]
+    window = "image long, image_width int, image_height int, x long, y long, width int, height int, class string, score long, runs array<long>"
+    rows = [(1, 9, 9, 0, 0, 2, 2, "A", s, r) for s, r in ((500, [1, 1, 2]), (100, [1]))]
+    assert masked.windowed_runs(spark.createDataFrame(rows, window), 300, first=False).count() == 1
+    for wrong in ([1, 2], [5, -1], None):
+        bad = spark.createDataFrame([*rows, (2, 9, 9, 0, 0, 2, 2, "A", 500, wrong)], window)
+        with pytest.raises(Exception, match="does not match its window"):
+            masked.windowed_runs(bad, 300, first=False).collect()
