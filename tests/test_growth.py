@@ -157,3 +157,37 @@ def test_windows_read_the_lines_that_references_read(spark):
         bad = spark.createDataFrame([*rows, (2, 9, 9, 0, 0, 2, 2, "A", 500, wrong)], window)
         with pytest.raises(Exception, match="does not match its window"):
             masked.windowed_runs(bad, 300, first=False).collect()
+
+
+def test_links_are_no_more_than_rows_under_keys(spark, monkeypatch):
+    """Hashes about a few centres, against all pairs; with keys that are dealt out in pieces, and small and large groups."""
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 1 << 62, 6)
+    hashes = sorted({int(c) ^ sum(1 << b for b in set(map(int, rng.integers(0, 63, k % 4)))) for c in centres for k in range(150)} | {int(x) for x in rng.integers(0, 1 << 62, 200)})
+    order = rng.permutation(len(hashes))
+    t = spark.createDataFrame([(f"p{i:04}", hashes[k]) for i, k in enumerate(order)], "id string, hash long")
+    pairs = {(f"p{i:04}", f"p{j:04}") for i, k in enumerate(order) for j, m in enumerate(order) if i < j and (hashes[k] ^ hashes[m]).bit_count() <= 8}
+    assert len(pairs) > 66 * len(hashes) / 2
+
+    def parts(links):
+        of = {f"p{i:04}": {f"p{i:04}"} for i in range(len(hashes))}
+        for a, b in links:
+            if of[a] is not of[b]:
+                of[a] |= of[b]
+                for x in of[b]:
+                    of[x] = of[a]
+        return {tuple(sorted(x)) for x in of.values()}
+
+    for small, most in ((64, 1 << 16), (8, 1 << 16), (64, 16)):
+        monkeypatch.setattr(similarity, "SMALL", small)
+        monkeypatch.setattr(similarity, "AT_ONCE", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000 if small == 8 else 50)
+        try:
+            links = [tuple(r) for r in similarity.similarity_links(t, 8).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert all(a < b for a, b in links) and parts(links) == parts(pairs)
+    assert "SortMergeJoin [chunk" not in plan_of(similarity.similarity_links(t, 8))
+    dense = spark.range(64).crossJoin(spark.range(64).withColumnRenamed("id", "k")).select((F.col("id") * 64 + F.col("k")).alias("id"), F.expr("shiftleft(id, 3) + shiftleft(k, 33)").alias("hash")).where("bit_count(hash) <= 4")
+    n = dense.count()
+    assert similarity.similarity_links(dense, 8).distinct().count() < n * (n - 1) / 4
