@@ -191,3 +191,21 @@ def test_links_are_no_more_than_rows_under_keys(spark, monkeypatch):
     dense = spark.range(64).crossJoin(spark.range(64).withColumnRenamed("id", "k")).select((F.col("id") * 64 + F.col("k")).alias("id"), F.expr("shiftleft(id, 3) + shiftleft(k, 33)").alias("hash")).where("bit_count(hash) <= 4")
     n = dense.count()
     assert similarity.similarity_links(dense, 8).distinct().count() < n * (n - 1) / 4
+
+
+def test_close_pairs_are_not_shuffled(spark):
+    """Classes of several pieces, and no exchange above the join that finds the pairs."""
+    t = staged(spark.range(300).select("id", F.expr("case when id < 200 then id % 2 else shiftleft(id, 20) end").alias("hash")), "t")
+    found = similarity.close_pairs(t, 3)
+    rows = [(i, i % 2 if i < 200 else i << 20) for i in range(300)]
+    want = {(i, j): (x ^ y).bit_count() for i, x in rows for j, y in rows if i < j and (x ^ y).bit_count() <= 3}
+    assert found.count() == len(want) > 19900 and {(r["left"], r["right"]): r["distance"] for r in found.collect()} == want
+    pieces = similarity.pieces_of(t).select("hash", F.size("ids").alias("n")).collect()
+    assert sum(r["n"] for r in pieces) == 300 and max(r["n"] for r in pieces) < 80 and len(pieces) > 102
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(similarity.close_pairs(t, 3)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, x in enumerate(plan) if "SortMergeJoin [chunk" in x)
+    assert not any("Exchange" in x for x in plan[:at])
