@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.functions.geometry import iou, smaller_overlap, union_box
+from girder.functions.geometry import box, iou, smaller_overlap, union_box
 
 MATCH = "struct<pred_pos:bigint,score:bigint,ref_pos:bigint,reason:string,best_iou:double,matched_iou:double>"
 
@@ -16,18 +16,29 @@ def match_boxes(predictions: DataFrame, references: DataFrame, overlap: float =
     Both tables: (image, class, pos, box), predictions also a long score. In each image and class the
     predictions go by falling score, ties by pos; each takes the free reference of the largest overlap of at least
     ``overlap``, ties by pos. One that finds none is a duplicate if any reference overlaps so much, else insufficient_overlap
-    if any overlaps at all, else no_overlap. A shuffle of each table on (image, class); the boxes of one image are bounded by the corpus rules.
+    if any overlaps at all, else no_overlap. A shuffle of both tables on (image, class); the boxes of one image are bounded by the corpus rules.
     """
-    p = predictions.groupBy("image", "class").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), F.col("pos").cast("long").alias("pos"), F.col("score").cast("long").alias("score"), "box"))).alias("p"))
-    r = references.groupBy("image", "class").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "box"))).alias("r"))
-    both = p.join(r, ["image", "class"], "left").withColumn("r", F.coalesce("r", F.array().cast(r.schema["r"].dataType)))
+    side = lambda t, predicted: t.select("image", "class", F.lit(predicted).alias("predicted"), F.col("pos").cast("long").alias("pos"), (F.col("score") if predicted else F.lit(None)).cast("long").alias("score"), box(*[F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")]).alias("box"))
+    return match_sides(side(predictions, True).unionByName(side(references, False)), overlap)
+
+
+def match_sides(boxes: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """What ``match_boxes`` returns, of predictions and references in one table: (image, class, predicted, pos, score, box).
+
+    Both sides of an image come together in one aggregation, so there is no join, and none of a table that lies by image is shuffled again. An image or class
+    that is null is met by no reference.
+    """
+    predicted, known = F.col("predicted"), F.col("image").isNotNull() & F.col("class").isNotNull()
+    p = F.when(predicted, F.struct((-F.col("score")).cast("long").alias("order"), F.col("pos").cast("long").alias("pos"), "box"))
+    r = F.when(~predicted & known, F.struct(F.col("pos").cast("long").alias("pos"), "box"))
+    both = boxes.groupBy("image", "class").agg(F.array_sort(F.collect_list(p)).alias("p"), F.array_sort(F.collect_list(r)).alias("r"))
 
     def step(done, x):
         overlaps = F.transform("r", lambda y: F.struct(iou(x["box"], y["box"]).alias("iou"), (-y["pos"]).alias("back")))
         free = F.filter(overlaps, lambda o: (o["iou"] >= overlap) & ~F.exists(done, lambda d: d["ref_pos"].eqNullSafe(-o["back"])))
         best, most = F.array_max(free), F.coalesce(F.array_max(F.transform(overlaps, lambda o: o["iou"])), F.lit(0.0))
         reason = F.when(best.isNotNull(), "matched").when(most >= overlap, "duplicate").when(most > 0, "insufficient_overlap").otherwise("no_overlap")
-        one = F.struct(x["pos"].alias("pred_pos"), x["score"].alias("score"), (-best["back"]).alias("ref_pos"), reason.alias("reason"), most.alias("best_iou"), best["iou"].alias("matched_iou"))
+        one = F.struct(x["pos"].alias("pred_pos"), (-x["order"]).alias("score"), (-best["back"]).alias("ref_pos"), reason.alias("reason"), most.alias("best_iou"), best["iou"].alias("matched_iou"))
         return F.concat(done, F.array(one.cast(MATCH)))
 
     folded = F.aggregate("p", F.array().cast(f"array<{MATCH}>"), step)

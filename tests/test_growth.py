@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from girder import shared
 from girder.functions import masks
 from girder.llm import passages
-from girder.operators import confusion, runs, similarity
+from girder.operators import confusion, matching, runs, similarity
 from girder.plans import catalogue, masked, views
 from girder.shared import staged
 
@@ -116,6 +117,16 @@ def test_lines_of_boxes_are_shuffled_once_and_narrow(spark):
     assert not [x for x in plan.splitlines() if "hashpartitioning(l_orderkey" in x and "box" in x]
 
 
+def test_a_task_of_boxes_does_not_grow_with_the_table(spark, monkeypatch):
+    """Ten times the rows a task may have are ten tasks and more, and both sides are matched there, with one shuffle and no join."""
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(shared, "ROWS_A_TASK", lines // 20)
+    sizes = [r["count"] for r in views.boxes(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == lines and max(sizes) < lines // 10
+    plan = plan_of(matching.match_sides(views.sides(spark, "/root/testdata/sf0.001")))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_similar_contents_meet_by_sums_too(spark):
     """Against all pairs, at sums near and beyond the limit, with a join that tells sums apart and few rows a content."""
     rng = np.random.default_rng(8)

@@ -72,6 +72,14 @@ def test_greedy_matching_takes_the_first_best_free_reference(spark):
     assert [r["threshold"] for r in confusion.best_thresholds(confusion.sweep(m, refs, [50, 750, 850])).collect()] == [850]
 
 
+def test_null_images_and_classes_are_met_by_no_reference(spark):
+    data = [(None, "c", 0, 900, (0, 0, 10, 10)), (1, None, 0, 900, (0, 0, 10, 10)), (1, "c", 0, 900, (0, 0, 10, 10))]
+    preds, refs = boxes(spark, data, True), boxes(spark, data, True).drop("score")
+    both = preds.withColumn("predicted", F.lit(True)).unionByName(preds.withColumns({"predicted": F.lit(False), "score": F.lit(None).cast("long")}))
+    for m in (matching.match_boxes(preds, refs), matching.match_sides(both)):
+        assert sorted((r["image"] is None, r["class"] is None, r["score"], r["ref_pos"], r["reason"]) for r in m.collect()) == [(False, False, 900, 0, "matched"), (False, True, 900, None, "no_overlap"), (True, False, 900, None, "no_overlap")]
+
+
 def test_undefined_ratios_are_null(spark):
     r = spark.range(1).select(precision(F.lit(0), F.lit(0)).alias("p"), f1(F.lit(0), F.lit(0), F.lit(3)).alias("f"), f1(F.lit(0), F.lit(1), F.lit(3)).alias("z")).first()
     assert r["p"] is None and r["f"] is None and r["z"] == 0
