@@ -220,3 +220,58 @@ def test_close_pairs_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     at = next(i for i, x in enumerate(plan) if "SortMergeJoin [chunk" in x)
     assert not any("Exchange" in x for x in plan[:at])
+
+
+def test_similar_pairs_are_not_shuffled(spark, monkeypatch):
+    """Against all pairs: short and longer grids, near copies in all views and contents of several pieces, compared in many blocks; no exchange above where pairs are found."""
+    rng = np.random.default_rng(10)
+    grids = [np.bincount(rng.integers(0, 64, n), minlength=64) for n in (*rng.integers(0, 9, 60), *rng.integers(30, 70, 20))]
+    grids += [rng.integers(0, 30, 64) for _ in range(20)]
+    for k in range(40):
+        near = grids[60 + k].copy()
+        near[rng.integers(0, 64, 1 + k % 3)] += (k * 7) % 70
+        grids.append(near[similarity.turned(8)[k % 8]])
+    of = [*range(len(grids)), *[0] * 45, *[97] * 3, 120, 120]
+    ids = [int(x) for x in rng.permutation(len(of))]
+    bits = lambda g: sum(1 << i for i in range(63) if g[i + 1] > g[i])
+    turned = [[g[way] for way in similarity.turned(8)] for g in grids]
+    hashes = [[bits(v) for v in views_] for views_ in turned]
+
+    def best(a, b):
+        found = [(float(np.abs(grids[a] - turned[b][k]).sum()) / 64, (hashes[a][0] ^ hashes[b][k]).bit_count(), k) for k in range(8)]
+        return min((x for x in found if x[0] <= 1.0 and x[1] <= 6), default=None)
+
+    classes = {(a, b): best(a, b) for a in range(len(grids)) for b in range(len(grids)) if a != b}
+    want = set()
+    for i, a in zip(ids, of, strict=True):
+        for j, b in zip(ids, of, strict=True):
+            if i < j and a == b:
+                want.add((i, j, "identical", 0, 0, 0.0))
+            elif i < j and (m := classes[a, b]):
+                want.add((i, j, "similar", m[2], m[1], m[0]))
+    assert len({x for x in want if x[2] == "similar"}) > 2000 and {x[3] for x in want} == set(range(8))
+    for factor in (1.0, 0.5):
+        # Halves are fractions that all have exact sums.
+        rows = [(i, f"d{a}", [float(x) * factor for x in grids[a]] if factor < 1 else [int(x) for x in grids[a]]) for i, a in zip(ids, of, strict=True)]
+        t = staged(spark.createDataFrame(rows, f"id long, digest string, grid array<{'double' if factor < 1 else 'long'}>"), "t")
+        for block, strip, leaving in ((1 << 14, (64, 1024), 1 << 18), (13, (5, 7), 50)):
+            monkeypatch.setattr(similarity, "BLOCK", block)
+            monkeypatch.setattr(similarity, "STRIP", strip)
+            monkeypatch.setattr(similarity, "LEAVING", leaving)
+            got = [tuple(r) for r in similarity.similar_pairs(t, 6, factor).collect()]
+            assert len(got) == len(want) and {(*x[:5], x[5] / factor) for x in got} == want
+    plan = plan_of(similarity.similar_pairs(t, 6, 1.0)).splitlines()
+    at = next(i for i, x in enumerate(plan) if "MapInArrow" in x or "SortMergeJoin [chunk" in x)
+    assert not any("Exchange" in x for x in plan[:at])
+
+
+def test_some_chunk_of_close_hashes_is_alike():
+    """Whichever bits differ, as many as may: a chunk of the first in one bit at most or a later one in none."""
+    rng = np.random.default_rng(11)
+    for distance, bits in ((0, 63), (1, 63), (2, 63), (5, 64), (6, 63), (8, 63), (6, 8), (6, 3)):
+        places, wide = similarity.uneven_places(distance, bits)
+        masks = [sum(p) & ((1 << 64) - 1) for p in places]
+        assert sum(masks) == (1 << bits) - 1 and sum(map(len, places)) == bits
+        for _ in range(500):
+            apart = sum(1 << int(b) for b in rng.permutation(bits)[:distance])
+            assert any((apart & m).bit_count() <= (k < wide) for k, m in enumerate(masks))
